@@ -77,11 +77,11 @@ def sized_join(docs: DataFrame, side: DataFrame, keys: list[str], how: str) -> D
     return docs.join(F.broadcast(side) if side.limit(SENT_ROWS + 1).count() <= SENT_ROWS else side, keys, how)
 
 
-def pieces(docs: DataFrame, scheme: Scheme, payload: Callable, kind: str) -> DataFrame:
-    """(ctx, own, _id, _hash, start, windows, payload) of each piece with a repeated anchor, written to the shared folder.
+def pieces(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """(ctx, own, _id, _hash, start, windows, again) of each piece with a repeated anchor, written to the shared folder.
 
-    ctx is the hash of its context, own that of its whole content, _hash the text's, start its first unit; payload is
-    what `payload(units, starts, windows)` makes of it.
+    ctx is the hash of its context, own that of its whole content, _hash the text's, start its first unit. Where a text
+    holds a piece's content again, the later ones are marked `again`.
     """
     repeated = keep(repeated_anchors(docs, scheme))
     near = sized_join(docs, repeated.select("_id"), ["_id"], "left_semi").join(repeated, "_id")
@@ -110,10 +110,44 @@ def pieces(docs: DataFrame, scheme: Scheme, payload: Callable, kind: str) -> Dat
                 rows.append((text[use], lo[use], n[use], span_hashes(units, start[use], start[use] + half)))
             text, lo, n, ctx = (np.concatenate(x) for x in zip(*rows, strict=True))
             own = span_hashes(units, lo, lo + n + scheme.width - 1, _OTHER_BASE)
+            order = np.lexsort((lo, own, ctx, text))
+            text, lo, n, ctx, own = text[order], lo[order], n[order], ctx[order], own[order]
+            again = np.zeros(len(text), bool)
+            again[1:] = (text[1:] == text[:-1]) & (ctx[1:] == ctx[:-1]) & (own[1:] == own[:-1])
             take = pa.array(a + text)
-            yield pa.RecordBatch.from_arrays([as_long(ctx), as_long(own), batch.column(0).take(take), batch.column(2).take(take), pa.array((lo - at[text]).astype(np.int32)), pa.array(n.astype(np.int32)), payload(units, lo, n)], names=["ctx", "own", "_id", "_hash", "start", "windows", "payload"])
+            yield pa.RecordBatch.from_arrays([as_long(ctx), as_long(own), batch.column(0).take(take), batch.column(2).take(take), pa.array((lo - at[text]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)], names=["ctx", "own", "_id", "_hash", "start", "windows", "again"])
 
-    return keep(arrow_map(near, run, f"ctx bigint, own bigint, _id {docs.schema['_id'].dataType.simpleString()}, _hash bigint, start int, windows int, payload {kind}"))
+    return keep(arrow_map(near, run, f"ctx bigint, own bigint, _id {docs.schema['_id'].dataType.simpleString()}, _hash bigint, start int, windows int, again boolean"))
+
+
+def fetched(docs: DataFrame, wanted: DataFrame, scheme: Scheme, payload: Callable, kind: str) -> DataFrame:
+    """wanted (ctx, _id, _hash, start, windows, n) with what `payload(units, starts, windows)` makes of each piece."""
+    each = keep(wanted.groupBy("_id", "_hash").agg(F.collect_list(F.struct("ctx", "start", "windows", "n")).alias("pieces")))
+    near = sized_join(docs, each.select("_id"), ["_id"], "left_semi").join(each, ["_id", "_hash"]).select("_id", "_text", "_hash", "pieces")
+
+    def run(batch):
+        data, offsets = utf8(batch.column(1))
+        for a, b in chunks(np.diff(offsets)):
+            units, at = scheme.read(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            part = batch.column(3).slice(a, b - a)
+            text = np.repeat(np.arange(b - a), part.value_lengths().to_numpy(zero_copy_only=False))
+            ctx, start, windows, n = part.flatten().flatten()
+            lo, take = start.to_numpy() + at[text], pa.array(a + text)
+            yield pa.RecordBatch.from_arrays([ctx, batch.column(0).take(take), batch.column(2).take(take), start, windows, n, payload(units, lo, windows.to_numpy().astype(np.int64))], names=["ctx", "_id", "_hash", "start", "windows", "n", "payload"])
+
+    return arrow_map(near, run, f"ctx bigint, _id {docs.schema['_id'].dataType.simpleString()}, _hash bigint, start int, windows int, n bigint, payload {kind}")
+
+
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """(_id, _hash, lead, bytes) of each text that more than one row holds, lead the smallest key among them."""
+    each = docs.dropna().select("_id", "_hash", F.unhex(F.md5("_text")).alias("content"), F.octet_length("_text").alias("bytes"))
+    many = each.groupBy("content").agg(F.min("_id").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("content", "lead")
+    return keep(each.join(many, "content").select("_id", "_hash", "lead", "bytes"))
+
+
+def without(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """docs with one text of each group of copies; a row without key or text takes no part."""
+    return sized_join(docs.dropna(), copies.filter("_id > lead").select("_id", "_hash").distinct(), ["_id", "_hash"], "left_anti")
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:

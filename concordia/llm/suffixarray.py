@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, keep, ragged, table, utf8
-from .repeats import Scheme, merged_spans, pieces, prepared, sized_join
+from .repeats import Scheme, fetched, merged_spans, pieces, prepared, sized_join, whole_copies, without
 
 #: Bytes of a string whose repeats go.
 WIDTH = 100
@@ -181,15 +181,20 @@ def _bytes_of(units: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> pa.
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(_id, _hash, starts, ends): spans of bytes of each text that are covered by strings that start earlier."""
-    found = pieces(docs, SCHEME, _bytes_of, "binary")
-    where = F.struct("_id", "start")
-    each = keep(found.groupBy("ctx", "own").agg(F.min(F.struct("_id", "start", "_hash")).alias("src")))
-    copies = found.join(each, ["ctx", "own"]).filter((F.col("_id") != F.col("src._id")) | (F.col("start") != F.col("src.start")))
-    spans = copies.select("_id", "_hash", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (WIDTH - 1)).alias("b"))
-    # different texts around one context: the first of each goes into suffix arrays
+    copies = whole_copies(docs)
+    docs = without(docs, copies)
+    found = pieces(docs, SCHEME)
+    end = (F.col("start") + F.col("windows") + (WIDTH - 1)).alias("b")
+    # one content's first place; the others go whole
+    fresh = found.filter("NOT again")
+    each = keep(fresh.groupBy("ctx", "own").agg(F.min("_id").alias("src"), F.count("*").alias("copies")))
+    later = fresh.join(each.filter("copies > 1"), ["ctx", "own"]).filter("_id > src").unionByName(found.filter("again"), allowMissingColumns=True)
+    spans = later.select("_id", "_hash", F.col("start").alias("a"), end)
+    spans = spans.unionByName(copies.filter(f"_id > lead AND bytes >= {WIDTH}").select("_id", "_hash", F.lit(0).alias("a"), F.lit((1 << 31) - 1).alias("b")))
+    # different contents around one context: the first of each goes into suffix arrays
     mixed = each.groupBy("ctx").agg(F.count("*").alias("n")).filter("n > 1")
-    firsts = each.join(mixed, "ctx").select("ctx", "own", "n", F.col("src._id").alias("_id"), F.col("src.start").alias("start"), F.col("src._hash").alias("_hash"))
-    firsts = keep(firsts.join(found.dropDuplicates(["ctx", "own", "_id", "_hash", "start"]), ["ctx", "own", "_id", "_hash", "start"]))
+    firsts = each.join(mixed, "ctx").join(fresh.select("ctx", "own", F.col("_id").alias("src"), "_hash", "start", "windows"), ["ctx", "own", "src"])
+    firsts = keep(fetched(docs, firsts.select("ctx", F.col("src").alias("_id"), "_hash", "start", "windows", "n"), SCHEME, _bytes_of, "binary"))
 
     def shards(batches):
         held: list[pa.RecordBatch] = []
@@ -233,6 +238,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     many = firsts.filter(F.col("n") > HOT)
     each_window = many.select("_id", "_hash", "start", "payload", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("k"))
     each_window = each_window.select("_id", "_hash", (F.col("start") + F.col("k")).alias("start"), F.md5(F.expr(f"substring(payload, k + 1, {WIDTH})")).alias("content"))
+    where = F.struct("_id", "start")
     lead = each_window.groupBy("content").agg(F.min(where).alias("lead"), F.count("*").alias("n")).filter("n > 1")
     late = each_window.join(lead, "content").filter(where != F.col("lead"))
     return merged_spans(spans.unionByName(late.select("_id", "_hash", F.col("start").alias("a"), (F.col("start") + WIDTH).alias("b"))))
@@ -252,13 +258,15 @@ def dedup(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     def run(batch):
         data, offsets = utf8(batch.column(1))
-        kept, sizes = [], []
+        kept, sizes, ends = [], [], []
         for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
             own = data[offsets[i] : offsets[i + 1]]
             sizes.append(len(own))
-            kept.append(b"".join(own[x:y].tobytes() for x, y in zip([0, *(b or [])], [*(a or []), len(own)], strict=True)))
-        empty = lambda c: pa.array([x or [] for x in c.to_pylist()], pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), empty(batch.column(2)), empty(batch.column(3))], names=[key, "n_bytes", "kept", "starts", "ends"])
+            b = [min(x, len(own)) for x in b or []]
+            kept.append(b"".join(own[x:y].tobytes() for x, y in zip([0, *b], [*(a or []), len(own)], strict=True)))
+            ends.append(b)
+        starts = [x or [] for x in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=[key, "n_bytes", "kept", "starts", "ends"])
 
     return arrow_map(both, run, f"`{key}` {frame.schema[key].dataType.simpleString()}, n_bytes bigint, kept binary, starts array<int>, ends array<int>")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, keep, ragged, span_hashes, table, utf8, window_hashes, words
-from .repeats import Scheme, as_long, merged_spans, pieces, prepared, sized_join
+from .repeats import Scheme, as_long, fetched, merged_spans, pieces, prepared, sized_join, whole_copies, without
 
 #: Words of a window whose repeats go.
 WIDTH = 35
@@ -35,21 +35,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Of 8 words, those that repeat are anchors that meet (pieces()); 16 words around them that don't repeat end here;
     so do pieces all of whose content repeats, as each of their windows does; windows of the others are counted.
     """
-    found = pieces(docs, SCHEME, _windows_of, "array<bigint>")
-    each = keep(found.groupBy("ctx", "own").agg(F.count("*").alias("copies")))
+    copies = whole_copies(docs)
+    docs = without(docs, copies)
+    found = pieces(docs, SCHEME)
+    end = (F.col("start") + F.col("windows") + (WIDTH - 1)).alias("b")
+    each = keep(found.groupBy("ctx", "own").agg(F.min("_id").alias("src"), F.count("*").alias("copies")))
     whole = found.join(each.filter("copies > 1"), ["ctx", "own"], "left_semi")
-    spans = whole.select("_id", "_hash", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (WIDTH - 1)).alias("b"))
+    spans = whole.select("_id", "_hash", F.col("start").alias("a"), end)
+    spans = spans.unionByName(copies.select("_id", "_hash", F.lit(0).alias("a"), F.lit((1 << 31) - 1).alias("b")))
+    # contents around one context, some of them alone: their windows are counted, each content once
     mixed = each.groupBy("ctx").agg(F.count("*").alias("n"), F.min("copies").alias("least")).filter("n > 1 AND least = 1").select("ctx")
-    other = each.join(mixed, "ctx")  # contents around contexts where some content is alone
-    first = found.join(other, ["ctx", "own"]).groupBy("ctx", "own").agg(F.min("copies").alias("copies"), F.first("payload").alias("payload"))
-    counts = first.select("ctx", "copies", F.explode("payload").alias("window")).groupBy("ctx", "window").agg(F.sum("copies").alias("n")).filter("n > 1").select("ctx", "window")
-    alone = found.join(other.filter("copies = 1"), ["ctx", "own"]).select("ctx", "_id", "_hash", "start", F.posexplode("payload").alias("k", "window"))
-    again = alone.join(counts, ["ctx", "window"])
-    return merged_spans(spans.unionByName(again.select("_id", "_hash", (F.col("start") + F.col("k")).alias("a"), (F.col("start") + F.col("k") + WIDTH).alias("b"))))
+    firsts = each.join(mixed, "ctx").join(found.filter("NOT again").select("ctx", "own", F.col("_id").alias("src"), "_hash", "start", "windows"), ["ctx", "own", "src"])
+    some = keep(fetched(docs, firsts.select("ctx", F.col("src").alias("_id"), "_hash", "start", "windows", F.col("copies").alias("n")), SCHEME, _windows_of, "array<bigint>"))
+    windows = some.select("ctx", "_id", "_hash", "start", "n", F.posexplode("payload").alias("k", "window"))
+    again = windows.groupBy("ctx", "window").agg(F.count("*").alias("all")).filter("all > 1")
+    late = windows.filter("n = 1").join(again, ["ctx", "window"])
+    return merged_spans(spans.unionByName(late.select("_id", "_hash", (F.col("start") + F.col("k")).alias("a"), (F.col("start") + F.col("k") + WIDTH).alias("b"))))
 
 
 def dedup(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, kept array<...> as text, starts, ends) of every row, without words covered by a 35-word window that also starts elsewhere.
+    """(key, n_words, kept, starts, ends) of every row, without words covered by a 35-word window that also starts elsewhere.
 
     Words are runs without ASCII white space, unchanged; kept words are joined by one blank. Windows are judged on the
     input. Null texts have no words; equal rows of one key are repeats of each other; rows with a null key are kept
@@ -61,15 +66,15 @@ def dedup(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     def run(batch):
         data, offsets = utf8(batch.column(1))
-        kept, sizes = [], []
+        kept, sizes, starts, ends = [], [], [], []
         for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
             own = data[offsets[i] : offsets[i + 1]].tobytes().split()
             sizes.append(len(own))
-            for x, y in zip(reversed(a or []), reversed(b or []), strict=True):
-                del own[x:y]
-            kept.append(b" ".join(own).decode())
-        filled = lambda c: pa.array([x or [] for x in c.to_pylist()], pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(kept), filled(batch.column(2)), filled(batch.column(3))], names=[key, "n_words", "kept", "starts", "ends"])
+            a, b = (a or [], [min(x, len(own)) for x in b or []]) if len(own) >= WIDTH else ([], [])
+            kept.append(b" ".join(w for x, y in zip([0, *b], [*a, len(own)], strict=True) for w in own[x:y]).decode())
+            starts.append(a)
+            ends.append(b)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(kept), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=[key, "n_words", "kept", "starts", "ends"])
 
     return arrow_map(both, run, f"`{key}` {frame.schema[key].dataType.simpleString()}, n_words bigint, kept string, starts array<int>, ends array<int>")
 
