@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, arrow_map, chunks, keep, mix, ragged, span_hashes, table, utf8, words
 
-#: Values of a sketch; values that two sketches share at least if 80 of 100 shingles are shared (but for a chance under 1e-9).
-SKETCH, SHARED = 24, 6
-#: Estimates under this leave a pair out: five standard errors below 0.8.
-ESTIMATE = 0.4
+#: Values of a sketch, and how many two sketches share at least if 80 of 100 shingles are shared (but for a chance under
+#: 1e-8); LONG is for the few classes left after the rounds.
+SHORT, LONG = (48, 20), (256, 160)
+#: Estimates under this leave a pair out: five standard errors, of 0.06 each, below 0.8.
+ESTIMATE = 0.5
 #: Rounds in which each list is held against one of its members, before what is left is compared in pairs.
-ROUNDS = 3
+ROUNDS = 2
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -43,33 +44,40 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 n.append(len(s))
                 f1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
                 f2.append(int(mix(s ^ _SALT).sum(dtype=np.uint64).view(np.int64)))
-                sketch.append(s[:SKETCH].view(np.int64).tolist())
+                sketch.append(s[: SHORT[0]].view(np.int64).tolist())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=["_id", "n", "f1", "f2", "sketch"])
 
     return arrow_map(docs, run, f"_id {docs.schema['_id'].dataType.simpleString()}, n bigint, f1 bigint, f2 bigint, sketch array<bigint>")
 
 
-def inverted(classes: DataFrame) -> DataFrame:
-    """(a, value): classes by the sketch values in which a similar class must meet them.
+def inverted(classes: DataFrame, kind: tuple[int, int], similarity: int) -> DataFrame:
+    """(a, n, value): classes by the sketch values in which a similar class must meet them.
 
-    Two sketches of similar sets share SHARED values, so all but the SHARED - 1 most frequent values of a full sketch
-    will do (all values of a small set); values of one class alone meet nobody. Frequent values thus keep lists only
-    of classes that have little else.
+    Sketches of similar sets share so many values, and small sets, which are sketched whole, share `similarity` of 100
+    of theirs, that one of the rarest values will do: as many of the most frequent as that, less one, are left out.
+    Values of one class alone meet nobody; so what shares a passage or a line, but not most of its text, has no lists.
     """
+    size, shared = kind
     each = classes.select("a", "n", F.explode("sketch").alias("value"))
     many = each.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     met = each.join(many, "value").groupBy("a").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
-    spare = F.when(F.col("n") >= 2 * SKETCH, F.lit(SHARED - 1)).otherwise(F.lit(0))
-    used = met.filter(F.size("values") > spare).select("a", F.explode(F.slice("values", F.lit(1), F.size("values") - spare)).alias("v"))
-    return used.select("a", F.col("v.value").alias("value"))
+    whole = F.ceil(F.col("n") * similarity / 100).cast("int") - 1
+    spare = F.when(F.col("n") <= size * similarity // 100, whole).otherwise(F.lit(shared - 1))
+    used = met.filter(F.size("values") > spare).select("a", "n", F.explode(F.slice("values", F.lit(1), F.size("values") - spare)).alias("v"))
+    return used.select("a", "n", F.col("v.value").alias("value"))
+
+
+def _sizes(n: str, m: str, similarity: int):
+    """Whether sets of sizes n and m can be that similar."""
+    return (100 * F.col(n) >= similarity * F.col(m)) & (100 * F.col(m) >= similarity * F.col(n))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose sets share `similarity` of 100 at least, first by the sketches' union, then exactly."""
     left = classes.select("a", F.col("sketch").alias("sa"), F.col("n").alias("na"))
     right = classes.select(F.col("a").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-    both = pairs.join(left, "a").join(right, "b").filter((100 * F.col("na") >= similarity * F.col("nb")) & (100 * F.col("nb") >= similarity * F.col("na")))
-    low = F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))), 1, SKETCH)  # in unsigned order, as sketches are
+    both = pairs.join(left, "a").join(right, "b").filter(_sizes("na", "nb", similarity))
+    low = F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))), 1, SHORT[0])  # in unsigned order, as sketches are
     shared = F.size(F.array_intersect(low, F.transform(F.array_intersect("sa", "sb"), lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))))
     near = both.filter(shared >= ESTIMATE * F.size(low)).select("a", "b")
     both = near.join(sets.select("a", F.col("set").alias("x")), "a").join(sets.select(F.col("a").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
@@ -114,13 +122,13 @@ def near_duplicates(frame: DataFrame, size: int = 4, similarity: int = 80, key:
     Texts of one set form a class, so copies never meet in pairs. Classes that share a sketch value stand in its list.
     In each round a list's first member not yet held against it meets the members of other components, so a list of
     thousands of near copies costs as many pairs, not their square; what is in different components after the rounds is
-    compared in pairs, so no link between components is lost.
+    compared in pairs, by longer sketches, so no link between components is lost.
     """
     docs = frame.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     base = keep(sketches(docs, size))
     known = base.filter("n > 0 AND _id IS NOT NULL")
     classes = keep(known.groupBy("f1", "f2", "n").agg(F.min("_id").alias("a"), F.first("sketch").alias("sketch")))
-    lists = keep(inverted(classes))
+    lists = keep(inverted(classes, SHORT, similarity))
     some = keep(lists.select("a").distinct())
     few = some.limit(400_001).count() <= 400_000
     again = docs.join(F.broadcast(some) if few else some, docs["_id"] == some["a"], "left_semi")
@@ -138,15 +146,23 @@ def near_duplicates(frame: DataFrame, size: int = 4, similarity: int = 80, key:
         active = members.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("value")
         members = keep(members.join(active, "value"))
         rest = members if hubs is None else members.join(hubs.select("value", F.col("hub").alias("last")), "value").filter("a > last")
-        hubs = keep(rest.groupBy("value").agg(F.min(F.struct("a", "comp")).alias("h")).select("value", F.col("h.a").alias("hub"), F.col("h.comp").alias("hub_comp")))
-        pairs = members.join(hubs, "value").filter("a > hub AND comp <> hub_comp").select(F.col("hub").alias("a"), F.col("a").alias("b")).distinct()
+        hubs = keep(rest.groupBy("value").agg(F.min(F.struct("a", "comp", "n")).alias("h")).select("value", F.col("h.a").alias("hub"), F.col("h.comp").alias("hub_comp"), F.col("h.n").alias("hub_n")))
+        pairs = members.join(hubs, "value").filter("a > hub AND comp <> hub_comp").filter(_sizes("n", "hub_n", similarity)).select(F.col("hub").alias("a"), F.col("a").alias("b")).distinct()
         links, comps, more = _linked(verified(pairs, classes, sets, similarity), links, comps)
         if not more:
             break
-    members = lists.join(comps, "a").join(hubs.select("value", F.col("hub").alias("last")), "value").filter("a > last")
+    members = lists.join(comps, "a")
     active = members.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("value")
-    members = keep(members.join(active, "value"))
-    pairs = members.alias("x").join(members.alias("y"), "value").filter("x.a < y.a AND x.comp <> y.comp").select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
+    open_ = keep(members.join(active, "value").select("a").distinct())
+
+    def longer(batch):
+        values = [np.frombuffer(x, np.int64)[: LONG[0]].tolist() for x in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.list_(pa.int64()))], names=["a", "n", "sketch"])
+
+    left = sets.join(open_, "a").join(classes.select("a", "n"), "a").select("a", "n", "set")
+    lists = inverted(arrow_map(left, longer, f"a {kind}, n bigint, sketch array<bigint>"), LONG, similarity)
+    members = keep(lists.join(comps, "a"))
+    pairs = members.alias("x").join(members.alias("y"), "value").filter("x.a < y.a AND x.comp <> y.comp").filter(_sizes("x.n", "y.n", similarity)).select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
     links, comps, _ = _linked(verified(pairs, classes, sets, similarity), links, comps)
     named = base.join(classes.select("f1", "f2", "n", "a"), ["f1", "f2", "n"], "left").join(comps, "a", "left")
     alone = F.col("n") == 0
