@@ -51,20 +51,25 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def inverted(classes: DataFrame, kind: tuple[int, int], similarity: int) -> DataFrame:
-    """(a, n, value): classes by the sketch values in which a similar class must meet them.
+    """(a, n, most, value): classes by the sketch values in which a similar class must meet them.
+
+    Where classes have a component `comp`, only values of several components count, as pairs within one aren't sought.
+    `most` bounds what a class can share with a class it is sought with: all its values that count, if all are sketched.
 
     Sketches of similar sets share so many values, and small sets, which are sketched whole, share `similarity` of 100
     of theirs, that one of the rarest values will do: as many of the most frequent as that, less one, are left out.
     Values of one class alone meet nobody; so what shares a passage or a line, but not most of its text, has no lists.
     """
     size, shared = kind
-    each = classes.select("a", "n", F.explode("sketch").alias("value"))
-    many = each.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    met = each.join(many, "value").groupBy("a").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
+    each = classes.select("a", "n", *[c for c in classes.columns if c == "comp"], F.explode("sketch").alias("value"))
+    apart = F.min("comp") != F.max("comp") if "comp" in classes.columns else F.count("*") > 1
+    many = each.groupBy("value").agg(F.count("*").alias("df"), apart.alias("apart")).filter("apart").drop("apart")
+    met = each.select("a", "n", "value").join(many, "value").groupBy("a").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
     whole = F.ceil(F.col("n") * similarity / 100).cast("int") - 1
     spare = F.when(F.col("n") <= size * similarity // 100, whole).otherwise(F.lit(shared - 1))
-    used = met.filter(F.size("values") > spare).select("a", "n", F.explode(F.slice("values", F.lit(1), F.size("values") - spare)).alias("v"))
-    return used.select("a", "n", F.col("v.value").alias("value"))
+    most = F.when(F.col("n") <= size, F.size("values").cast("bigint")).otherwise(F.col("n"))
+    used = met.filter(F.size("values") > spare).select("a", "n", most.alias("most"), F.explode(F.slice("values", F.lit(1), F.size("values") - spare)).alias("v"))
+    return used.select("a", "n", "most", F.col("v.value").alias("value"))
 
 
 def _sizes(n: str, m: str, similarity: int):
@@ -72,6 +77,11 @@ def _sizes(n: str, m: str, similarity: int):
     return (100 * F.col(n) >= similarity * F.col(m)) & (100 * F.col(m) >= similarity * F.col(n))
 
 
+def _can_share(most: str, n: str, m: str, similarity: int):
+    """Whether a set that shares `most` values can be that similar: 80 of 100 of the union are 80 of 180 of both sizes."""
+    return (100 + similarity) * F.col(most) >= similarity * (F.col(n) + F.col(m))
+
+
 def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose sets share `similarity` of 100 at least, first by the sketches' union, then exactly."""
     left = classes.select("a", F.col("sketch").alias("sa"), F.col("n").alias("na"))
@@ -160,9 +170,10 @@ def near_duplicates(frame: DataFrame, size: int = 4, similarity: int = 80, key:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.list_(pa.int64()))], names=["a", "n", "sketch"])
 
     left = sets.join(open_, "a").join(classes.select("a", "n"), "a").select("a", "n", "set")
-    lists = inverted(arrow_map(left, longer, f"a {kind}, n bigint, sketch array<bigint>"), LONG, similarity)
+    long = keep(arrow_map(left, longer, f"a {kind}, n bigint, sketch array<bigint>").join(comps, "a"))
+    lists = inverted(long, LONG, similarity)
     members = keep(lists.join(comps, "a"))
-    pairs = members.alias("x").join(members.alias("y"), "value").filter("x.a < y.a AND x.comp <> y.comp").filter(_sizes("x.n", "y.n", similarity)).select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
+    pairs = members.alias("x").join(members.alias("y"), "value").filter("x.a < y.a AND x.comp <> y.comp").filter(_sizes("x.n", "y.n", similarity) & _can_share("x.most", "x.n", "y.n", similarity) & _can_share("y.most", "x.n", "y.n", similarity)).select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
     links, comps, _ = _linked(verified(pairs, classes, sets, similarity), links, comps)
     named = base.join(classes.select("f1", "f2", "n", "a"), ["f1", "f2", "n"], "left").join(comps, "a", "left")
     alone = F.col("n") == 0
