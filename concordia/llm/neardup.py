@@ -14,6 +14,8 @@ from .common import LOWER, arrow_map, chunks, keep, mix, ragged, span_hashes, ta
 SHORT, LONG = (48, 20), (256, 160)
 #: Estimates under this leave a pair out: five standard errors, of 0.06 each, below 0.8.
 ESTIMATE = 0.5
+#: Words of 64 bits in a set's parity bitmap.
+BITMAP = 8
 #: Rounds in which each list is held against one of its members, before what is left is compared in pairs.
 ROUNDS = 2
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -82,6 +84,18 @@ def _can_share(most: str, n: str, m: str, similarity: int):
     return (100 + similarity) * F.col(most) >= similarity * (F.col(n) + F.col(m))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bitmap in which each value of a set flips the bit that it falls on: two sets differ by as many values as bits, or more."""
+    flips = np.bincount((mix(s ^ _SALT) % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
+def _differ_little(similarity: int):
+    """Whether sets x and y can be that similar by their bitmaps: 20 of 180 of both sizes may differ, at most."""
+    bits = sum((F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}"))) for k in range(BITMAP)), F.lit(0))
+    return (100 + similarity) * bits <= (100 - similarity) * (F.col("x.n") + F.col("y.n"))
+
+
 def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose sets share `similarity` of 100 at least, first by the sketches' union, then exactly."""
     left = classes.select("a", F.col("sketch").alias("sa"), F.col("n").alias("na"))
@@ -132,7 +146,8 @@ def near_duplicates(frame: DataFrame, size: int = 4, similarity: int = 80, key:
     Texts of one set form a class, so copies never meet in pairs. Classes that share a sketch value stand in its list.
     In each round a list's first member not yet held against it meets the members of other components, so a list of
     thousands of near copies costs as many pairs, not their square; what is in different components after the rounds is
-    compared in pairs, by longer sketches, so no link between components is lost.
+    compared in pairs, by longer sketches, so no link between components is lost. Pairs that sizes, shared values or
+    parity bitmaps prove to be too different are left out; all three bounds are exact.
     """
     docs = frame.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     base = keep(sketches(docs, size))
@@ -167,13 +182,15 @@ def near_duplicates(frame: DataFrame, size: int = 4, similarity: int = 80, key:
 
     def longer(batch):
         values = [np.frombuffer(x, np.int64)[: LONG[0]].tolist() for x in batch.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.list_(pa.int64()))], names=["a", "n", "sketch"])
+        maps = np.array([parity(np.frombuffer(x, np.uint64)) for x in batch.column(2).to_pylist()])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.list_(pa.int64())), *map(pa.array, maps.T)], names=["a", "n", "sketch", *bitmap])
 
+    bitmap = [f"b{k}" for k in range(BITMAP)]
     left = sets.join(open_, "a").join(classes.select("a", "n"), "a").select("a", "n", "set")
-    long = keep(arrow_map(left, longer, f"a {kind}, n bigint, sketch array<bigint>").join(comps, "a"))
+    long = keep(arrow_map(left, longer, f"a {kind}, n bigint, sketch array<bigint>, {', '.join(f'{b} bigint' for b in bitmap)}").join(comps, "a"))
     lists = inverted(long, LONG, similarity)
-    members = keep(lists.join(comps, "a"))
-    pairs = members.alias("x").join(members.alias("y"), "value").filter("x.a < y.a AND x.comp <> y.comp").filter(_sizes("x.n", "y.n", similarity) & _can_share("x.most", "x.n", "y.n", similarity) & _can_share("y.most", "x.n", "y.n", similarity)).select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
+    members = keep(lists.join(long.select("a", "comp", *bitmap), "a"))
+    pairs = members.alias("x").join(members.alias("y"), "value").filter("x.a < y.a AND x.comp <> y.comp").filter(_sizes("x.n", "y.n", similarity) & _can_share("x.most", "x.n", "y.n", similarity) & _can_share("y.most", "x.n", "y.n", similarity) & _differ_little(similarity)).select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
     links, comps, _ = _linked(verified(pairs, classes, sets, similarity), links, comps)
     named = base.join(classes.select("f1", "f2", "n", "a"), ["f1", "f2", "n"], "left").join(comps, "a", "left")
     alone = F.col("n") == 0

@@ -180,6 +180,15 @@ def test_substring_dedup(docs):
         assert got[i] == (len(w), b" ".join(kept).decode())
 
 
+def test_parity_bitmaps_never_overstate():
+    rng = np.random.default_rng(3)
+    for n in (1, 20, 150, 900):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(0, 1 << 63, n // 8).astype(np.uint64)]))
+        bits = sum(int(b).bit_count() for b in (neardup.parity(x) ^ neardup.parity(y)).view(np.uint64))
+        assert bits <= len(np.setxor1d(x, y)) and not (neardup.parity(x) ^ neardup.parity(x)).any()
+
+
 def test_near_duplicates(spark):
     rng = random.Random(9)
     base = [rng.choice(WORDS) for _ in range(150)]
