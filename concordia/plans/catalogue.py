@@ -10,6 +10,7 @@ from ..operators import agreement as A
 from ..operators import features as X
 from ..operators import inference as I
 from ..operators import keys as K
+from ..operators import models as M
 from ..operators import quality as Q
 from ..operators import resample as R
 
@@ -340,3 +341,20 @@ def fold_mean_predictor(spark, d):
     each = table(spark, d, "orders").groupBy((F.col("o_custkey") % 5).cast("int").alias("fold")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("t"))
     whole = each.agg(F.sum("n").alias("all_n"), F.sum("t").alias("all_t"))
     return each.crossJoin(F.broadcast(whole)).select("fold", F.round((F.col("all_t") - F.col("t")) / (F.col("all_n") - F.col("n")), 4).alias("mean"))
+
+
+def balances(spark, d):
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select((F.col("o_custkey") % 5).cast("int").alias("fold"), (F.col("o_custkey") % 7 % 3).cast("int").alias("inner"), F.when(F.col("o_orderstatus") == "O", 0).otherwise(1).alias("g"), (F.col("c_acctbal") / 1000).alias("x"), F.col("o_totalprice").alias("y"))
+
+
+@query("WITH r AS (SELECT (o_custkey % 5)::INT AS fold, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS g, c_acctbal / 1000 AS x, o_totalprice AS y FROM orders JOIN customer ON o_custkey = c_custkey), k AS (SELECT DISTINCT fold AS f FROM r), m AS (SELECT f, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + 10) AS w FROM r JOIN k ON fold <> f WHERE g = 0 GROUP BY f) SELECT fold, g, count(*) AS n, round(avg(my + w * (x - mx) - y), 2) AS deviation FROM r JOIN m ON fold = f GROUP BY 1, 2")
+def normative_deviation(spark, d):
+    out = M.normative_deviation(balances(spark, d), ["x"], "y", "g", "fold")
+    return out.groupBy("fold", "g").agg(F.count("*").alias("n"), F.round(F.avg("deviation"), 2).alias("deviation"))
+
+
+@query()
+def nested_ridge(spark, d):
+    out = M.nested_ridge(balances(spark, d), ["x", "g"], "y", "fold", "inner")
+    return out.groupBy("fold", "alpha").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("prediction") - F.col("y"))), 2).alias("mae"))
