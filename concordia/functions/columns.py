@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 MISSING = ("", "nan", "None", "none", "N/A", "n/a")
 EDUCATION = {"1": "Primary", "2": "Secondary", "3": "University", "P": "Primary", "S": "Secondary", "U": "University", "G": "University", "M": "University", "D": "University"}
 FEMALE, MALE = ("f", "female", "mujer", "dona", "femenino"), ("m", "male", "hombre", "home", "masculino")
+#: The outcomes that model names end in.
+TARGETS = ("sdmt_paper_score", "tmt_paper_score_a", "tmt_paper_score_b", "tmt_paper_errors_a", "tmt_paper_errors_b")
 ACCENTED, PLAIN = "áàäâãéèëêíìïîóòöôõúùüûñç", "aaaaaeeeeiiiiooooouuuunc"
 
 
@@ -88,3 +90,14 @@ def status(r2: Column, ccc: Column, icc: Column) -> Column:
     poor, middling = (r2 < 0) | (ccc < 0.4), (ccc < 0.7) | (icc < 0.7)
     known = r2.isNotNull() & ccc.isNotNull() & icc.isNotNull()
     return F.when(~known, "unknown").when(poor, "needs major improvement").when(middling, "exploratory").otherwise("promising")
+
+
+def assessment(model: Column) -> Column:
+    """The test that a model's name speaks of, or `Unknown`."""
+    low = F.lower(model)
+    return F.when(F.contains(low, F.lit("sdmt")), "SDMT").when(F.contains(low, F.lit("tmt")), "TMT").otherwise("Unknown")
+
+
+def target(model: Column) -> Column:
+    """The outcome that a model's name ends in, else the name; `Unknown` for null."""
+    return F.coalesce(*[F.when(F.endswith(model, F.lit(t)), F.lit(t)) for t in TARGETS], model, F.lit("Unknown"))

@@ -8,6 +8,22 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import ratio
 
+#: Derived movement features, each of two families of measured ones.
+KINEMATIC = (
+    ("circle_to_flight_ratio", "inside_circle_time", "/", "flight_time"),
+    ("circle_minus_flight", "inside_circle_time", "-", "flight_time"),
+    ("inside_to_between_rate_ratio", "inside_circle_rate", "/", "between_circle_rate"),
+    ("inside_minus_between_rate", "inside_circle_rate", "-", "between_circle_rate"),
+    ("letter_to_number_pretime_ratio", "preselect_letter_time", "/", "preselect_number_time"),
+    ("letter_minus_number_pretime", "preselect_letter_time", "-", "preselect_number_time"),
+    ("letter_to_number_prerate_ratio", "preselect_letter_rate", "/", "preselect_number_rate"),
+    ("letter_minus_number_prerate", "preselect_letter_rate", "-", "preselect_number_rate"),
+    ("pressure_per_lift", "pressure_mean", "/", "finger_lift_rate"),
+    ("pressure_lift_interaction", "pressure_mean", "*", "finger_lift_rate"),
+    ("lift_per_flight", "finger_lift_rate", "/", "flight_time"),
+    ("errors_per_between_time", "error_count", "/", "flight_time"),
+)
+
 
 def _train(c: str, split: str):
     return F.when(F.col(split) == "train", F.col(c).cast("double"))
@@ -85,6 +101,16 @@ def fatigue(frame: DataFrame) -> DataFrame:
     })
 
 
+def kinematic(frame: DataFrame, families: dict[str, str]) -> DataFrame:
+    """frame with the ratios, differences and products of those families that `families` gives a column for.
+
+    A ratio is null where its denominator is nought; any is null where a part is.
+    """
+    make = {"/": ratio, "-": lambda a, b: a - b, "*": lambda a, b: a * b}
+    value = {f: F.col(c).cast("double") for f, c in families.items()}
+    return frame.withColumns({f"tmt_kinematic_{n}": make[op](value[a], value[b]) for n, a, op, b in KINEMATIC if a in value and b in value})
+
+
 def error_class(c, binary: bool = False):
     """Counts as classes: 0 and more, or 0, 1, 2 to 3 and more; rounded half to even first."""
     r = F.rint(c)

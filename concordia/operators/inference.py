@@ -96,6 +96,21 @@ def t_quantile(p: float, df: float) -> float:
     return hi
 
 
+def mann_whitney_exact(u: float, n1: int, n0: int) -> float:
+    """The two-sided p of U without ties, from the number of orders of both samples that give each U."""
+    if not n1 or not n0:
+        return 1.0
+    few, many = sorted((int(n1), int(n0)))
+    ways = np.zeros(few * many + 1)
+    ways[0] = 1
+    for k in range(1, few + 1):  # times (1 - q^(many + k)) / (1 - q^k), as shares of all orders
+        ways[many + k :] -= ways[: -(many + k)].copy()
+        for r in range(k):
+            ways[r::k] = np.cumsum(ways[r::k])
+        ways *= k / (many + k)
+    return float(min(1.0, 2 * ways[math.ceil(max(u, n1 * n0 - u)) :].sum()))
+
+
 def gram(frame: DataFrame, columns: list[str], *by: str) -> dict[tuple, np.ndarray]:
     """X'X of the columns (few) and a leading one, by key (few): one aggregate, p x p sums to the driver."""
     names = ["_1", *columns]
