@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import agreement as A
+from ..operators import discussion as D
 from ..operators import features as X
 from ..operators import inference as I
 from ..operators import keys as K
+from ..operators import learning as L
 from ..operators import models as M
 from ..operators import quality as Q
 from ..operators import resample as R
@@ -358,3 +360,82 @@ def normative_deviation(spark, d):
 def nested_ridge(spark, d):
     out = M.nested_ridge(balances(spark, d), ["x", "g"], "y", "fold", "inner")
     return out.groupBy("fold", "alpha").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("prediction") - F.col("y"))), 2).alias("mae"))
+
+
+@query("""SELECT l_returnflag, count(*) AS n, round(sum(l_quantity / nullif(l_linenumber - 1, 0)), 3) AS ratio, round(sum(l_quantity - (l_linenumber - 1)), 3) AS difference,
+round(sum(l_discount / nullif(l_tax, 0)), 3) AS pressure_per_lift, round(sum(l_discount * l_tax), 3) AS interaction, round(sum(l_tax / nullif(l_linenumber - 1, 0)), 3) AS lift_per_flight FROM lineitem GROUP BY 1""")
+def kinematic_features(spark, d):
+    lines = table(spark, d, "lineitem").withColumn("flight", F.col("l_linenumber") - 1)
+    out = X.kinematic(lines, {"inside_circle_time": "l_quantity", "flight_time": "flight", "pressure_mean": "l_discount", "finger_lift_rate": "l_tax"})
+    sums = {"ratio": "circle_to_flight_ratio", "difference": "circle_minus_flight", "pressure_per_lift": "pressure_per_lift", "interaction": "pressure_lift_interaction", "lift_per_flight": "lift_per_flight"}
+    return out.groupBy("l_returnflag").agg(F.count("*").alias("n"), *[F.round(F.sum(f"tmt_kinematic_{c}"), 3).alias(n) for n, c in sums.items()])
+
+
+_RESULTS_SQL = """r AS (SELECT 'm' || o_custkey || CASE o_custkey % 3 WHEN 0 THEN '_sdmt_paper_score' WHEN 1 THEN '_tmt_paper_score_b' ELSE '_tmt' END AS model, o_orderkey AS timestamp, o_totalprice::DOUBLE AS rmse, (o_orderkey % 7)::DOUBLE AS mae,
+o_orderkey % 11 / 10.0::DOUBLE - 0.1 AS r2, o_custkey % 10 / 10.0::DOUBLE AS ccc, CASE WHEN o_orderkey % 5 <> 0 THEN 0.75::DOUBLE END AS icc FROM orders),
+l AS (SELECT *, CASE WHEN lower(model) LIKE '%sdmt%' THEN 'SDMT' WHEN lower(model) LIKE '%tmt%' THEN 'TMT' ELSE 'Unknown' END AS assessment,
+CASE WHEN model LIKE '%sdmt_paper_score' THEN 'sdmt_paper_score' WHEN model LIKE '%tmt_paper_score_b' THEN 'tmt_paper_score_b' ELSE model END AS target,
+CASE WHEN icc IS NULL THEN 'unknown' WHEN r2 < 0 OR ccc < 0.4 THEN 'needs major improvement' WHEN ccc < 0.7 OR icc < 0.7 THEN 'exploratory' ELSE 'promising' END AS clinical_status FROM r QUALIFY row_number() OVER (PARTITION BY model ORDER BY timestamp DESC) = 1)"""
+
+
+def run_results(spark, d):
+    o, suffix = table(spark, d, "orders"), F.when(F.col("o_custkey") % 3 == 0, "_sdmt_paper_score").when(F.col("o_custkey") % 3 == 1, "_tmt_paper_score_b").otherwise("_tmt")
+    return o.select(F.concat(F.lit("m"), F.col("o_custkey").cast("string"), suffix).alias("model"), F.col("o_orderkey").alias("timestamp"), F.col("o_totalprice").cast("double").alias("rmse"), (F.col("o_orderkey") % 7).cast("double").alias("mae"), ((F.col("o_orderkey") % 11) / 10.0 - 0.1).alias("r2"), ((F.col("o_custkey") % 10) / 10.0).alias("ccc"), F.when(F.col("o_orderkey") % 5 != 0, 0.75).alias("icc"))
+
+
+@query(f"WITH {_RESULTS_SQL} SELECT assessment, clinical_status, count(*) AS models, round(sum(rmse), 2) AS rmse FROM l GROUP BY 1, 2")
+def discussion_metrics(spark, d):
+    return D.global_metrics(run_results(spark, d)).groupBy("assessment", "clinical_status").agg(F.count("*").alias("models"), F.round(F.sum("rmse"), 2).alias("rmse"))
+
+
+@query(f"WITH {_RESULTS_SQL} SELECT model, assessment, target, round(rmse, 2) AS rmse FROM l QUALIFY row_number() OVER (PARTITION BY assessment, target ORDER BY rmse, mae, ccc DESC) = 1")
+def discussion_best(spark, d):
+    return D.best_by_target(D.global_metrics(run_results(spark, d))).select("model", "assessment", "target", F.round("rmse", 2).alias("rmse"))
+
+
+def fold_errors(frame, *by):
+    return frame.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("prediction") - F.col("y"))), 1).alias("mae"))
+
+
+@query()
+def spline_additive_model(spark, d):
+    rows = balances(spark, d)
+    return fold_errors(L.spline_gam(rows.filter("fold <> 0"), ["x"], "y").transform(rows), "fold")
+
+
+@query()
+def stacked_models(spark, d):
+    rows, small = balances(spark, d), {"rf": {"numTrees": 10, "maxDepth": 5}, "boosted": {"maxIter": 5}}
+    return fold_errors(L.stack(rows.filter("fold <> 0"), ["x", "g"], "y", "inner", options=small).transform(rows), "fold")
+
+
+@query()
+def hyperparameter_search(spark, d):
+    tried = L.search(balances(spark, d), "rf", ["x", "g"], "y", "inner", {"numTrees": [5, 10], "maxDepth": [2, 4]})[3]
+    return tried.select(F.element_at("settings", "numTrees").alias("trees"), F.element_at("settings", "maxDepth").alias("depth"), F.round("rmse", 1).alias("rmse"))
+
+
+def order_lines(spark, d):
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg((F.count("*") - 1).alias("further"), F.avg("l_discount").alias("discount"))
+    return table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("price", F.col("o_totalprice").cast("double"))
+
+
+@query()
+def count_classes(spark, d):
+    rows = order_lines(spark, d)
+    out = L.count_classifier(rows.filter("o_custkey % 5 <> 0"), ["price", "discount"], "further", numTrees=10, maxDepth=6).transform(rows)
+    return out.groupBy("further", "prediction").agg(F.count("*").alias("n"))
+
+
+@query()
+def feature_elimination(spark, d):
+    lines, features = table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_suppkey"]
+    left = L.eliminate(lines, features, "l_extendedprice", most=2, least=2, step=0.5, trees=10, depth=5)
+    return spark.createDataFrame([(k, f) for k, f in enumerate(left)], "place int, feature string")
+
+
+@query()
+def several_outputs(spark, d):
+    rows = order_lines(spark, d)
+    out = L.predict_several(rows, L.several_outputs(rows, "linear", ["further", "discount"], ["price", "o_custkey"]))
+    return out.groupBy("further").agg(F.count("*").alias("n"), F.round(F.avg("prediction_price"), 1).alias("price"), F.round(F.avg("prediction_o_custkey"), 2).alias("custkey"))
