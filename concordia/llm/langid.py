@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .bpe import LETTER, classes
 from .common import arrow_map, chunks, crc32_mod, table
 
-#: Training text of a language: so many characters at most, from so many rows at most (chosen by hash) of such lengths.
+#: Training text of a language: so many characters at most, from so many different texts at most (chosen by hash), of such lengths first.
 CHARACTERS, ROWS, LENGTHS = 24_000, 60, (20, 20_000)
 #: Symbols a text is parsed in at once; a phrase doesn't cross the end of a block.
 BLOCK = 256
@@ -129,15 +129,19 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """A model from a bounded sample of labelled rows. Null texts and languages teach nothing; without rows, nothing is learned."""
-    rows = labelled.select(F.col(lang).alias("_lang"), F.col(text).alias("_text")).dropna().filter(F.length("_text").between(*LENGTHS))
-    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
-    if not counts:
-        return Model({})
+    """A model from a bounded sample of labelled rows. Null texts and languages teach nothing; without rows, nothing is learned.
+
+    Copies of a text count once. A language with fewer than ROWS texts of the preferred lengths uses others as well.
+    """
     order = F.xxhash64(F.lit("language"), "_text")
-    share = F.coalesce(*[F.when(F.col("_lang") == r[0], F.lit(3.0 * ROWS / r[1])) for r in counts], F.lit(0.0))
-    few = rows.filter(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30)).distinct()
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(order))
+    rows = labelled.select(F.col(lang).alias("_lang"), F.col(text).alias("_text")).dropna().filter(F.length("_text") > 0)
+    rows = rows.select("_lang", "_text", order.alias("_order"), F.length("_text").between(*LENGTHS).alias("_good"))
+    counts = rows.select("_lang", "_order", "_good").distinct().groupBy("_lang").agg(F.count_if("_good").alias("_n"), F.count_if(~F.col("_good")).alias("_other"))
+    counts = counts.orderBy(F.desc(F.col("_n") + F.col("_other")), "_lang").limit(LANGUAGES)
+    # of over 180 texts, about 180 pass by their hashes, of which the first ROWS are taken
+    share = F.when(F.col("_good"), 3.0 * ROWS / F.col("_n")).when(F.col("_n") < ROWS, 3.0 * ROWS / F.col("_other")).otherwise(0.0)
+    few = rows.join(F.broadcast(counts), "_lang").filter(F.pmod("_order", F.lit(1 << 30)) < share * (1 << 30)).select("_lang", "_text", "_order", "_good").distinct()
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("_good"), "_order"))
     texts: dict[str, str] = {}
     for r in few.select("_lang", "_text", rank.alias("_rank")).filter(F.col("_rank") <= ROWS).orderBy("_lang", "_rank").collect():
         have = texts.get(r[0], "")

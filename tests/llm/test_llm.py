@@ -129,6 +129,16 @@ def test_language():
     assert table[state, 3] < 0
 
 
+def test_language_learns_from_copies_and_odd_lengths(spark):
+    """A language of many copies of few texts, one of short texts and one of long ones are all learned."""
+    few = [f"{w} ket vor {w} nim sal {w} dor" for w in ("hop", "gar", "lum", "wex", "tiv")]
+    copies = spark.range(20_000).selectExpr("'aa' AS lang", f"array({', '.join(map(repr, few))})[cast(id % 5 AS int)] AS text")
+    other = [("bb", f"zu{i} yq zy") for i in range(400)] + [("cc", "jif pof cux " * 2000 + str(i)) for i in range(3)] + [("dd", None), (None, "x"), ("dd", "")]
+    model = langid.fit(copies.unionByName(spark.createDataFrame(other, "lang string, text string")))
+    assert model.languages == ["aa", "bb", "cc"]
+    assert model.predict([*few, "yq zy zu", "cux jif pof"])[0] == ["aa"] * 5 + ["bb", "cc"]
+
+
 def test_toxicity():
     rng = random.Random(8)
     say = lambda bad: " ".join(rng.choice(WORDS) for _ in range(60)) + (" vilescum" * 3 if bad else "")
