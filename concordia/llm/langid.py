@@ -11,18 +11,26 @@ from pyspark.sql.window import Window
 from .bpe import LETTER, classes
 from .common import arrow_map, chunks, crc32_mod, table
 
-#: Training text of a language: so many characters at most, from so many different texts at most (chosen by hash), of such lengths first.
+#: Training text of a language: so many characters at most, in pieces of an eighth of that at most from anywhere in a
+#: text, from so many different texts at most (chosen by hash), of such lengths first.
 CHARACTERS, ROWS, LENGTHS = 24_000, 60, (20, 20_000)
 #: Symbols a text is parsed in at once; a phrase doesn't cross the end of a block.
 BLOCK = 256
-#: Distinct letters that are told apart; rarer ones share a symbol. Languages learned at most: the most frequent ones.
-LETTERS, LANGUAGES = 90, 64
-_FLAG = np.int32(1 << 30)
 UNKNOWN = "und"
 
 
 def automaton(text: list[int], symbols: int) -> np.ndarray:
     """The suffix automaton of text as a table by state and symbol; the initial state is 0, -1 stands for no transition."""
+    steps = transitions(text)
+    out = np.full((len(steps), symbols), -1, np.int32)
+    for state, own in enumerate(steps):
+        if own:
+            out[state, list(own)] = list(own.values())
+    return out
+
+
+def transitions(text: list[int]) -> list[dict[int, int]]:
+    """The states of the suffix automaton of text, the initial one first: the next state by symbol."""
     steps, link, length = [{}], [-1], [0]
     last = 0
     for c in text:
@@ -48,17 +56,58 @@ def automaton(text: list[int], symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    out = np.full((len(steps), symbols), -1, np.int32)
+    return steps
+
+
+def compact(steps: list[dict[int, int]]) -> np.ndarray:
+    """Steps as one row of cells: a state is its base, its step by a symbol lies at base + symbol, as base << 32 | next base.
+
+    Bases differ by state, the initial one's is 0; cells that no state uses hold -1. The size follows the steps, not
+    states times symbols, so that any number of symbols fits.
+    """
+    used, taken, starts = bytearray(1), {0}, {}
+    base = [0] * len(steps)
+
+    def place(state):
+        nonlocal used
+        own = sorted(steps[state])
+        at, tries = starts.get((own[0], len(own)), 0) if own else 0, 0
+        while True:
+            at = used.find(0, at)
+            if at < 0:
+                at = len(used)
+                used += bytearray(max(1024, len(used) // 4))
+            b = at - (own[0] if own else 0)
+            if b >= 0 and (not state or b not in taken) and not any(b + c < len(used) and used[b + c] for c in own[1:]):
+                break
+            at, tries = at + 1, tries + 1
+            if tries % 50 == 0 and own:
+                starts[own[0], len(own)] = at  # leave crowded cells behind
+        if own and b + own[-1] >= len(used):
+            used += bytearray(b + own[-1] + 1024 - len(used))
+        taken.add(b)
+        base[state] = b
+        for c in own:
+            used[b + c] = 1
+
+    used += bytearray(1024 + max(steps[0], default=0))
+    for c in steps[0]:
+        used[c] = 1
+    for state in sorted(range(1, len(steps)), key=lambda i: -len(steps[i])):
+        place(state)
+    size = max(base) + 1 + max((max(x) for x in steps if x), default=0)
+    out = np.full(size, -1, np.int64)
     for state, own in enumerate(steps):
-        if own:
-            out[state, list(own)] = list(own.values())
+        for c, to in own.items():
+            out[base[state] + c] = base[state] << 32 | base[to]
     return out
 
 
 class Model:
     """Languages, the symbols of characters, and for each language the automaton of its text.
 
-    Symbol 0 fills up blocks, 1 is any run of what isn't a letter, 2 a letter not told apart, the rest are letters.
+    Symbol 0 fills up blocks, 1 is any run of what isn't a letter, 2 a letter of no language's text, the rest are the
+    letters of all texts, however many.
     """
 
     def __init__(self, texts: dict[str, str]):
@@ -69,8 +118,8 @@ class Model:
             for c in text.lower():
                 if kinds[ord(c)] == LETTER:
                     counts[c] = counts.get(c, 0) + 1
-        known = sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]
-        self.symbols = np.where(kinds == LETTER, 2, 1).astype(np.uint8)
+        known = sorted(counts, key=lambda c: (-counts[c], c))
+        self.symbols = np.where(kinds == LETTER, 2, 1).astype(np.int32)
         for i, c in enumerate(known):
             self.symbols[ord(c)] = i + 3
             if len(c.upper()) == 1:
@@ -87,13 +136,12 @@ class Model:
         once[1:] = (out[1:] != 1) | (out[:-1] != 1) | (owner[1:] != owner[:-1])
         return out[once], owner[once]
 
-    def _table(self, text: str) -> np.ndarray:
-        """Where each state and symbol lead, times width; flagged where a phrase ends before the symbol."""
-        own = automaton(self.read([text])[0].tolist(), self.width)
-        again = np.where(own[0] < 0, 0, own[0])
-        out = np.where(own < 0, again[None] * self.width | _FLAG, own * self.width)
-        out[:, 0] = 0
-        return out.ravel().astype(np.int32)
+    def _table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Where each base and symbol lead, filled up so that each base can take each symbol, and the steps of the initial state."""
+        own = compact(transitions(self.read([text])[0].tolist()))
+        own = np.append(own, np.full(self.width, -1))
+        first = own[: self.width]
+        return own, np.where(first >> 32 == 0, first & 0xFFFFFFFF, 0).astype(np.int32)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases a symbol, by text and language, and which texts have letters."""
@@ -107,14 +155,15 @@ class Model:
         lanes[within % BLOCK, first_block[owner] + within // BLOCK] = read
         of = np.repeat(np.arange(n), blocks)
         out = np.zeros((n, len(self.languages)))
-        for k, step in enumerate(self.tables):
-            state, ends = np.zeros(lanes.shape[1], np.int32), np.zeros(lanes.shape[1], np.int32)
+        pads = (lanes == 0).sum(0)
+        for k, (step, first_step) in enumerate(self.tables):
+            state, ends = np.zeros(lanes.shape[1], np.int64), np.zeros(lanes.shape[1], np.int32)
             for row in lanes:
-                state += row
-                np.take(step, state, out=state)
-                ends += state >> 30
-                state &= ~_FLAG
-            out[:, k] = np.bincount(of, ends + 1, n)
+                cell = step.take(state + row)
+                lost = cell >> 32 != state
+                ends += lost
+                state = np.where(lost, first_step.take(row), cell & 0xFFFFFFFF)
+            out[:, k] = np.bincount(of, ends - pads + 1, n)  # no text holds what fills up blocks
         return out / np.maximum(sizes, 1)[:, None], np.bincount(owner, read > 1, n) > 0
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -137,15 +186,17 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     rows = labelled.select(F.col(lang).alias("_lang"), F.col(text).alias("_text")).dropna().filter(F.length("_text") > 0)
     rows = rows.select("_lang", "_text", order.alias("_order"), F.length("_text").between(*LENGTHS).alias("_good"))
     counts = rows.select("_lang", "_order", "_good").distinct().groupBy("_lang").agg(F.count_if("_good").alias("_n"), F.count_if(~F.col("_good")).alias("_other"))
-    counts = counts.orderBy(F.desc(F.col("_n") + F.col("_other")), "_lang").limit(LANGUAGES)
+    size = CHARACTERS // 8
+    start = F.pmod(F.xxhash64(F.lit("piece"), "_text"), F.greatest(F.length("_text") - size + 1, F.lit(1)))
+    piece = F.substr("_text", (start + 1).cast("int"), F.lit(size))
     # of over 180 texts, about 180 pass by their hashes, of which the first ROWS are taken
     share = F.when(F.col("_good"), 3.0 * ROWS / F.col("_n")).when(F.col("_n") < ROWS, 3.0 * ROWS / F.col("_other")).otherwise(0.0)
-    few = rows.join(F.broadcast(counts), "_lang").filter(F.pmod("_order", F.lit(1 << 30)) < share * (1 << 30)).select("_lang", "_text", "_order", "_good").distinct()
+    few = rows.join(F.broadcast(counts), "_lang").filter(F.pmod("_order", F.lit(1 << 30)) < share * (1 << 30)).select("_lang", piece.alias("_text"), "_order", "_good").distinct()
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("_good"), "_order"))
     texts: dict[str, str] = {}
     for r in few.select("_lang", "_text", rank.alias("_rank")).filter(F.col("_rank") <= ROWS).orderBy("_lang", "_rank").collect():
         have = texts.get(r[0], "")
-        texts[r[0]] = have + (" " if have else "") + r[1][: max(0, min(CHARACTERS // 8, CHARACTERS - len(have)))]
+        texts[r[0]] = have + (" " if have else "") + r[1][: max(0, CHARACTERS - len(have))]
     return Model(texts)
 
 

@@ -139,6 +139,41 @@ def test_language_learns_from_copies_and_odd_lengths(spark):
     assert model.predict([*few, "yq zy zu", "cux jif pof"])[0] == ["aa"] * 5 + ["bb", "cc"]
 
 
+def test_compact_automaton():
+    rng = random.Random(3)
+    for _ in range(100):
+        k = rng.choice([2, 5, 300])
+        text = [rng.randint(3, k + 3) for _ in range(rng.randint(0, 80))]
+        full, cells = langid.automaton(text, k + 4), langid.compact(langid.transitions(text))
+        cells = np.append(cells, np.full(k + 4, -1))
+        base, todo = {0: 0}, [0]
+        while todo:
+            state = todo.pop()
+            for c in range(k + 4):
+                cell = int(cells[base[state] + c])
+                assert (cell >> 32 == base[state]) == (full[state, c] >= 0)
+                if full[state, c] >= 0 and full[state, c] not in base:
+                    base[full[state, c]] = cell & 0xFFFFFFFF
+                    todo.append(full[state, c])
+                assert full[state, c] < 0 or base[full[state, c]] == cell & 0xFFFFFFFF
+        assert len(set(base.values())) == len(full)
+
+
+def test_language_scripts_many_languages_and_late_text(spark):
+    """Scripts of hundreds of letters are told apart, over 64 languages are learned, and pieces come from the whole text."""
+    rng = random.Random(4)
+    han = {k: "".join(rng.choice([chr(c) for c in range(a, a + 150)]) for _ in range(3000)) for k, a in (("h1", 0x4E00), ("h2", 0x5E00))}
+    model = langid.Model(han | {"en": "the man and the other thing with all of them " * 200})
+    assert model.predict([han["h1"][500:540], han["h2"][500:540], "the other man"])[0] == ["h1", "h2", "en"]
+    say = lambda k: " ".join("".join(random.Random(f"{k} {i}").choices(string.ascii_lowercase, k=7)) for i in range(8))
+    table = [(f"l{k:02d}", f"{say(k)} {i}") for k in range(70) for i in range(3 if k < 64 else 2)]
+    table += [("late", "1 " * 5000 + "qoph zayin tsade " * 300 + str(i)) for i in range(40)]
+    model = langid.fit(spark.createDataFrame(table, "lang string, text string"))
+    assert len(model.languages) == 71
+    assert model.predict([say(k) for k in range(70)])[0] == [f"l{k:02d}" for k in range(70)]
+    assert model.predict(["tsade qoph zayin"])[0] == ["late"]
+
+
 def test_toxicity():
     rng = random.Random(8)
     say = lambda bad: " ".join(rng.choice(WORDS) for _ in range(60)) + (" vilescum" * 3 if bad else "")
