@@ -20,6 +20,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{32,}")
 _DIGIT, _CANDIDATE = re.compile(r"[0-9]"), re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+#: A part of a path: a word in one case, perhaps with a capital, before or after a number, or a number.
+_NAME = re.compile(r"[0-9]*(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]*|[0-9]+")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
@@ -58,21 +60,30 @@ def peak_entropy(text: str, window: int = WINDOW) -> float:
     return best
 
 
+def named(text: str) -> bool:
+    """Whether most characters of text lie in parts like names of files: few changes between cases and digits."""
+    parts = [p for p in re.split("[/_=+-]+", text) if p]
+    return 2 * sum(len(p) for p in parts if _NAME.fullmatch(p)) > sum(map(len, parts))
+
+
+def random_key(s: str) -> bool:
+    """Whether s, with digits and letters, has a window as random as keys are, and isn't an allowed one."""
+    if not _DIGIT.search(s) or not re.search("[A-Za-z]", s) or _UUID.fullmatch(s) or any(w in s.lower() for w in ALLOWED):
+        return False
+    kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) else "alphanumeric" if s.isalnum() else "base64"
+    return peak_entropy(s) >= BITS[kind]
+
+
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
-    """Candidates with digits and letters whose windows are as random as keys are, but for allowed ones."""
+    """Candidates that are random keys; of one that is a path, the parts between slashes that are."""
     out = []
     if not _DIGIT.search(text):
         return out
     for m in _CANDIDATE.finditer(text):
-        s = m[0]
-        if not _DIGIT.search(s) or not re.search("[A-Za-z]", s) or s.count("/") > 2 or _UUID.fullmatch(s):
-            continue
-        low = s.lower()
-        if any(w in low for w in ALLOWED):
-            continue
-        kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) else "alphanumeric" if s.isalnum() else "base64"
-        if peak_entropy(s) >= BITS[kind]:
-            out.append((m.start(), m.end(), "entropy"))
+        parts = [m.span()]
+        if m[0].count("/") > 2 and named(m[0]):
+            parts = [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer("[^/]{20,}", m[0]) if not named(p[0])]
+        out += [(a, b, "entropy") for a, b in parts if random_key(text[a:b])]
     return out
 
 

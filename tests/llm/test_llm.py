@@ -116,6 +116,19 @@ def test_secrets():
     assert secrets.peak_entropy("abcd" * 5) == pytest.approx(2.0)
 
 
+def test_secrets_with_slashes():
+    """Base64 keys are found whatever slashes they hold, paths aren't, but a key in a path is."""
+    rng = random.Random(7)
+    for n in (48, 88, 172, 344):
+        for _ in range(50):
+            key = __import__("base64").b64encode(rng.randbytes(n * 3 // 4)).decode()
+            assert (2, 2 + len(key), "entropy") in secrets.find(f"x {key} y")
+    for path in ("usr/local/lib/python3/site-packages/numpy2/core", "/home/Jane/Documents/2021/Report7/final_version3/page12"):
+        assert secrets.find(path) == []
+    key = "q8Zr2LmX0vTy7Kd4WnB1sH6u"
+    assert secrets.find(f"api/v1/services/internal/hooks/{key}") == [(31, 55, "entropy")]
+
+
 def test_language():
     en, de = "the man and the other thing with all of them " * 60, "der mann und die andere sache mit allen von ihnen " * 60
     model = langid.Model({"en": en, "de": de})
