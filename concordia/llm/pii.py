@@ -15,7 +15,7 @@ from .secrets import digest
 
 KINDS = ("email", "ip", "card", "phone", "contact", "identity")
 LABELS = ("O", "B-contact", "I-contact", "B-identity", "I-identity")
-#: Words of context on each side of a token with a digit or an at sign, and the characters they are looked for in.
+#: Words of context on each side of a token that the field reads around, and the characters they are looked for in.
 CONTEXT, REACH = 2, 48
 #: The labelled table the field is trained on: tokens, with /c for a contact number or address and /i for an identity number.
 LABELLED = """
@@ -56,6 +56,35 @@ h2o and co2 at 25% of 80%
 1 2 3 4 5 6 7
 it scored 3-2 or 21-14 then
 isbn 978-3-16-148410-0 was printed
+write to jane/c at/c example/c dot/c org/c please
+mail bob/c (at)/c host/c dot/c com/c soon
+reach mary/c [at]/c mail/c [dot]/c net/c today
+jane/c dot/c doe/c at/c post/c dot/c co/c dot/c uk/c is hers
+tom/c (at)/c school/c (dot)/c edu/c
+contact anna/c AT/c firm/c DOT/c de/c or call
+sam/c at/c inbox/c dot/c com/c
+kim/c dot/c lee/c at/c mailer/c dot/c net/c
+and then rob/c at/c server/c dot/c org/c said
+mail root@localhost/c now
+ask jane@localhost/c or admin@mailhost/c first
+bob@intranet/c wrote
+look at the dot on the map
+she was at home and at work
+they met at noon at the old house
+a dot is a point and the dot moved
+the red dot at the end of the line
+dot by dot and line by line
+it was over. At noon he left
+long gone. At or near the end
+so it hath. At last they
+at last he came at once
+not at all said the man
+he stood at example and sat at host
+sold @ market and @ home
+@jane said and @bob said
+join the dot plot at the top
+at school at mail at office
+polka dot dress at a shop
 """
 
 
@@ -90,7 +119,8 @@ _DIGIT = re.compile("[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # one that starts within a run of digits starts no match
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_MARK = re.compile(r"[0-9@]")
+#: What the field reads around: a digit, an at sign, and the words at and dot, which stand for signs in hidden addresses.
+_MARK = re.compile(r"[0-9@]|(?<![^\s(\[{<])(?:at|dot|AT|DOT|At|Dot)(?![^\s)\]}>])")
 
 
 def _byte(part: str) -> bool:
@@ -203,9 +233,8 @@ def field() -> Field:
 
 
 def sequences(text: str) -> list[list[tuple[int, int]]]:
-    """Token sequences the field reads: each run of tokens with a digit or at sign, and the words of context around it.
-
-    Whatever else a text holds is a plain word, far from any such token, and is no part of personal numbers.
+    """Token sequences the field reads: each run of tokens with a digit, an at sign or the word at or dot, and the words
+    of context around it. Other words are not read.
     """
     marked, end = [], 0
     for m in _MARK.finditer(text):
@@ -253,7 +282,7 @@ def find_all(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
                 a, b = s[j][0], s[k - 1][1]
                 while b > a and texts[i][b - 1] in ".,;:!?\"'":
                     b -= 1
-                if _DIGIT.search(texts[i], a, b) and not any(x[0] < b and a < x[1] for x in base[i]):
+                if not any(x[0] < b and a < x[1] for x in base[i]):
                     base[i].append((a, b, label[2:]))
             j = k
     return [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]))) for x in base]

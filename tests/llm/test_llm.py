@@ -99,6 +99,12 @@ def test_pii():
     assert pii.masked("mail a@b.c now", pii.find_all(["mail a@b.c now"])[0]) == "mail [EMAIL] now"
 
 
+def test_pii_without_digits():
+    texts = ["so write to jane (at) example dot org today", "then ask jane@localhost about it", "we met her at the station and sat at a table", "one dot on a page"]
+    got = [[(k, x[a:b]) for a, b, k in some] for x, some in zip(texts, pii.find_all(texts), strict=True)]
+    assert got == [[("contact", "jane (at) example dot org")], [("contact", "jane@localhost")], [], []]
+
+
 def test_pii_base_is_the_patterns():
     rng = random.Random(6)
     for _ in range(3000):
