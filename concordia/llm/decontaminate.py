@@ -15,6 +15,8 @@ from .common import LOWER, MARKS, arrow_map, chunks, ragged, span_hashes, table,
 TILE = 5
 #: Share of an item's tokens that tiles in one text must cover.
 COVERAGE = 0.5
+#: Tokens of the shortest item for which decontaminate() removes a text; contaminated() reports shorter ones as well.
+LEAST = 5
 #: Bytes of benchmark text that one pass over the texts holds against them; a larger benchmark takes more passes.
 BLOCK_BYTES = 4_000_000
 _TILES = "array<struct<item_start:int,text_start:int,length:int>>"
@@ -135,8 +137,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """docs without those that hold a benchmark item; rows with a null doc_id stay."""
-    bad = contaminated(docs, benchmark, coverage).select(F.col("doc_id").alias("_bad")).distinct()
+    """docs without those that hold a benchmark item of LEAST tokens or more; rows with a null doc_id stay."""
+    bad = contaminated(docs, benchmark, coverage).filter(F.col("n_tokens") >= LEAST).select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
 
 

@@ -74,6 +74,13 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_reported_but_remove_nothing(spark):
+    docs = spark.createDataFrame([(1, "we said yes to all of it"), (2, "so one two three four five it is")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, "Yes"), (8, "one two three four five")], "item_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()) == [(1, 7), (2, 8)]
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()] == [1]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     table = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(200)]
