@@ -140,6 +140,16 @@ def merge(piece: bytes, rank) -> list[int]:
     return out
 
 
+def unlike(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """The spans whose codes differ from those of the span that `like` gives for each."""
+    size = ends - starts
+    same = size == (ends - starts)[like]
+    rows = np.flatnonzero(same & (like != np.arange(len(like))))
+    equal = codes[ragged(starts[rows], size[rows])] == codes[ragged(starts[like[rows]], size[rows])]
+    wrong = np.bincount(np.repeat(rows, size[rows])[~equal], minlength=len(like)) > 0
+    return np.flatnonzero(~same | wrong)
+
+
 class Codec:
     """Encoder and decoder of one vocabulary; rank files are read where they are used, by path."""
 
@@ -161,7 +171,7 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(entries), np.uint8)
         self.sizes = np.array([len(x) for x in entries], np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.memo: dict[int, tuple[int, ...]] = {}
+        self.memo: dict[bytes, tuple[int, ...]] = {}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts and the offsets of each text in them."""
@@ -175,22 +185,26 @@ class Codec:
         first_of_text = np.searchsorted(starts[real], np.append(0, breaks + 1))
         starts, ends = starts[real], ends[real]
         keys, one, back = np.unique(span_hashes(codes, starts, ends), return_index=True, return_inverse=True)
+        odd = unlike(codes, starts, ends, one[back])
+        if len(odd):  # of one hash, but not of one content: each on its own
+            back[odd] = len(one) + np.arange(len(odd))
+            keys, one = np.append(keys, span_hashes(codes, starts[odd], ends[odd])), np.append(one, odd)
         slots = self.hash.find(keys)
         known = self.key_at[slots] == keys
         ids = [None] * len(keys)
         found = self.id_at[slots].tolist()
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo, rank, entries = self.memo, self.rank.get, self.entries
-        for j, (key, hit, s, e) in enumerate(zip(keys.tolist(), known.tolist(), starts[one].tolist(), ends[one].tolist(), strict=True)):
-            if not hit and (have := memo.get(key)) is not None:
-                ids[j] = have
-                continue
-            piece = codes[s:e].tobytes().decode("utf-32-le").encode()
+        memo, rank, entries, whole = self.memo, self.rank.get, self.entries, "".join(texts)
+        before = np.searchsorted(breaks, starts[one])  # marks between texts, which whole doesn't have
+        for j, (hit, s, e) in enumerate(zip(known.tolist(), (starts[one] - before).tolist(), (ends[one] - before).tolist(), strict=True)):
+            piece = whole[s:e].encode()
             if hit and entries[found[j]] == piece:
                 ids[j] = (found[j],)
+            elif (have := memo.get(piece)) is not None:
+                ids[j] = have
             else:
-                ids[j] = memo[key] = tuple(merge(piece, rank))
+                ids[j] = memo[piece] = tuple(merge(piece, rank))
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for some in ids for x in some), np.int64, int(counts.sum()))
         each = counts[back]

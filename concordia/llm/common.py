@@ -12,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch, and characters of text that numpy works on at once (a longer text goes alone).
-BATCH_ROWS, CHUNK_BYTES = 400, 1_000_000
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Rows and bytes of a part of an Arrow batch, and characters of text that numpy works on at once (a longer text goes alone).
+BATCH_ROWS, PART_BYTES, CHUNK_BYTES = 400, 8_000_000, 1_000_000
+#: The modulus of span_hashes(), a prime, and two bases for it; quick_hashes() calculates modulo 2**64.
+PRIME, BASES = np.uint64((1 << 61) - 1), (0x1A2B5C9E3779B97F, 0x0D1342543DE82EF9)
+QUICK = 0x9E3779B97F4A7C15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(frame: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator], schema: str) -> DataFrame:
-    """frame through function, Arrow batch by Arrow batch; batches hold few rows, so that long texts fit in a worker."""
-    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """frame through function, part by part of its Arrow batches; parts hold few rows and bytes, so that long texts fit in a worker."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                out = function(batch)
+            for part in parts(batch):
+                out = function(part)
                 if isinstance(out, pa.RecordBatch):
                     yield out
                 else:
@@ -37,6 +38,14 @@ def arrow_map(frame: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBa
     return frame.mapInArrow(run, schema)
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch, which Spark bounds by bytes, in parts of BATCH_ROWS rows and about PART_BYTES bytes at most, or of one row."""
+    if batch.num_rows:
+        rows = max(1, min(BATCH_ROWS, PART_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(lengths: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose lengths sum up to limit at most, or single rows."""
     start = total = 0
@@ -66,37 +75,101 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_M30, _M31 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_30, _31, _61, _ONE = np.uint64(30), np.uint64(31), np.uint64(61), np.uint64(1)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & PRIME) + (x >> _61)
+    return x - PRIME * (x >= PRIME)
+
+
+def multiplied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, by halves of 31 bits; both are below it."""
+    bh, bl = b >> _31, b & _M31
+    if a.dtype.itemsize < 8:  # a is below 2**31
+        a = a.astype(np.uint64)
+        mid = a * bh
+        return reduced((mid >> _30) + ((mid & _M30) << _31) + a * bl)
+    ah, al = a >> _31, a & _M31
+    mid = ah * bl + al * bh
+    return reduced(((ah * bh) << _ONE) + (mid >> _30) + ((mid & _M30) << _31) + al * bl)
+
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_QUICK_POWERS: list[np.ndarray] = []
 
 
-def powers(n: int, base: int = int(BASE)) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo PRIME."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
         pair = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, np.uint64(b))
-            p[0] = 1
-            pair.append(np.multiply.accumulate(p))
+        for b in (base, pow(base, -1, int(PRIME))):
+            p = np.ones(1, np.uint64)
+            while len(p) < max(n, 1 << 16):
+                p = np.concatenate([p, multiplied(p, np.uint64(pow(b, len(p), int(PRIME))))])
+            pair.append(p)
         have = _POWERS[base] = tuple(pair)
     return have[0][:n], have[1][:n]
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = int(BASE)) -> np.ndarray:
-    """64-bit hashes of values[start:end] for many spans, from one running sum: equal content, equal hash."""
-    up, down = powers(len(values) + 1, base)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+class Spans:
+    """Hashes of spans of values by sums of values times powers of a base, modulo a prime: equal content, equal hash.
+
+    Different contents of up to n values meet with a chance of n / 2**61. Values are taken modulo the prime.
+    """
 
+    def __init__(self, values: np.ndarray, base: int = BASES[0]):
+        up, self.down = powers(len(values) + 1, base)
+        if values.dtype.itemsize < 8:
+            term = multiplied(values.astype(np.uint32) + np.uint32(1), up[:-1])
+        else:
+            term = multiplied(reduced(reduced(values) + _ONE), up[:-1])
+        self.high, self.low = np.zeros(len(values) + 1, np.uint64), np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(term >> _31, out=self.high[1:])
+        np.cumsum(term & _M31, out=self.low[1:])
 
-def window_hashes(values: np.ndarray, size: int, base: int = int(BASE)) -> np.ndarray:
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        high, low = self.high[ends] - self.high[starts], self.low[ends] - self.low[starts]
+        total = reduced((high >> _30) + ((high & _M30) << _31) + low)
+        return mix(multiplied(total, self.down[starts]))
+
+    def windows(self, size: int) -> np.ndarray:
+        """Hashes of all windows of a size."""
+        n = len(self.high) - size
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        high, low = self.high[size:] - self.high[:n], self.low[size:] - self.low[:n]
+        return mix(multiplied(reduced((high >> _30) + ((high & _M30) << _31) + low), self.down[:n]))
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
+    """Hashes of values[start:end] for many spans."""
+    return Spans(values, base).of(starts, ends)
+
+
+def window_hashes(values: np.ndarray, size: int, base: int = BASES[0]) -> np.ndarray:
     """Hashes of all windows of a size over values."""
-    if len(values) < size:
+    return Spans(values, base).windows(size)
+
+
+def quick_windows(values: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of a size modulo 2**64, where meeting by chance costs time only: contents can be made to meet."""
+    n = len(values) - size + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    starts = np.arange(len(values) - size + 1)
-    return span_hashes(values, starts, starts + size, base)
+    if not _QUICK_POWERS or len(_QUICK_POWERS[0]) <= len(values):
+        pair = []
+        for b in (QUICK, pow(QUICK, -1, 1 << 64)):
+            p = np.full(max(len(values) + 1, 1 << 16), np.uint64(b))
+            p[0] = 1
+            pair.append(np.multiply.accumulate(p))
+        _QUICK_POWERS[:] = pair
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + _ONE) * _QUICK_POWERS[0][: len(values)], out=total[1:])
+    return mix((total[size:] - total[:n]) * _QUICK_POWERS[1][:n])
 
 
 SPACE = np.zeros(256, bool)
@@ -152,9 +225,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that the cluster shares; a temporary folder only where none is set, as in tests."""
+    """A fresh path in the folder that the cluster shares; a temporary folder only on one machine, where none is set, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/concordia-{os.getpid()}"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -164,15 +239,25 @@ def keep(frame: DataFrame) -> DataFrame:
     """frame, written to the shared folder and read again: cuts lineage, and outlives lost executors."""
     spark, path = frame.sparkSession, shared_dir(frame.sparkSession)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.__dict__["_kept_at"] = path
+    return out
 
 
-def drop(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes what keep() wrote for frames."""
+def drop(*frames: DataFrame | None) -> None:
+    """Deletes what keep() wrote for frames; nothing that is still to run may read it."""
     for frame in frames:
-        for file in frame.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if frame is not None and (path := frame.__dict__.pop("_kept_at", None)):
+            where = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(frame: DataFrame, name: str) -> str:
+    """name, with underscores before it until frame has no such column (columns differ by more than case)."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def checked_broadcast(frame: DataFrame, rows: int) -> tuple[DataFrame, bool]:

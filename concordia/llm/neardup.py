@@ -7,13 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_map, chunks, keep, mix, ragged, span_hashes, table, utf8, words
+from .common import LOWER, arrow_map, chunks, drop, fresh, keep, mix, ragged, span_hashes, table, utf8, words
 
-#: Values of a sketch, and how many two sketches share at least if 80 of 100 shingles are shared (but for a chance under
-#: 1e-8); LONG is for the few classes left after the rounds.
-SHORT, LONG = (48, 20), (256, 160)
-#: Estimates under this leave a pair out: five standard errors, of 0.06 each, below 0.8.
-ESTIMATE = 0.5
+#: Values of a sketch, and how many two sketches share at least if 80 of 100 shingles are shared (but for a chance under 1e-8).
+SKETCH, SHARED = 48, 20
 #: Words of 64 bits in a set's parity bitmap.
 BITMAP = 8
 #: Rounds in which each list is held against one of its members, before what is left is compared in pairs.
@@ -46,32 +43,38 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 n.append(len(s))
                 f1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
                 f2.append(int(mix(s ^ _SALT).sum(dtype=np.uint64).view(np.int64)))
-                sketch.append(s[: SHORT[0]].view(np.int64).tolist())
+                sketch.append(s[:SKETCH].view(np.int64).tolist())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=["_id", "n", "f1", "f2", "sketch"])
 
     return arrow_map(docs, run, f"_id {docs.schema['_id'].dataType.simpleString()}, n bigint, f1 bigint, f2 bigint, sketch array<bigint>")
 
 
-def inverted(classes: DataFrame, kind: tuple[int, int], similarity: int) -> DataFrame:
-    """(a, n, most, value): classes by the sketch values in which a similar class must meet them.
-
-    Where classes have a component `comp`, only values of several components count, as pairs within one aren't sought.
-    `most` bounds what a class can share with a class it is sought with: all its values that count, if all are sketched.
+def inverted(classes: DataFrame, similarity: int) -> DataFrame:
+    """(a, n, value): classes by the sketch values in which a similar class must meet them.
 
     Sketches of similar sets share so many values, and small sets, which are sketched whole, share `similarity` of 100
     of theirs, that one of the rarest values will do: as many of the most frequent as that, less one, are left out.
     Values of one class alone meet nobody; so what shares a passage or a line, but not most of its text, has no lists.
     """
-    size, shared = kind
-    each = classes.select("a", "n", *[c for c in classes.columns if c == "comp"], F.explode("sketch").alias("value"))
-    apart = F.min("comp") != F.max("comp") if "comp" in classes.columns else F.count("*") > 1
-    many = each.groupBy("value").agg(F.count("*").alias("df"), apart.alias("apart")).filter("apart").drop("apart")
-    met = each.select("a", "n", "value").join(many, "value").groupBy("a").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
+    each = classes.select("a", "n", F.explode("sketch").alias("value"))
+    many = each.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    met = each.join(many, "value").groupBy("a").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
     whole = F.ceil(F.col("n") * similarity / 100).cast("int") - 1
-    spare = F.when(F.col("n") <= size * similarity // 100, whole).otherwise(F.lit(shared - 1))
-    most = F.when(F.col("n") <= size, F.size("values").cast("bigint")).otherwise(F.col("n"))
-    used = met.filter(F.size("values") > spare).select("a", "n", most.alias("most"), F.explode(F.slice("values", F.lit(1), F.size("values") - spare)).alias("v"))
-    return used.select("a", "n", "most", F.col("v.value").alias("value"))
+    spare = F.when(F.col("n") <= SKETCH * similarity // 100, whole).otherwise(F.lit(SHARED - 1))
+    used = met.filter(F.size("values") > spare).select("a", "n", F.explode(F.slice("values", F.lit(1), F.size("values") - spare)).alias("v"))
+    return used.select("a", "n", F.col("v.value").alias("value"))
+
+
+def neighbours(classes: DataFrame) -> DataFrame:
+    """(a, first, second, before): each value of a class's sketch with the next one, and the value before both.
+
+    Of the smallest values of the union of two sets with 80 of 100 shared, each is shared with that chance; so of 48
+    some two in a row are, but for a chance of 1e-13, and two shared in a row are in a row in both sketches. Of the places
+    where two sketches agree in a row, that where `before` differs is the first: one place stands for the whole run.
+    """
+    at = F.sequence(F.lit(1), F.size("sketch") - 1)
+    pair = F.transform(at, lambda i: F.struct(F.get("sketch", i - 1).alias("first"), F.get("sketch", i).alias("second"), F.when(i > 1, F.get("sketch", i - 2)).alias("before")))
+    return classes.filter(F.size("sketch") > 1).select("a", F.explode(pair).alias("p")).select("a", "p.first", "p.second", "p.before")
 
 
 def _sizes(n: str, m: str, similarity: int):
@@ -79,11 +82,6 @@ def _sizes(n: str, m: str, similarity: int):
     return (100 * F.col(n) >= similarity * F.col(m)) & (100 * F.col(m) >= similarity * F.col(n))
 
 
-def _can_share(most: str, n: str, m: str, similarity: int):
-    """Whether a set that shares `most` values can be that similar: 80 of 100 of the union are 80 of 180 of both sizes."""
-    return (100 + similarity) * F.col(most) >= similarity * (F.col(n) + F.col(m))
-
-
 def parity(s: np.ndarray) -> np.ndarray:
     """A bitmap in which each value of a set flips the bit that it falls on: two sets differ by as many values as bits, or more."""
     flips = np.bincount((mix(s ^ _SALT) % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
@@ -97,13 +95,16 @@ def _differ_little(similarity: int):
 
 
 def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose sets share `similarity` of 100 at least, first by the sketches' union, then exactly."""
+    """The pairs (a, b) whose sets share `similarity` of 100 at least, first by the sketches' union, then exactly.
+
+    Of the union's smallest values as many must be shared as similar sets share (but for that chance under 1e-8).
+    """
     left = classes.select("a", F.col("sketch").alias("sa"), F.col("n").alias("na"))
     right = classes.select(F.col("a").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
     both = pairs.join(left, "a").join(right, "b").filter(_sizes("na", "nb", similarity))
-    low = F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))), 1, SHORT[0])  # in unsigned order, as sketches are
+    low = F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))), 1, SKETCH)  # in unsigned order, as sketches are
     shared = F.size(F.array_intersect(low, F.transform(F.array_intersect("sa", "sb"), lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))))
-    near = both.filter(shared >= ESTIMATE * F.size(low)).select("a", "b")
+    near = both.filter(shared * SKETCH >= SHARED * F.size(low)).select("a", "b")
     both = near.join(sets.select("a", F.col("set").alias("x")), "a").join(sets.select(F.col("a").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batch):
@@ -129,10 +130,13 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = keep(small)
+        last, edges = edges, keep(small)
+        drop(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("u").alias("a"), F.col("v").alias("comp"))
+            out = edges.select(F.col("u").alias("a"), F.col("v").alias("comp"))
+            out.__dict__["_kept_at"] = edges.__dict__["_kept_at"]
+            return out
         state = now
 
 
@@ -145,53 +149,57 @@ def near_duplicates(frame: DataFrame, size: int = 4, similarity: int = 80, key:
 
     Texts of one set form a class, so copies never meet in pairs. Classes that share a sketch value stand in its list.
     In each round a list's first member not yet held against it meets the members of other components, so a list of
-    thousands of near copies costs as many pairs, not their square; what is in different components after the rounds is
-    compared in pairs, by longer sketches, so no link between components is lost. Pairs that sizes, shared values or
-    parity bitmaps prove to be too different are left out; all three bounds are exact.
+    thousands of near copies costs as many pairs, not their square. Members of lists that still span components meet in
+    pairs where two values in a row of their sketches agree, each pair once for each run that agrees, not for each value.
+    Pairs that sizes or parity bitmaps prove to be too different are left out; both bounds are exact. A link of exactly
+    `similarity` is missed with a chance under 1e-8, as sketches are samples; sets of up to 48 shingles are sketched whole.
     """
     docs = frame.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     base = keep(sketches(docs, size))
     known = base.filter("n > 0 AND _id IS NOT NULL")
     classes = keep(known.groupBy("f1", "f2", "n").agg(F.min("_id").alias("a"), F.first("sketch").alias("sketch")))
-    lists = keep(inverted(classes, SHORT, similarity))
+    lists = keep(inverted(classes, similarity))
     some = keep(lists.select("a").distinct())
     few = some.limit(400_001).count() <= 400_000
     again = docs.join(F.broadcast(some) if few else some, docs["_id"] == some["a"], "left_semi")
+    bitmap = [f"b{k}" for k in range(BITMAP)]
 
     def whole(batch):
         data, offsets = utf8(batch.column(1))
-        sets = [s.tobytes() for a, b in chunks(np.diff(offsets)) for s in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["a", "set"])
+        sets = [s for a, b in chunks(np.diff(offsets)) for s in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)]
+        maps = np.array([parity(s) for s in sets])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), *map(pa.array, maps.T)], names=["a", "set", *bitmap])
 
     kind = frame.schema[key].dataType.simpleString()
-    sets = keep(arrow_map(again, whole, f"a {kind}, set binary"))
-    links, comps, hubs = None, some.select("a", F.col("a").alias("comp")), None
-    for _ in range(ROUNDS):
+    sets = keep(arrow_map(again, whole, f"a {kind}, set binary, {', '.join(f'{b} bigint' for b in bitmap)}"))
+    links, comps, hubs = None, keep(some.select("a", F.col("a").alias("comp"))), None
+
+    def active() -> DataFrame:
+        """Members of the lists that hold several components."""
         members = lists.join(comps, "a")
-        active = members.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("value")
-        members = keep(members.join(active, "value"))
+        mixed = members.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("value")
+        return members.join(mixed, "value")
+
+    for _ in range(ROUNDS):
+        members = keep(active())
         rest = members if hubs is None else members.join(hubs.select("value", F.col("hub").alias("last")), "value").filter("a > last")
-        hubs = keep(rest.groupBy("value").agg(F.min(F.struct("a", "comp", "n")).alias("h")).select("value", F.col("h.a").alias("hub"), F.col("h.comp").alias("hub_comp"), F.col("h.n").alias("hub_n")))
-        pairs = members.join(hubs, "value").filter("a > hub AND comp <> hub_comp").filter(_sizes("n", "hub_n", similarity)).select(F.col("hub").alias("a"), F.col("a").alias("b")).distinct()
+        chosen = keep(rest.groupBy("value").agg(F.min(F.struct("a", "comp", "n")).alias("h")).select("value", F.col("h.a").alias("hub"), F.col("h.comp").alias("hub_comp"), F.col("h.n").alias("hub_n")))
+        pairs = members.join(chosen, "value").filter("a > hub AND comp <> hub_comp").filter(_sizes("n", "hub_n", similarity)).select(F.col("hub").alias("a"), F.col("a").alias("b")).distinct()
         links, comps, more = _linked(verified(pairs, classes, sets, similarity), links, comps)
+        drop(members, hubs)
+        hubs = chosen
         if not more:
             break
-    members = lists.join(comps, "a")
-    active = members.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("value")
-    open_ = keep(members.join(active, "value").select("a").distinct())
-
-    def longer(batch):
-        values = [np.frombuffer(x, np.int64)[: LONG[0]].tolist() for x in batch.column(2).to_pylist()]
-        maps = np.array([parity(np.frombuffer(x, np.uint64)) for x in batch.column(2).to_pylist()])
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.list_(pa.int64())), *map(pa.array, maps.T)], names=["a", "n", "sketch", *bitmap])
-
-    bitmap = [f"b{k}" for k in range(BITMAP)]
-    left = sets.join(open_, "a").join(classes.select("a", "n"), "a").select("a", "n", "set")
-    long = keep(arrow_map(left, longer, f"a {kind}, n bigint, sketch array<bigint>, {', '.join(f'{b} bigint' for b in bitmap)}").join(comps, "a"))
-    lists = inverted(long, LONG, similarity)
-    members = keep(lists.join(long.select("a", "comp", *bitmap), "a"))
-    pairs = members.alias("x").join(members.alias("y"), "value").filter("x.a < y.a AND x.comp <> y.comp").filter(_sizes("x.n", "y.n", similarity) & _can_share("x.most", "x.n", "y.n", similarity) & _can_share("y.most", "x.n", "y.n", similarity) & _differ_little(similarity)).select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
+    open_ = keep(active().select("a").distinct())
+    left = classes.join(open_, "a").join(comps, "a").join(sets.select("a", *bitmap), "a")
+    runs = neighbours(left).join(left.select("a", "n", "comp", *bitmap), "a")
+    mixed = neighbours(left).join(comps, "a").groupBy("first", "second").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("first", "second")
+    runs = keep(runs.join(mixed, ["first", "second"]))
+    start = F.col("x.before").isNull() | F.col("y.before").isNull() | (F.col("x.before") != F.col("y.before"))
+    met = runs.alias("x").join(runs.alias("y"), ["first", "second"]).filter("x.a < y.a AND x.comp <> y.comp").filter(start & _sizes("x.n", "y.n", similarity) & _differ_little(similarity))
+    pairs = met.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
     links, comps, _ = _linked(verified(pairs, classes, sets, similarity), links, comps)
+    drop(lists, some, hubs, sets, open_, runs, links)
     named = base.join(classes.select("f1", "f2", "n", "a"), ["f1", "f2", "n"], "left").join(comps, "a", "left")
     alone = F.col("n") == 0
     component = F.when(F.col("_id").isNull(), F.lit(None)).when(alone, F.col("_id")).otherwise(F.coalesce("comp", "a"))
@@ -203,11 +211,15 @@ def _linked(found: DataFrame, links: DataFrame | None, comps: DataFrame):
     """All links so far, the components they make, and whether any were found."""
     found = keep(found)
     if found.isEmpty():
+        drop(found)
         return links, comps, False
-    links = found if links is None else keep(links.unionByName(found))
-    made = components(links)
-    comps = keep(comps.select("a").join(made, "a", "left").select("a", F.coalesce("comp", "a").alias("comp")))
-    return links, comps, True
+    both = found if links is None else keep(links.unionByName(found))
+    if both is not found:
+        drop(links, found)
+    made = components(both)
+    now = keep(comps.select("a").join(made, "a", "left").select("a", F.coalesce("comp", "a").alias("comp")))
+    drop(made, comps)
+    return both, now, True
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: int = 80) -> DataFrame:
@@ -216,14 +228,15 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: int = 80) -> DataFra
     Of rows that repeat the kept doc_id one stays.
     """
     found = near_duplicates(docs, size, similarity)
-    gone = keep(found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct())
+    own, other = fresh(docs, "_gone"), fresh(docs, "_twice")
+    gone = keep(found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(own)).distinct())
     few = gone.limit(400_001).count() <= 400_000
-    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = keep(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice")))
+    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col(own), "left_anti")
+    twice = keep(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(other)))
     if twice.isEmpty():
         return left
-    many = left.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi")
-    return left.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(many.dropDuplicates(["doc_id"]))
+    many = left.join(twice, F.col("doc_id") == F.col(other), "left_semi")
+    return left.join(twice, F.col("doc_id") == F.col(other), "left_anti").unionByName(many.dropDuplicates(["doc_id"]))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

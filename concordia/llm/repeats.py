@@ -16,11 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import anchors, arrow_map, chunks, keep, ragged, span_hashes, utf8, window_hashes
+from .common import BASES, anchors, arrow_map, chunks, keep, quick_windows, span_hashes, utf8
 
 #: Rows that a broadcast may have; beyond, the join is a shuffled one.
 SENT_ROWS = 400_000
-_OTHER_BASE = 0xD1342543DE82EF95
 
 
 @dataclass(frozen=True)
@@ -34,7 +33,7 @@ class Scheme:
 
     def runs(self, units: np.ndarray, at: np.ndarray):
         """Of each run of windows with one anchor: text, first window, windows, anchor's place; and the anchors' hashes."""
-        grams = window_hashes(units, self.gram)
+        grams = quick_windows(units, self.gram)
         low = anchors(grams, self.width - self.gram + 1)
         text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(low)]
         good = np.flatnonzero(np.arange(len(low)) + self.width <= at[text + 1]) if len(low) else np.zeros(0, np.int64)
@@ -109,7 +108,7 @@ def pieces(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 use = n > 0
                 rows.append((text[use], lo[use], n[use], span_hashes(units, start[use], start[use] + half)))
             text, lo, n, ctx = (np.concatenate(x) for x in zip(*rows, strict=True))
-            own = span_hashes(units, lo, lo + n + scheme.width - 1, _OTHER_BASE)
+            own = span_hashes(units, lo, lo + n + scheme.width - 1, BASES[1])
             order = np.lexsort((lo, own, ctx, text))
             text, lo, n, ctx, own = text[order], lo[order], n[order], ctx[order], own[order]
             again = np.zeros(len(text), bool)

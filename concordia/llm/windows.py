@@ -1,82 +1,206 @@
-"""Substring dedup by words: windows repeated at one length alone are taken to the next, about twice as long."""
+"""Substring dedup by words: windows repeated at one length alone are taken to twice that length, until the length is reached."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, keep, ragged, span_hashes, table, utf8, window_hashes, words
-from .repeats import Scheme, as_long, fetched, merged_spans, pieces, prepared, sized_join, whole_copies, without
-
-#: Words of a window whose repeats go.
-WIDTH = 35
-
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, at = words(data, offsets)
-    return span_hashes(data, starts, ends), at
-
-
-#: Levels: 8 words (anchors), 16 (contexts), then all 35.
-SCHEME = Scheme(WIDTH, 8, 16, word_hashes)
-
-
-def _windows_of(units: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> pa.Array:
-    hashes = window_hashes(units, WIDTH)
-    offsets = np.append(0, np.cumsum(windows)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), as_long(hashes[ragged(starts, windows)] if len(starts) else np.zeros(0, np.uint64)))
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(_id, _hash, starts, ends): spans of words of each text that are covered by windows that start elsewhere, too.
-
-    Of 8 words, those that repeat are anchors that meet (pieces()); 16 words around them that don't repeat end here;
-    so do pieces all of whose content repeats, as each of their windows does; windows of the others are counted.
+from .common import Spans, arrow_map, chunks, keep, parts, span_hashes, table, utf8, words
+
+#: Words of a window whose repeats go, and of the windows counted first; each level is twice the one before, the last WIDTH.
+WIDTH, FIRST = 35, 9
+#: Bytes of text that are hashed together (a longer text goes alone), and hashes that are counted together, about.
+BLOCK_BYTES, BUCKET = 4_000_000, 4_000_000
+#: Levels before the last send hashes without their last 16 bits: what meets by chance there is told apart at the next.
+_SHORT = np.uint64(0xFFFFFFFFFFFF0000)
+
+
+def levels(first: int, width: int) -> list[int]:
+    """first, twice that, and so on, and width."""
+    out = [min(first, width)]
+    while out[-1] < width:
+        out.append(min(2 * out[-1], width))
+    return out
+
+
+def blocks(frame: DataFrame, key: str, text: str) -> DataFrame:
+    """(blk, ids, texts): the rows of frame, put together up to BLOCK_BYTES, written to the shared folder."""
+    rows = frame.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        ends = pa.array([0, len(whole)], pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, whole.column(c).combine_chunks()) for c in range(2)]
+        return pa.RecordBatch.from_arrays(lists, names=["ids", "texts"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for part in parts(batch):
+                held.append(part)
+                size += part.nbytes
+                if size >= BLOCK_BYTES:
+                    yield pack(held)
+                    held, size = [], 0
+        if held:
+            yield pack(held)
+
+    packed = rows.mapInArrow(run, f"ids array<{rows.schema['_id'].dataType.simpleString()}>, texts array<string>")
+    return keep(packed.withColumn("blk", F.monotonically_increasing_id()))
+
+
+class Block:
+    """The words of a block's texts, as hashes; texts without a key have windows that meet nobody."""
+
+    def __init__(self, ids: pa.Array, texts: pa.Array):
+        data, offsets = utf8(texts)
+        found, at = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        for a, b in chunks(np.diff(offsets)):
+            own = data[offsets[a] : offsets[b]]
+            starts, ends, cuts = words(own, offsets[a : b + 1] - offsets[a])
+            found.append(span_hashes(own, starts, ends))
+            at.append(cuts[1:] + at[-1][-1])
+        self.at = np.concatenate(at)
+        units = np.concatenate(found)
+        self.spans, self.size = Spans(units), len(units)
+        keyed = ~np.asarray(ids.is_null())
+        self.end = np.repeat(np.where(keyed, self.at[1:], -1), np.diff(self.at))  # of each word's text
+
+    def places(self, level: int, before: int = 0, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(start, hash) of the windows of `level` words whose first and last `before` words are known to repeat."""
+        n = self.size - level + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        good = np.arange(level, level + n) <= self.end[:n]
+        if known is not None:
+            again = held(known, self.spans.windows(before) & _SHORT)
+            good &= again[:n] & again[level - before : level - before + n]
+        start = np.flatnonzero(good)
+        return start, self.spans.of(start, start + level)
+
+
+def held(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Whether each wanted value is among the known, which are sorted."""
+    if not len(known):
+        return np.zeros(len(wanted), bool)
+    return known[np.minimum(np.searchsorted(known, wanted), len(known) - 1)] == wanted
+
+
+def packed(values: np.ndarray, short: bool) -> bytes:
+    return values.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() if short else values.tobytes()
+
+
+def unpacked(data: bytes, short: bool) -> np.ndarray:
+    if not short:
+        return np.frombuffer(data, np.uint64)
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def repeated(texts: DataFrame, replies: DataFrame | None, level: int, before: int, width: int, buckets: int) -> DataFrame:
+    """(blk, keys): the hashes of each block's windows of `level` words that occur anywhere else.
+
+    A block sends each of its hashes once, with whether it has it twice, to the bucket of its leading bits, so a window
+    that a third of all texts hold weighs as much there as one of each block. A bucket sends back those that repeat.
     """
-    copies = whole_copies(docs)
-    docs = without(docs, copies)
-    found = pieces(docs, SCHEME)
-    end = (F.col("start") + F.col("windows") + (WIDTH - 1)).alias("b")
-    each = keep(found.groupBy("ctx", "own").agg(F.min("_id").alias("src"), F.count("*").alias("copies")))
-    whole = found.join(each.filter("copies > 1"), ["ctx", "own"], "left_semi")
-    spans = whole.select("_id", "_hash", F.col("start").alias("a"), end)
-    spans = spans.unionByName(copies.select("_id", "_hash", F.lit(0).alias("a"), F.lit((1 << 31) - 1).alias("b")))
-    # contents around one context, some of them alone: their windows are counted, each content once
-    mixed = each.groupBy("ctx").agg(F.count("*").alias("n"), F.min("copies").alias("least")).filter("n > 1 AND least = 1").select("ctx")
-    firsts = each.join(mixed, "ctx").join(found.filter("NOT again").select("ctx", "own", F.col("_id").alias("src"), "_hash", "start", "windows"), ["ctx", "own", "src"])
-    some = keep(fetched(docs, firsts.select("ctx", F.col("src").alias("_id"), "_hash", "start", "windows", F.col("copies").alias("n")), SCHEME, _windows_of, "array<bigint>"))
-    windows = some.select("ctx", "_id", "_hash", "start", "n", F.posexplode("payload").alias("k", "window"))
-    again = windows.groupBy("ctx", "window").agg(F.count("*").alias("all")).filter("all > 1")
-    late = windows.filter("n = 1").join(again, ["ctx", "window"])
-    return merged_spans(spans.unionByName(late.select("_id", "_hash", (F.col("start") + F.col("k")).alias("a"), (F.col("start") + F.col("k") + WIDTH).alias("b"))))
-
-
-def dedup(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, kept, starts, ends) of every row, without words covered by a 35-word window that also starts elsewhere.
+    short, bits, first = level < width, buckets.bit_length() - 1, replies is None
+
+    def send(batch):
+        for row in range(batch.num_rows):
+            block = Block(batch.column("ids")[row].values, batch.column("texts")[row].values)
+            known = None if first else _known(batch.column("keys")[row], True)
+            _, own = block.places(level, before, known)
+            own, count = np.unique(own & _SHORT if short else own, return_counts=True)
+            cuts = np.searchsorted(own, np.arange(buckets, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
+            cuts = np.append(cuts, len(own))
+            use = np.flatnonzero(np.diff(cuts))
+            keys = [packed(own[cuts[b] : cuts[b + 1]], short) for b in use]
+            twice = [np.packbits(count[cuts[b] : cuts[b + 1]] > 1).tobytes() for b in use]
+            blk = pa.array([batch.column("blk")[row].as_py()] * len(use), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(use.astype(np.int32)), blk, pa.array(keys, pa.binary()), pa.array(twice, pa.binary())], names=["bucket", "blk", "keys", "twice"])
+
+    def answer(rows: list[tuple]) -> pa.RecordBatch:
+        each = [unpacked(k, short) for _, k, _ in rows]
+        marked = [k[np.unpackbits(np.frombuffer(t, np.uint8), count=len(k)).astype(bool)] for k, (_, _, t) in zip(each, rows, strict=True)]
+        every = np.sort(np.concatenate(each + marked))  # a hash that a block has twice stands in it twice
+        twice = every[1:][every[1:] == every[:-1]]
+        again = [k[held(twice, k)] for k in each]
+        use = [i for i, k in enumerate(again) if len(k)]
+        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in use], pa.int64()), pa.array([packed(again[i], short) for i in use], pa.binary())], names=["blk", "keys"])
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        rows, bucket = [], None
+        for batch in batches:
+            for b, blk, keys, twice in zip(*(batch.column(c).to_pylist() for c in ("bucket", "blk", "keys", "twice")), strict=True):
+                if b != bucket and rows:
+                    yield answer(rows)
+                    rows = []
+                bucket = b
+                rows.append((blk, keys, twice))
+        if rows:
+            yield answer(rows)
+
+    sent = arrow_map(texts if first else _with(texts, replies), send, "bucket int, blk bigint, keys binary, twice binary")
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "blk bigint, keys binary")
+
+
+def _with(texts: DataFrame, replies: DataFrame) -> DataFrame:
+    """Each block with what came back for it; the blocks are shuffled once for all levels, as the same exchange serves them."""
+    return texts.join(replies.groupBy("blk").agg(F.collect_list("keys").alias("keys")), "blk", "left")
+
+
+def _known(keys: pa.Scalar, short: bool) -> np.ndarray:
+    some = [unpacked(k, short) for k in keys.as_py() or []]
+    return np.sort(np.concatenate(some)) if some else np.zeros(0, np.uint64)
+
+
+def dedup(frame: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """(key, n_words, kept, starts, ends) of every row, without words covered by a `width`-word window that also starts elsewhere.
 
     Words are runs without ASCII white space, unchanged; kept words are joined by one blank. Windows are judged on the
     input. Null texts have no words; equal rows of one key are repeats of each other; rows with a null key are kept
-    whole and repeat nobody. starts and ends are spans of word numbers.
+    whole and repeat nobody. starts and ends are spans of word numbers. Other columns play no part.
+
+    Windows of 9 words that repeat are found first; of those of 18, only ones both of whose halves repeat are counted; of
+    those of 35, only ones whose first and last 18 words repeat. Windows are compared by hashes modulo 2**61 - 1.
     """
-    docs = prepared(frame, key, text)
-    spans = repeated_spans(docs)
-    both = sized_join(docs, spans, ["_id", "_hash"], "left").select(F.col("_id").alias(key), "_text", "starts", "ends")
+    texts = blocks(frame, key, text)
+    total = frame.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = 1 << max(4, (int(total) // 6 // BUCKET).bit_length())
+    replies, before = None, 0
+    for level in levels(FIRST, width):
+        replies = repeated(texts, replies, level, before, width, buckets)
+        before = level
 
     def run(batch):
-        data, offsets = utf8(batch.column(1))
-        kept, sizes, starts, ends = [], [], [], []
-        for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            own = data[offsets[i] : offsets[i + 1]].tobytes().split()
-            sizes.append(len(own))
-            a, b = (a or [], [min(x, len(own)) for x in b or []]) if len(own) >= WIDTH else ([], [])
-            kept.append(b" ".join(w for x, y in zip([0, *b], [*a, len(own)], strict=True) for w in own[x:y]).decode())
-            starts.append(a)
-            ends.append(b)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(kept), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=[key, "n_words", "kept", "starts", "ends"])
-
-    return arrow_map(both, run, f"`{key}` {frame.schema[key].dataType.simpleString()}, n_words bigint, kept string, starts array<int>, ends array<int>")
+        for row in range(batch.num_rows):
+            ids, own = batch.column("ids")[row].values, batch.column("texts")[row].values
+            block = Block(ids, own)
+            places, hashes = block.places(width)
+            again = places[held(_known(batch.column("keys")[row], False), hashes)]
+            edge = np.bincount(again, minlength=block.size + 1) - np.bincount(again + width, minlength=block.size + 1)
+            covered = np.cumsum(edge[: block.size]) > 0
+            gone = np.append(0, np.cumsum(covered))[block.at]
+            kept, sizes, starts, ends = [], np.diff(block.at), [], []
+            for i, t in enumerate(own.to_pylist()):
+                a, some = block.at[i], (t or "").encode().split()
+                if gone[i + 1] == gone[i]:
+                    first = last = []
+                else:
+                    step = np.diff(np.concatenate([[0], covered[a : block.at[i + 1]].view(np.int8), [0]]))
+                    first, last = np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()
+                    some = [w for x, y in zip([0, *last], [*first, len(some)], strict=True) for w in some[x:y]]
+                kept.append(b" ".join(some).decode())
+                starts.append(first)
+                ends.append(last)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(kept, pa.string()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=[key, "n_words", "kept", "starts", "ends"])
+
+    return arrow_map(_with(texts, replies), run, f"`{key}` {frame.schema[key].dataType.simpleString()}, n_words bigint, kept string, starts array<int>, ends array<int>")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
