@@ -40,9 +40,8 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("encoding", encoding)]
-#: The stages learn, link and merge, which SQL doesn't express. The tests hold near-duplicates at four words and token ids
-#: against other versions, decontamination and masking against expected results of a few rows; of the stages in a row they
-#: check the columns and that rows are left, and no test compares all rows of toxicity or of five-word near-duplicates.
+#: The stages learn, link and merge, which SQL doesn't express. A test compares all rows of run() on a small corpus with
+#: what plain versions of the five stages, one after the other, leave of it.
 ORACLE_SQL = None
 
 
