@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import LOWER, MARKS, arrow_map, chunks, ragged, span_hashes, table, utf8, window_hashes, words
+from .common import LOWER, MARKS, Spans, arrow_map, chunks, fresh, ragged, span_hashes, table, utf8, window_hashes, words
 
 #: Tokens of the shortest tile; an item with fewer is one tile as a whole.
 TILE = 5
@@ -32,45 +33,65 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def tile(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy tiling: again and again the longest common run of tokens not yet marked, while it has `least` tokens.
 
-    Karp-Rabin hashes of `least` tokens find where runs can be; of runs of one length, the first in the item, then in
-    the text, is taken.
+    Of runs of one length, the first in the item, then in the text, is taken. Whether runs of a length are common is
+    found by Karp-Rabin hashes of all unmarked windows, and the greatest length by bisection, as a common run holds
+    shorter ones; no pairs of places are made, however often a token repeats. What hashes find is compared token by token.
     """
-    mine, other = window_hashes(item, least), window_hashes(text, least)
-    order = np.argsort(mine, kind="stable")
-    low, high = np.searchsorted(mine[order], other), np.searchsorted(mine[order], other, "right")
-    i = order[ragged(low, high - low)]
-    j = np.repeat(np.arange(len(other)), high - low)
-    free_i, free_j, out = np.ones(len(item) + 1, bool), np.ones(len(text) + 1, bool), []
-    while len(i):
-        order = np.lexsort((i, j - i))
-        i, j = i[order], j[order]
-        new = np.ones(len(i), bool)
-        new[1:] = (np.diff(i) != 1) | (np.diff(j) != 1)
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(i))) + least - 1
-        best = first[np.lexsort((j[first], i[first], -size))[0]]
-        n = int(size[np.searchsorted(first, best)])
-        a, b = int(i[best]), int(j[best])
-        out.append((a, b, n))
-        free_i[a : a + n], free_j[b : b + n] = False, False
-        used_i, used_j = np.append(0, np.cumsum(~free_i)), np.append(0, np.cumsum(~free_j))
-        open_ = (used_i[i + least] == used_i[i]) & (used_j[j + least] == used_j[j])
-        i, j = i[open_], j[open_]
+    mine, other = Spans(item), Spans(text)
+    open_i, open_j = np.ones(len(item), bool), np.ones(len(text), bool)
+
+    def common(size: int) -> tuple[int, int] | None:
+        places = []
+        for spans, open_ in ((mine, open_i), (other, open_j)):
+            used = np.append(0, np.cumsum(~open_))
+            start = np.flatnonzero(used[size:] == used[:-size]) if len(open_) >= size else np.zeros(0, np.int64)
+            places.append((start, spans.of(start, start + size)))
+        (i, x), (j, y) = places
+        for at in np.flatnonzero(np.isin(x, y)):
+            for to in j[y == x[at]]:
+                if (item[i[at] : i[at] + size] == text[to : to + size]).all():
+                    return int(i[at]), int(to)
+        return None
+
+    out, most = [], min(len(item), len(text))
+    while most >= least and (best := common(least)):
+        low, high = least, most  # common at low; over high it isn't
+        while low < high:
+            mid = (low + high + 1) // 2
+            if found := common(mid):
+                low, best = mid, found
+            else:
+                high = mid - 1
+        out.append((*best, low))
+        open_i[best[0] : best[0] + low] = open_j[best[1] : best[1] + low] = False
+        most = low
     return out
 
 
 class Items:
-    """A block of benchmark items: their tokens and, by size, their seeds."""
+    """A block of benchmark items: their tokens and, by size, their seeds.
 
-    def __init__(self, ids: list, texts: list[str]):
+    Tiles of TILE tokens or more that cover c of an item's tokens begin c / TILE of its seeds or more. So a text that
+    covers enough shares one of the item's seeds even if as many of them as that, less one, are left out: those that most
+    items share, such as an opening phrase, lead from texts to items only where an item has hardly others.
+    """
+
+    def __init__(self, ids: list, texts: list[str], coverage: float):
         data, offsets = utf8(pa.array(texts, pa.string()))
         hashes, at = tokens(data, offsets)
         self.ids, self.tokens = ids, [hashes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         self.seeds = {}
+        self.windows = [window_hashes(x, min(TILE, len(x))) if len(x) else x for x in self.tokens]
         sizes = np.array([min(TILE, len(x)) for x in self.tokens], np.int64)
         for size in sorted({*sizes.tolist()} - {0}):
             some = np.flatnonzero(sizes == size)
-            each = [np.unique(window_hashes(self.tokens[k], size)) for k in some]
+            common, items = np.unique(np.concatenate([np.unique(self.windows[k]) for k in some]), return_counts=True)
+            each = []
+            for k in some:
+                own = self.windows[k]
+                shared = items[np.searchsorted(common, own)]
+                spare = max(0, int(np.ceil(np.ceil(coverage * len(self.tokens[k])) / size)) - 1)
+                each.append(np.unique(own[np.argsort(shared, kind="stable")[: max(1, len(own) - spare)]]))
             keys, owner = np.concatenate(each), np.repeat(some, [len(x) for x in each])
             order = np.argsort(keys, kind="stable")
             seen = np.zeros(1 << 20, bool)
@@ -82,21 +103,24 @@ class Items:
         for size, (keys, owner, seen) in self.seeds.items():
             windows = window_hashes(hashes, size)
             hits = np.flatnonzero(seen[windows & np.uint64(0xFFFFF)])
+            hits = hits[np.isin(windows[hits], keys)]
             text = np.searchsorted(at, hits, "right") - 1
             inside = hits + size <= at[text + 1]
             hits, text = hits[inside], text[inside]
-            low, high = np.searchsorted(keys, windows[hits]), np.searchsorted(keys, windows[hits], "right")
-            hits, text, item = np.repeat(hits, high - low), np.repeat(text, high - low), owner[ragged(low, high - low)]
-            order = np.lexsort((hits, item, text))
-            hits, text, item = hits[order], text[order], item[order]
-            cuts = np.flatnonzero((np.diff(text) != 0) | (np.diff(item) != 0)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(hits)], strict=True):
-                if a < b:
-                    near = np.unique((hits[a:b, None] + np.arange(size)).ravel())  # a common run lies in shared seeds
-                    gap = np.flatnonzero(np.diff(near) > 1) + 1
-                    piece = np.insert(hashes[near], gap, np.arange(len(gap), dtype=np.uint64))
-                    where = np.insert(near, gap, -1)
-                    yield int(text[a]), int(item[a]), [(i, int(where[j] - at[text[a]]), n) for i, j, n in tile(self.tokens[item[a]], piece, size)]
+            cuts = np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(text))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                t, first, last = int(text[a]), int(at[text[a]]), int(at[text[a] + 1])
+                values = np.unique(windows[hits[a:b]])
+                low, high = np.searchsorted(keys, values), np.searchsorted(keys, values, "right")
+                for item in np.unique(owner[ragged(low, high - low)]).tolist():
+                    own = windows[first : last - size + 1]
+                    near = np.flatnonzero(np.isin(own, self.windows[item]))
+                    marks = np.bincount(near, minlength=last - first + 1) - np.bincount(near + size, minlength=last - first + 1)
+                    where = np.flatnonzero(np.cumsum(marks) > 0)  # a common run lies in shared seeds
+                    gap = np.flatnonzero(np.diff(where) > 1) + 1
+                    piece = np.insert(hashes[first + where], gap, np.arange(len(gap), dtype=np.uint64))
+                    where = np.insert(where, gap, -1)
+                    yield t, item, [(i, int(where[j]), n) for i, j, n in tile(self.tokens[item], piece, size)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -111,12 +135,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     benchmark = benchmark.select(item_key, item_text).filter(F.col(item_text).isNotNull())
     total = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     blocks = total // BLOCK_BYTES + 1
-    item_type = pa.array([], pa.int64()).type if item_kind in ("bigint", "long") else None
+    item_type = to_arrow_type(benchmark.schema[item_key].dataType)
     docs, parts = docs.select(key, text), []
     for k in range(blocks):
         rows = benchmark.filter(F.pmod(F.xxhash64(item_key, item_text), F.lit(blocks)) == k).collect()
         if rows:
-            sent = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows]))
+            sent = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], coverage))
 
             def run(batch, sent=sent):
                 items, column = sent.value, batch.column(1)
@@ -138,8 +162,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """docs without those that hold a benchmark item of LEAST tokens or more; rows with a null doc_id stay."""
-    bad = contaminated(docs, benchmark, coverage).filter(F.col("n_tokens") >= LEAST).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    name = fresh(docs, "_bad")
+    bad = contaminated(docs, benchmark, coverage).filter(F.col("n_tokens") >= LEAST).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs["doc_id"] == bad[name], "left_anti")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from .common import arrow_map, chunks, crc32_mod, table
 #: Training text of a language: so many characters at most, in pieces of an eighth of that at most from anywhere in a
 #: text, from so many different texts at most (chosen by hash), of such lengths first.
 CHARACTERS, ROWS, LENGTHS = 24_000, 60, (20, 20_000)
-#: Symbols a text is parsed in at once; a phrase doesn't cross the end of a block.
+#: Symbols of the blocks in which texts are parsed side by side; phrases go on from block to block.
 BLOCK = 256
 UNKNOWN = "und"
 
@@ -103,6 +103,47 @@ def compact(steps: list[dict[int, int]]) -> np.ndarray:
     return out
 
 
+def parsed(lanes: np.ndarray, step: np.ndarray, first_step: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
+    """Phrases that end in each block, a column of lanes, of greedy parses that run on where the next block goes on.
+
+    All blocks are parsed at once, each as if a phrase began with it. Then each that goes on is parsed again from where
+    the block before it ended, until a phrase ends where one of the first parse does, from where both are the same; if a
+    block thus ends elsewhere, the next is parsed again, until none is.
+    """
+    count = lanes.shape[1]
+    lost, state = np.zeros(lanes.shape, bool), np.zeros(count, np.int64)
+
+    def advance(state: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cell = step.take(state + row)
+        stop = cell >> 32 != state
+        return np.where(stop, first_step.take(row), cell & 0xFFFFFFFF), stop
+
+    for t, row in enumerate(lanes):
+        state, lost[t] = advance(state, row)
+    alone = np.cumsum(lost, 0, dtype=np.int32)
+    first_end, last, ends = state, state.copy(), alone[-1].copy()
+    todo = np.flatnonzero(goes_on) + 1
+    while len(todo):
+        live, state, many = todo, last[todo - 1], np.zeros(len(todo), np.int32)
+        was = last[todo]
+        for t in range(len(lanes)):
+            state, stop = advance(state, lanes[t, live])
+            many += stop
+            met = stop & lost[t, live]
+            if met.any():
+                done = live[met]
+                ends[done] = many[met] + alone[-1, done] - alone[t, done]
+                last[done] = first_end[done]
+                live, state, many = live[~met], state[~met], many[~met]
+                if not len(live):
+                    break
+        ends[live], last[live] = many, state
+        moved = todo[last[todo] != was]
+        moved = moved[moved < count - 1]
+        todo = moved[goes_on[moved]] + 1
+    return ends
+
+
 class Model:
     """Languages, the symbols of characters, and for each language the automaton of its text.
 
@@ -155,15 +196,10 @@ class Model:
         lanes[within % BLOCK, first_block[owner] + within // BLOCK] = read
         of = np.repeat(np.arange(n), blocks)
         out = np.zeros((n, len(self.languages)))
-        pads = (lanes == 0).sum(0)
+        pads, goes_on = (lanes == 0).sum(0), of[1:] == of[:-1]
         for k, (step, first_step) in enumerate(self.tables):
-            state, ends = np.zeros(lanes.shape[1], np.int64), np.zeros(lanes.shape[1], np.int32)
-            for row in lanes:
-                cell = step.take(state + row)
-                lost = cell >> 32 != state
-                ends += lost
-                state = np.where(lost, first_step.take(row), cell & 0xFFFFFFFF)
-            out[:, k] = np.bincount(of, ends - pads + 1, n)  # no text holds what fills up blocks
+            ends = parsed(lanes, step, first_step, goes_on)
+            out[:, k] = np.bincount(of, ends - pads, n) + (sizes > 0)  # no text holds what fills up blocks
         return out / np.maximum(sizes, 1)[:, None], np.bincount(owner, read > 1, n) > 0
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import cache
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, table
-from .secrets import digest
+from .secrets import digest, reaching
 
 KINDS = ("email", "ip", "card", "phone", "contact", "identity")
 LABELS = ("O", "B-contact", "I-contact", "B-identity", "I-identity")
@@ -263,15 +264,16 @@ def sequences(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
-def find_all(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
-    """All spans of each text by start, then kind; spans of the field that touch a fixed one are left out."""
+def find_all(texts: list[str | None], model: Field) -> list[list[tuple[int, int, str]]]:
+    """All spans of each text by start, then kind; spans of the field that overlap a fixed one are left out."""
     base = [base_spans(x) if x else [] for x in texts]
+    fixed = [reaching(x) for x in base]
     own, read = [], []
     for i, x in enumerate(texts):
         for s in sequences(x) if x and _MARK.search(x) else []:
             own.append((i, s))
             read.append([x[a:b] for a, b in s])
-    for (i, s), labels in zip(own, field().decode(read), strict=True):
+    for (i, s), labels in zip(own, model.decode(read), strict=True):
         j = 0
         while j < len(s):
             label = LABELS[labels[j]]
@@ -282,7 +284,9 @@ def find_all(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
                 a, b = s[j][0], s[k - 1][1]
                 while b > a and texts[i][b - 1] in ".,;:!?\"'":
                     b -= 1
-                if not any(x[0] < b and a < x[1] for x in base[i]):
+                starts, reach = fixed[i]
+                n = bisect_left(starts, b)  # of those that start before b, does one reach over a?
+                if not (n and reach[n - 1] > a):
                     base[i].append((a, b, label[2:]))
             j = k
     return [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]))) for x in base]
@@ -294,10 +298,11 @@ def scan(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     Null and empty texts have no spans; repeated rows give a row each; whole texts are scanned.
     """
     frame = frame.select(key, text)
+    sent = frame.sparkSession.sparkContext.broadcast(field())  # trained here once: some thousand weights
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batch):
-        spans = [[{"kind": k, "start": a, "end": b} for a, b, k in some] for some in find_all(batch.column(1).to_pylist())]
+        spans = [[{"kind": k, "start": a, "end": b} for a, b, k in some] for some in find_all(batch.column(1).to_pylist(), sent.value)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=[key, "spans"])
 
     return arrow_map(frame, run, f"`{key}` {frame.schema[key].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int>>")
@@ -316,10 +321,11 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span of personal data replaced by its kind in brackets, n_chars to match; null texts stay null."""
     columns, kind = docs.columns, docs.schema
     at = columns.index(text)
+    sent = docs.sparkSession.sparkContext.broadcast(field())
 
     def run(batch):
         texts = batch.column(at).to_pylist()
-        new = [x and masked(x, s) for x, s in zip(texts, find_all(texts), strict=True)]
+        new = [x and masked(x, s) for x, s in zip(texts, find_all(texts, sent.value), strict=True)]
         arrays = [pa.array(new, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(columns))]
         return pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -90,10 +92,17 @@ def entropy_spans(text: str) -> list[tuple[int, int, str]]:
 def find(text: str) -> list[tuple[int, int, str]]:
     """All spans by start, then kind; one that the method adds lies in no fixed one."""
     base = base_spans(text)
-    more = [x for x in entropy_spans(text) if not any(b[0] <= x[0] and x[1] <= b[1] for b in base)]
+    starts, reach = reaching(base)
+    more = [x for x in entropy_spans(text) if not ((k := bisect_right(starts, x[0])) and reach[k - 1] >= x[1])]
     return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def reaching(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """The starts of spans, in order, and how far those up to each reach."""
+    spans = sorted(spans)
+    return [x[0] for x in spans], list(accumulate((x[1] for x in spans), max))
+
+
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 

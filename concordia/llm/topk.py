@@ -171,7 +171,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array([int(own[x[0]]) for x in out]), pa.array([x[1] for x in out]), pa.array([x[2] for x in out])], names=["query", "id", "score"])
 
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
         return pairs.mapInArrow(run, "query bigint, id bigint, score bigint")
 
     def merged(found: DataFrame) -> DataFrame:

@@ -99,16 +99,16 @@ def test_top_k(spark):
 
 def test_pii():
     text = "x a.b@c.de.f, +1 (275) 555-5927, 4111 1111 1111 1111, 1.2.3.4, 999.1.1.1 call (212) 555-0147 now"
-    got = pii.find_all([text, None, ""])
+    got = pii.find_all([text, None, ""], pii.field())
     kinds = [(k, text[a:b]) for a, b, k in got[0]]
     assert [x for x in kinds if x[0] in pii.KINDS[:4]] == [("email", "a.b@c.de.f"), ("phone", "+1 (275) 555-5927"), ("card", "4111 1111 1111 1111"), ("ip", "1.2.3.4")]
     assert ("contact", "(212) 555-0147") in kinds and got[1:] == [[], []]
-    assert pii.masked("mail a@b.c now", pii.find_all(["mail a@b.c now"])[0]) == "mail [EMAIL] now"
+    assert pii.masked("mail a@b.c now", pii.find_all(["mail a@b.c now"], pii.field())[0]) == "mail [EMAIL] now"
 
 
 def test_pii_without_digits():
     texts = ["so write to jane (at) example dot org today", "then ask jane@localhost about it", "we met her at the station and sat at a table", "one dot on a page"]
-    got = [[(k, x[a:b]) for a, b, k in some] for x, some in zip(texts, pii.find_all(texts), strict=True)]
+    got = [[(k, x[a:b]) for a, b, k in some] for x, some in zip(texts, pii.find_all(texts, pii.field()), strict=True)]
     assert got == [[("contact", "jane (at) example dot org")], [("contact", "jane@localhost")], [], []]
 
 
