@@ -66,7 +66,7 @@ def repeated_anchors(docs: DataFrame, scheme: Scheme) -> DataFrame:
             count = np.diff(np.append(first, len(h)))
             yield pa.RecordBatch.from_arrays([as_long(h[first]), batch.column(0).take(pa.array(a + text[first])), pa.array(np.minimum(count, 2).astype(np.int32))], names=["h", "_id", "n"])
 
-    found = arrow_map(docs.select("_id", "_text").dropna(), run, f"h bigint, _id {docs.schema['_id'].dataType.simpleString()}, n int")
+    found = keep(arrow_map(docs.select("_id", "_text").dropna(), run, f"h bigint, _id {docs.schema['_id'].dataType.simpleString()}, n int"))
     twice = found.groupBy("h").agg(F.sum("n").alias("all")).filter("all > 1").select("h")
     return found.select("h", "_id").join(twice, "h").groupBy("_id").agg(F.collect_list("h").alias("hashes"))
 

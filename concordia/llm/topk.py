@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 from .common import arrow_map, keep, table
 
-#: Pivots (a bounded sample by hash: the index may be fitted on it), and vectors of a block of an annulus or of queries.
-PIVOTS, BLOCK = 32, 1024
+#: Pivots (a sample by hash), at least, at most, and one for so many vectors; and vectors of a block of an annulus or of queries.
+PIVOTS, BLOCK = (32, 1024, 4096), 1024
 #: Slack of distances, relative, for rounding: bounds are only used beyond it.
 SLACK = 1e-6
 
@@ -46,26 +46,24 @@ def lifted(v: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([v, np.sqrt(np.maximum(longest - (v * v).sum(1), 0))[:, None]])
 
 
-def best(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int):
-    """(query row, id, score) of the k best for each query, its own id and repeats of an id and score left out; ties to smaller ids."""
+def best(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query rows, ids, scores) of the k best for each query, its own id and repeats of an id and score left out; ties to smaller ids.
+
+    Of scores under a query's floor none counts. Without floors the k-th of a query's scores is one, unless ids repeat.
+    """
     scores = products(queries, vectors)
-    for q in range(len(queries)):
-        s = scores[q]
-        use = np.flatnonzero(ids != own[q])
-        if len(use) > 4 * k:
-            cut = np.partition(s[use], len(use) - k)[len(use) - k]
-            use = use[s[use] >= cut]
-            if len(use) > 4 * k:  # many ties
-                use = use[np.lexsort((ids[use], -s[use]))]
-        seen: list[tuple[int, int]] = []
-        for i in use[np.lexsort((ids[use], -s[use]))]:
-            x = int(ids[i]), int(s[i])
-            if x not in seen:
-                seen.append(x)
-                if len(seen) == k:
-                    break
-        for i, score in seen:
-            yield q, i, score
+    other = ids[None] != own[:, None]
+    if floor is None and len(ids) > k and len(np.unique(ids)) == len(ids):
+        floor = np.partition(np.where(other, scores, np.iinfo(np.int64).min), len(ids) - k, axis=1)[:, len(ids) - k]
+    q, i = np.nonzero(other if floor is None else other & (scores >= floor[:, None]))
+    s, found = scores[q, i], ids[i]
+    order = np.lexsort((found, -s, q))
+    q, s, found = q[order], s[order], found[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (s[1:] != s[:-1]) | (found[1:] != found[:-1])
+    q, s, found = q[new], s[new], found[new]
+    use = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[use], found[use], s[use]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -83,13 +81,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
     spark = vectors.sparkSession
     rows = keep(integers(vectors, key, vector).distinct())
     asked = keep(integers(queries, key, vector).distinct())
-    stats = rows.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))).first()
+    stats = rows.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)), F.count("*")).first()
     asked_stats = asked.agg(F.max(F.size("v")), F.count("*")).first()
     schema = "query_id bigint, rank int, `%s` bigint, score bigint" % key
     if stats[0] is None or asked_stats[0] is None:
         return spark.createDataFrame([], schema)
     width, longest = max(stats[0], asked_stats[0], 1), float(stats[1])
-    sample = [r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("v").collect()]
+    many = min(max(stats[2] // PIVOTS[2], PIVOTS[0]), PIVOTS[1])
+    sample = [r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(many).select("v").collect()]
     pivots = lifted(matrix(pa.array(sample, pa.list_(pa.int64())), width), longest)
 
     def distances(v: np.ndarray, query: bool) -> np.ndarray:
@@ -160,16 +159,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
                     get = lambda name, i=i, batch=batch: batch.column(name)[i].as_py()
                     own, ids = np.frombuffer(get("q_ids"), np.int64), np.frombuffer(get("ids"), np.int64)
                     q, v = np.frombuffer(get("q_data"), np.int64).reshape(len(own), width), np.frombuffer(get("data"), np.int64).reshape(len(ids), width)
+                    floor = None
                     if bounded:
                         d = distances(q, True)[:, get("pivot")]
                         floor = np.array(get("floors"), np.float64)  # the k-th score so far
                         gap = np.maximum(np.maximum(d - get("high"), get("low") - d), 0)
                         square = (q.astype(np.float64) ** 2).sum(1) + longest
                         use = np.flatnonzero(gap * gap * (1 - SLACK) - SLACK * (1 + square) <= square - 2 * floor)
-                        q, own = q[use], own[use]
-                    out = list(best(ids, v, q, own, k))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array([int(own[x[0]]) for x in out]), pa.array([x[1] for x in out]), pa.array([x[2] for x in out])], names=["query", "id", "score"])
+                        q, own, floor = q[use], own[use], floor[use]
+                    row, found, score = best(ids, v, q, own, k, floor)
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(found), pa.array(score)], names=["query", "id", "score"])
 
         return pairs.mapInArrow(run, "query bigint, id bigint, score bigint")
 

@@ -15,8 +15,9 @@ from .common import Spans, arrow_map, chunks, keep, parts, span_hashes, table, u
 WIDTH, FIRST = 35, 9
 #: Bytes of text that are hashed together (a longer text goes alone), and hashes that are counted together, about.
 BLOCK_BYTES, BUCKET = 4_000_000, 4_000_000
-#: Levels before the last send hashes without their last 16 bits: what meets by chance there is told apart at the next.
-_SHORT = np.uint64(0xFFFFFFFFFFFF0000)
+#: Bits that hashes of each level but the last have more than the number of windows needs: some windows meet by chance, which the
+#: next level, where both halves must, tells apart. The last level's hashes are sent whole.
+SPARE = 6
 
 
 def levels(first: int, width: int) -> list[int]:
@@ -53,10 +54,24 @@ def blocks(frame: DataFrame, key: str, text: str) -> DataFrame:
     return keep(packed.withColumn("blk", F.monotonically_increasing_id()))
 
 
+class Plan:
+    """The levels, the bits of each level's keys, and the buckets, a power of two, that keys are dealt to by their leading bits."""
+
+    def __init__(self, width: int, total: int):
+        self.levels = levels(FIRST, width)
+        need = max(1, total // 6).bit_length()
+        self.bits = [64 if k == len(self.levels) - 1 else min(64, need + SPARE * (k + 1)) for k in range(len(self.levels))]
+        self.buckets = 1 << max(4, (total // 6 // BUCKET).bit_length())
+
+    def starts(self, k: int) -> np.ndarray:
+        """The least key of each bucket."""
+        return np.arange(self.buckets, dtype=np.uint64) << np.uint64(self.bits[k] - self.buckets.bit_length() + 1)
+
+
 class Block:
     """The words of a block's texts, as hashes; texts without a key have windows that meet nobody."""
 
-    def __init__(self, ids: pa.Array, texts: pa.Array):
+    def __init__(self, plan: Plan, ids: pa.Array, texts: pa.Array):
         data, offsets = utf8(texts)
         found, at = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
         for a, b in chunks(np.diff(offsets)):
@@ -64,23 +79,39 @@ class Block:
             starts, ends, cuts = words(own, offsets[a : b + 1] - offsets[a])
             found.append(span_hashes(own, starts, ends))
             at.append(cuts[1:] + at[-1][-1])
-        self.at = np.concatenate(at)
+        self.plan, self.at = plan, np.concatenate(at)
         units = np.concatenate(found)
         self.spans, self.size = Spans(units), len(units)
         keyed = ~np.asarray(ids.is_null())
         self.end = np.repeat(np.where(keyed, self.at[1:], -1), np.diff(self.at))  # of each word's text
 
-    def places(self, level: int, before: int = 0, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(start, hash) of the windows of `level` words whose first and last `before` words are known to repeat."""
+    def keys(self, k: int, again: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(start, key) of the windows of level k in one text whose two halves, of the level before, are marked in `again`."""
+        level = self.plan.levels[k]
         n = self.size - level + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         good = np.arange(level, level + n) <= self.end[:n]
-        if known is not None:
-            again = held(known, self.spans.windows(before) & _SHORT)
-            good &= again[:n] & again[level - before : level - before + n]
+        if again is not None:
+            step = level - self.plan.levels[k - 1]
+            good &= again[:n] & again[step : step + n]
         start = np.flatnonzero(good)
-        return start, self.spans.of(start, start + level)
+        return start, self.spans.of(start, start + level) >> np.uint64(64 - self.plan.bits[k])
+
+    def repeated(self, replies: list[list[dict]]) -> np.ndarray | None:
+        """Which windows of the last level answered repeat; None before the first."""
+        again = None
+        for k, reply in enumerate(replies):
+            start, key = self.keys(k, again)
+            each, back = np.unique(key, return_inverse=True)
+            cuts = np.append(np.searchsorted(each, self.plan.starts(k)), len(each))
+            marks = np.zeros(len(each), bool)
+            for r in reply or []:
+                a, b = cuts[r["bucket"]], cuts[r["bucket"] + 1]
+                marks[a:b] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=b - a)
+            again = np.zeros(max(0, self.size - self.plan.levels[k] + 1), bool)
+            again[start[marks[back]]] = True
+        return again
 
 
 def held(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -90,73 +121,78 @@ def held(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, wanted), len(known) - 1)] == wanted
 
 
-def packed(values: np.ndarray, short: bool) -> bytes:
-    return values.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() if short else values.tobytes()
+def packed(keys: np.ndarray, base: int) -> bytes:
+    """Sorted keys as steps of so many bytes as most need; a step of all ones only moves on."""
+    gap = np.diff(keys, prepend=np.uint64(base))
+    mean = (int(keys[-1]) - base) // len(keys) + 1
+    size = next(w for w in range(1, 9) if w == 8 or 4 * mean < 256**w)
+    most = np.uint64(256**size - 1)
+    ends = np.cumsum(gap // most + np.uint64(1)).astype(np.int64)
+    steps = np.full(ends[-1], most)
+    steps[ends - 1] = gap % most
+    return bytes([size]) + steps.view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def unpacked(data: bytes, short: bool) -> np.ndarray:
-    if not short:
-        return np.frombuffer(data, np.uint64)
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+def unpacked(data: bytes, base: int) -> np.ndarray:
+    size = data[0]
+    steps = np.zeros(((len(data) - 1) // size, 8), np.uint8)
+    steps[:, :size] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, size)
+    steps = steps.view(np.uint64).ravel()
+    return (np.cumsum(steps) + np.uint64(base))[steps != np.uint64(256**size - 1)]
 
 
-def repeated(texts: DataFrame, replies: DataFrame | None, level: int, before: int, width: int, buckets: int) -> DataFrame:
-    """(blk, keys): the hashes of each block's windows of `level` words that occur anywhere else.
+def repeated(texts: DataFrame, replies: list[DataFrame], plan: Plan) -> DataFrame:
+    """(blk, bucket, bits): of each key of the next level that a block sent to a bucket, in order, whether it occurs anywhere else.
 
-    A block sends each of its hashes once, with whether it has it twice, to the bucket of its leading bits, so a window
-    that a third of all texts hold weighs as much there as one of each block. A bucket sends back those that repeat.
+    A block sends each of its keys once, with whether it has it twice, so a window that a third of all texts hold weighs
+    as much in its bucket as one of each block.
     """
-    short, bits, first = level < width, buckets.bit_length() - 1, replies is None
+    k = len(replies)
 
     def send(batch):
         for row in range(batch.num_rows):
-            block = Block(batch.column("ids")[row].values, batch.column("texts")[row].values)
-            known = None if first else _known(batch.column("keys")[row], True)
-            _, own = block.places(level, before, known)
-            own, count = np.unique(own & _SHORT if short else own, return_counts=True)
-            cuts = np.searchsorted(own, np.arange(buckets, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
-            cuts = np.append(cuts, len(own))
+            block = Block(plan, batch.column("ids")[row].values, batch.column("texts")[row].values)
+            _, key = block.keys(k, block.repeated([batch.column(f"r{j}")[row].as_py() for j in range(k)]))
+            own, count = np.unique(key, return_counts=True)
+            starts = plan.starts(k)
+            cuts = np.append(np.searchsorted(own, starts), len(own))
             use = np.flatnonzero(np.diff(cuts))
-            keys = [packed(own[cuts[b] : cuts[b + 1]], short) for b in use]
+            keys = [packed(own[cuts[b] : cuts[b + 1]], int(starts[b])) for b in use]
             twice = [np.packbits(count[cuts[b] : cuts[b + 1]] > 1).tobytes() for b in use]
             blk = pa.array([batch.column("blk")[row].as_py()] * len(use), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(use.astype(np.int32)), blk, pa.array(keys, pa.binary()), pa.array(twice, pa.binary())], names=["bucket", "blk", "keys", "twice"])
 
-    def answer(rows: list[tuple]) -> pa.RecordBatch:
-        each = [unpacked(k, short) for _, k, _ in rows]
-        marked = [k[np.unpackbits(np.frombuffer(t, np.uint8), count=len(k)).astype(bool)] for k, (_, _, t) in zip(each, rows, strict=True)]
-        every = np.sort(np.concatenate(each + marked))  # a hash that a block has twice stands in it twice
+    def answer(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
+        base = int(plan.starts(k)[bucket])
+        each = [unpacked(keys, base) for _, keys, _ in rows]
+        marked = [own[np.unpackbits(np.frombuffer(t, np.uint8), count=len(own)).astype(bool)] for own, (_, _, t) in zip(each, rows, strict=True)]
+        every = np.sort(np.concatenate(each + marked))  # a key that a block has twice stands in it twice
         twice = every[1:][every[1:] == every[:-1]]
-        again = [k[held(twice, k)] for k in each]
-        use = [i for i, k in enumerate(again) if len(k)]
-        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in use], pa.int64()), pa.array([packed(again[i], short) for i in use], pa.binary())], names=["blk", "keys"])
+        bits = [held(twice, own) for own in each]
+        use = [i for i, some in enumerate(bits) if some.any()]
+        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in use], pa.int64()), pa.array([bucket] * len(use), pa.int32()), pa.array([np.packbits(bits[i]).tobytes() for i in use], pa.binary())], names=["blk", "bucket", "bits"])
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         rows, bucket = [], None
         for batch in batches:
             for b, blk, keys, twice in zip(*(batch.column(c).to_pylist() for c in ("bucket", "blk", "keys", "twice")), strict=True):
                 if b != bucket and rows:
-                    yield answer(rows)
+                    yield answer(bucket, rows)
                     rows = []
                 bucket = b
                 rows.append((blk, keys, twice))
         if rows:
-            yield answer(rows)
-
-    sent = arrow_map(texts if first else _with(texts, replies), send, "bucket int, blk bigint, keys binary, twice binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "blk bigint, keys binary")
-
+            yield answer(bucket, rows)
 
-def _with(texts: DataFrame, replies: DataFrame) -> DataFrame:
-    """Each block with what came back for it; the blocks are shuffled once for all levels, as the same exchange serves them."""
-    return texts.join(replies.groupBy("blk").agg(F.collect_list("keys").alias("keys")), "blk", "left")
+    sent = arrow_map(_with(texts, replies), send, "bucket int, blk bigint, keys binary, twice binary")
+    return sent.repartition(plan.buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "blk bigint, bucket int, bits binary")
 
 
-def _known(keys: pa.Scalar, short: bool) -> np.ndarray:
-    some = [unpacked(k, short) for k in keys.as_py() or []]
-    return np.sort(np.concatenate(some)) if some else np.zeros(0, np.uint64)
+def _with(texts: DataFrame, replies: list[DataFrame]) -> DataFrame:
+    """Each block with what came back for it, level by level; one exchange of the blocks serves all levels."""
+    for j, reply in enumerate(replies):
+        texts = texts.join(reply.groupBy("blk").agg(F.collect_list(F.struct("bucket", "bits")).alias(f"r{j}")), "blk", "left")
+    return texts
 
 
 def dedup(frame: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -170,19 +206,17 @@ def dedup(frame: DataFrame, key: str = "doc_id", text: str = "text", width: int
     those of 35, only ones whose first and last 18 words repeat. Windows are compared by hashes modulo 2**61 - 1.
     """
     texts = blocks(frame, key, text)
-    total = frame.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = 1 << max(4, (int(total) // 6 // BUCKET).bit_length())
-    replies, before = None, 0
-    for level in levels(FIRST, width):
-        replies = repeated(texts, replies, level, before, width, buckets)
-        before = level
+    plan = Plan(width, int(frame.agg(F.sum(F.octet_length(text))).first()[0] or 0))
+    replies: list[DataFrame] = []
+    for _ in plan.levels:
+        replies.append(repeated(texts, replies, plan))
+    count = len(replies)
 
     def run(batch):
         for row in range(batch.num_rows):
             ids, own = batch.column("ids")[row].values, batch.column("texts")[row].values
-            block = Block(ids, own)
-            places, hashes = block.places(width)
-            again = places[held(_known(batch.column("keys")[row], False), hashes)]
+            block = Block(plan, ids, own)
+            again = np.flatnonzero(block.repeated([batch.column(f"r{j}")[row].as_py() for j in range(count)]))
             edge = np.bincount(again, minlength=block.size + 1) - np.bincount(again + width, minlength=block.size + 1)
             covered = np.cumsum(edge[: block.size]) > 0
             gone = np.append(0, np.cumsum(covered))[block.at]
