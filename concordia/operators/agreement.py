@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranking import _same, counted, cumulative, medians, with_median
+
 Z = 1.96
 
 
 def bundle(y: Column, p: Column) -> list[Column]:
     """Error, concordance, intraclass correlation, limits of agreement and calibration line, as aggregates.
 
-    All but the median share one pass of partial sums; the pair counts if both are present.
+    They share one pass of partial sums; the pair counts if both are present. agreement() adds the median error.
     """
     ok = y.isNotNull() & p.isNotNull()
     y, p = F.when(ok, y), F.when(ok, p)
@@ -26,7 +28,6 @@ def bundle(y: Column, p: Column) -> list[Column]:
         n.alias("n"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
-        F.median(F.abs(e)).alias("median_ae"),
         F.avg(e * e).alias("mse"),
         F.when(sst > 0, 1 - sse / sst).otherwise(F.when(sse == 0, 1.0).otherwise(0.0)).alias("r2"),
         F.avg(F.abs(e) / F.greatest(F.abs(y), F.lit(2.220446049250313e-16))).alias("mape"),
@@ -44,11 +45,20 @@ def bundle(y: Column, p: Column) -> list[Column]:
 def intervals(y: Column, low: Column, high: Column) -> list[Column]:
     """Coverage and width of prediction intervals, as aggregates; rows without interval don't count."""
     inside = F.when(low.isNotNull() & high.isNotNull() & y.isNotNull(), F.when(y.between(low, high), 1.0).otherwise(0.0))
-    return [F.avg(inside).alias("pi_coverage"), (1 - F.avg(inside)).alias("pi_miscoverage"), F.avg(high - low).alias("pi_mean_width"), F.median(high - low).alias("pi_median_width")]
+    return [F.avg(inside).alias("pi_coverage"), (1 - F.avg(inside)).alias("pi_miscoverage"), F.avg(high - low).alias("pi_mean_width")]
+
+
+def interval_metrics(frame: DataFrame, y: str, low: str, high: str, alpha: float, *by: str) -> DataFrame:
+    """(by, pi_alpha, pi_coverage, pi_miscoverage, pi_mean_width, pi_median_width); null, but for alpha, where no row has an interval."""
+    a, b = F.col(low), F.col(high)
+    out = frame.groupBy(*by).agg(F.lit(alpha).alias("pi_alpha"), *intervals(F.col(y), a, b))
+    return with_median(out, frame, b - a, "pi_median_width", *by)
 
 
 def agreement(frame: DataFrame, y: str, p: str, *by: str) -> DataFrame:
-    return frame.groupBy(*by).agg(*bundle(F.col(y), F.col(p)))
+    """bundle() and median_ae, the median absolute error, by group."""
+    out = with_median(frame.groupBy(*by).agg(*bundle(F.col(y), F.col(p))), frame, F.abs(F.col(p) - F.col(y)), "median_ae", *by)
+    return out.select(*by, "n", "rmse", "mae", "median_ae", *[c for c in out.columns if c not in {*by, "n", "rmse", "mae", "median_ae"}])
 
 
 def stratified(frame: DataFrame, y: str, p: str, strata: list[str], least: int = 3) -> DataFrame:
@@ -72,22 +82,37 @@ def best(frame: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ranks(frame: DataFrame, value: str, *by: str) -> DataFrame:
-    """(by, value, ties, rank) of each distinct value, rank the average rank of its rows: ranks without sorting all rows."""
+    """(by, value, ties, rank) of each distinct value, rank the average rank of its rows: ranks without sorting a group in one task."""
     each = frame.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties"))
-    before = F.sum("ties").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    return each.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("ties") + 1) / 2)
+    return cumulative(each, value, ["ties"], *by).withColumn("rank", F.col("before_ties") + (F.col("ties") + 1) / 2).select(*by, value, "ties", "rank")
 
 
 def auc(frame: DataFrame, score: str, label: str, *by: str) -> DataFrame:
     """(by, n, auc): area under the curve, tied scores counting half."""
-    each = frame.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("ties"), F.sum(label).alias("pos"))
-    before = F.coalesce(F.sum("ties").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = each.withColumn("rank", before + (F.col("ties") + 1) / 2)
+    rows = frame.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    each = rows.groupBy(*by, score).agg(F.count("*").alias("ties"), F.sum(F.col(label).cast("long")).alias("pos"))
+    each = cumulative(each, score, ["ties"], *by).withColumn("rank", F.col("before_ties") + (F.col("ties") + 1) / 2)
     n1, n0 = F.sum("pos").cast("double"), (F.sum("ties") - F.sum("pos")).cast("double")
     area = (F.sum(F.col("rank") * F.col("pos")) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0.0))
     return each.groupBy(*by).agg(F.sum("ties").alias("n"), area.alias("auc"))
 
 
+def auc_increment(frame: DataFrame, base: str, more: str, label: str, *by: str) -> DataFrame:
+    """(by, auc_base, auc_more, increment): areas of two nested models' scores, over the rows that have both, and their difference."""
+    rows = frame.filter(F.col(base).isNotNull() & F.col(more).isNotNull())
+    both = rows.select(*by, label, F.explode(F.array(F.struct(F.lit("base").alias("m"), F.col(base).cast("double").alias("s")), F.struct(F.lit("more").alias("m"), F.col(more).cast("double").alias("s")))).alias("_x"))
+    each = auc(both.select(*by, label, F.col("_x.m").alias("_model"), F.col("_x.s").alias("_score")), "_score", label, *by, "_model")
+    pick = lambda m: F.max(F.when(F.col("_model") == m, F.col("auc")))
+    return each.groupBy(*by).agg(pick("base").alias("auc_base"), pick("more").alias("auc_more"), (pick("more") - pick("base")).alias("increment"))
+
+
+def model_comparison(frame: DataFrame, y: str, predictions: dict[str, str], *by: str) -> DataFrame:
+    """(by, model, n, mae, rmse, r2) of each model's column of out-of-fold predictions, pooled over folds."""
+    models = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("p")) for m, c in predictions.items()])
+    long = frame.select(*by, F.col(y).cast("double").alias("_y"), F.explode(models).alias("_m")).select(*by, "_y", "_m.model", "_m.p")
+    return long.groupBy(*by, "model").agg(*bundle(F.col("_y"), F.col("p"))).select(*by, "model", "n", "mae", "rmse", "r2")
+
+
 def thresholds(frame: DataFrame, score: str, label: str, at: float = 0.5) -> DataFrame:
     """Confusion counts at a threshold, with sensitivity, specificity, balanced accuracy and Brier score."""
     s, y = F.col(score), F.col(label)
@@ -104,16 +129,20 @@ def grouping_summary(frame: DataFrame, measures: list[str], specs: list[tuple[st
     """
     keys = sorted({k for s in specs for k in s})
     long = frame.unpivot(keys, measures, "measure", "value").filter("value IS NOT NULL")
-    view = long.withColumnsRenamed({})
-    sets = [["measure", *s] for s in specs]
     names = F.concat_ws(" x ", *[F.when(F.grouping(k) == 0, F.lit(k)) for k in keys])
     label = F.concat_ws(" | ", *[F.when(F.grouping(k) == 0, F.col(k).cast("string")) for k in keys])
     whole = F.lit(True)
     for k in keys:
         whole = whole & ((F.grouping(k) == 1) | F.col(k).isNotNull())
-    grouped = view.groupingSets([[F.col(c) for c in s] for s in sets], "measure", *keys)
-    out = grouped.agg(names.alias("stratum"), label.alias("label"), whole.alias("_whole"), F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_samp("value").alias("sd"))
-    return out.filter("_whole").select("measure", "stratum", "label", "n", "mean", "median", "sd")
+    grouped = long.groupingSets([["measure", *s] for s in specs], "measure", *keys)
+    out = grouped.agg(names.alias("stratum"), label.alias("label"), whole.alias("_whole"), F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).filter("_whole")
+    # medians: values are counted by the finest keys once, and the counts summed for each set
+    finest = counted(long, F.col("value"), "measure", *keys)
+    own = lambda s: [k for k in keys if k in s]
+    sets = F.array(*[F.when(~F.lit(False) if not s else ~F.array_contains(F.array(*[F.col(k).isNull() for k in s]), True), F.struct(F.lit(" x ".join(own(s))).alias("stratum"), F.concat_ws(" | ", *[F.col(k).cast("string") for k in own(s)]).alias("label"))) for s in specs])
+    each = finest.select("measure", "value", "ties", F.explode(F.array_compact(sets)).alias("s")).groupBy("measure", "s.stratum", "s.label", "value").agg(F.sum("ties").alias("ties"))
+    both = _same(out, medians(each, "measure", "stratum", "label"), ["measure", "stratum", "label"])
+    return both.select("measure", "stratum", "label", "n", "mean", "median", "sd")
 
 
 def boundaries(frame: DataFrame, ranges: DataFrame, features: list[str]) -> DataFrame:
@@ -128,3 +157,19 @@ def histogram(frame: DataFrame, value: str, bins: int = 30) -> DataFrame:
     edge = frame.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     b = F.least(F.floor((F.col(value) - F.col("lo")) / F.nullif((F.col("hi") - F.col("lo")) / bins, F.lit(0.0))), F.lit(bins - 1))
     return frame.crossJoin(F.broadcast(edge)).filter(F.col(value).isNotNull()).groupBy(F.coalesce(b, F.lit(0)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def series(frame: DataFrame, y: str, p: str) -> DataFrame:
+    """(series, x, y) of what the plots show: truth against prediction, residual against prediction, difference against mean."""
+    a, b = F.col(y).cast("double"), F.col(p).cast("double")
+    points = [("scatter", a, b), ("residual", b, a - b), ("bland_altman", (a + b) / 2, b - a)]
+    rows = frame.filter(a.isNotNull() & b.isNotNull())
+    return rows.select(F.inline(F.array(*[F.struct(F.lit(n).alias("series"), x.alias("x"), v.alias("y")) for n, x, v in points])))
+
+
+def plot_limits(frame: DataFrame, y: str, p: str) -> DataFrame:
+    """One row of what the plots draw besides points: the identity line's extent, the mean difference and its limits."""
+    a, b = F.col(y).cast("double"), F.col(p).cast("double")
+    rows, e = frame.filter(a.isNotNull() & b.isNotNull()), b - a
+    sd = F.stddev_samp(e)
+    return rows.agg(F.min(F.least(a, b)).alias("line_from"), F.max(F.greatest(a, b)).alias("line_to"), F.avg(e).alias("bias"), (F.avg(e) - Z * sd).alias("low"), (F.avg(e) + Z * sd).alias("high"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,10 +59,20 @@ def standardize(frame: DataFrame, features: list[str], split: str = "split") ->
     return out.drop(*[f"_{n}_{c}" for c in features for n in ("m", "s")])
 
 
+#: Names of features, by what they measure: times, and errors and counts.
+LOGGED = (r"(time|tiempo|latency|latencia|duration|duracion|delay|dwell|flight|hover|air)", r"(error|errores|mistake|count|conteo|n_?)")
+
+
+def log_candidates(columns: list[str]) -> list[str]:
+    """Columns whose lower-cased names speak of times, errors or counts (any name with an n does, as the last pattern says)."""
+    return [c for c in columns if any(re.search(p, c.lower()) for p in LOGGED)]
+
+
 def log_transform(frame: DataFrame, features: list[str], split: str = "split") -> DataFrame:
-    """log(1 + x), x at least 0, of features whose training rows aren't all null and hold nothing negative."""
-    lows = frame.agg(*[F.min(_train(c, split)).alias(c) for c in features]).first()
-    return frame.withColumns({c: F.log1p(F.greatest(F.col(c), F.lit(0.0))) for c in features if lows[c] is not None and lows[c] >= 0})
+    """log(1 + x), x at least 0, of features whose training rows aren't all null and hold nothing negative; nulls stay null."""
+    lows = frame.agg(*[F.min(_train(c, split)).alias(c) for c in features]).first() if features else {}
+    raised = lambda c: F.when(F.col(c).isNotNull(), F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))))
+    return frame.withColumns({c: raised(c) for c in features if lows[c] is not None and lows[c] >= 0})
 
 
 def one_hot(frame: DataFrame, columns: list[str], most: int = 6) -> DataFrame:
@@ -83,22 +95,38 @@ def target_proxy(frame: DataFrame, targets: list[str]) -> DataFrame:
 
 
 def terciles(events: DataFrame, person: str, order: list[str], error) -> DataFrame:
-    """(person, right1..3, wrong1..3): right and wrong answers in each third of a person's events."""
+    """(person, numdig1..3, numerr1..3): right and wrong answers in each third of a person's events."""
     third = events.withColumn("_t", F.ntile(3).over(Window.partitionBy(person).orderBy(*order)))
     count = lambda t, bad: F.sum(F.when((F.col("_t") == t) & (error if bad else ~error), 1).otherwise(0))
-    return third.groupBy(person).agg(*[count(t, bad).alias(f"{'wrong' if bad else 'right'}{t}") for bad in (False, True) for t in (1, 2, 3)])
+    return third.groupBy(person).agg(*[count(t, bad).alias((WRONG if bad else RIGHT)[t - 1]) for bad in (False, True) for t in (1, 2, 3)])
+
+
+#: The counters of right and wrong answers by third of a test, and the prefix of features made of them.
+RIGHT, WRONG, FATIGUE = ("numdig1", "numdig2", "numdig3"), ("numerr1", "numerr2", "numerr3"), "sdmt_fatigue_"
 
 
 def fatigue(frame: DataFrame) -> DataFrame:
-    """Changes of right answers, wrong answers and accuracy from the first third to the last; null where divided by nought."""
-    r1, r2, r3, w1, w2, w3 = (F.col(f"{n}{t}").cast("double") for n in ("right", "wrong") for t in (1, 2, 3))
-    a1, a3 = ratio(r1, r1 + w1), ratio(r3, r3 + w3)
-    return frame.withColumns({
-        "correct_last_minus_first": r3 - r1, "correct_last_over_first": ratio(r3, r1), "correct_middle_minus_first": r2 - r1,
-        "correct_middle_over_first": ratio(r2, r1), "correct_last_minus_middle": r3 - r2, "correct_last_over_middle": ratio(r3, r2),
-        "errors_last_minus_first": w3 - w1, "errors_last_over_first": ratio(w3, w1), "errors_middle_minus_first": w2 - w1, "errors_total": w1 + w2 + w3,
-        "accuracy_last_minus_first": a3 - a1, "accuracy_last_over_first": ratio(a3, a1),
-    })
+    """frame with features of how a test's last third differs from its first, for those of both blocks of counters it has whole.
+
+    Right answers give six, wrong ones four, both together two. Any is null where a counter is or where it divides by nought.
+    """
+    has = {block: set(block) <= set(frame.columns) for block in (RIGHT, WRONG)}
+    new: dict = {}
+
+    def changes(name: str, block: tuple[str, ...]) -> dict:
+        one, two, three = (F.col(c).cast("double") for c in block)
+        rise = three - one
+        return {f"{name}_total_terciles": one + two + three, f"{name}_last_minus_first": rise, f"{name}_last_over_first": ratio(three, one), f"{name}_slope": rise / 2}
+
+    if has[RIGHT]:
+        one, two, three = (F.col(c).cast("double") for c in RIGHT)
+        new |= changes("correct", RIGHT) | {"correct_mid_drop": two - one, "correct_end_drop": three - two}
+    if has[WRONG]:
+        new |= changes("error", WRONG)
+    if has[RIGHT] and has[WRONG]:
+        first, last = (ratio(F.col(r).cast("double"), F.col(r) + F.col(w)) for r, w in ((RIGHT[0], WRONG[0]), (RIGHT[2], WRONG[2])))
+        new |= {"accuracy_last_minus_first": last - first, "accuracy_last_over_first": ratio(last, first)}
+    return frame.withColumns({FATIGUE + n: c for n, c in new.items()}) if new else frame
 
 
 def kinematic(frame: DataFrame, families: dict[str, str]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .agreement import ranks
+from .features import common_support
+from .ranking import _same
 
 
 def welch(frame: DataFrame, outcome: str, group: str, *by: str) -> DataFrame:
@@ -136,35 +138,53 @@ def least_squares(m: np.ndarray, alpha: float = 0.0) -> np.ndarray:
     return np.concatenate([[mean[-1] - mean[1:-1] @ w], w])
 
 
-def linear_effects(frame: DataFrame, outcome: str, terms: list[str], reference: str = "t", joint: list[str] | None = None) -> DataFrame:
-    """(term, estimate, se, stat, p, low, high) of least squares with HC3 errors, by two aggregates over the rows.
+def linear_effects(frame: DataFrame, outcome: str, terms: list[str], reference: str = "t", joint: list[str] | None = None, by: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
+    """(by, term, n, estimate, se, stat, p, low, high) of least squares with HC3 errors, by two aggregates over the rows, for all groups at once.
 
     p and the 95 % interval are by the t (or normal) reference; with `joint`, a row `joint` has the robust F test of
-    those terms. Rows with a null in a column go; collinear terms are an error.
+    those terms. Rows with a null in a column go. Terms that are collinear or too many for a group's rows are an error,
+    or, if not strict, leave the group out. Groups are few: their sums of products come to the driver.
     """
     spark: SparkSession = frame.sparkSession
-    rows = frame.dropna(subset=[outcome, *terms])
-    m = gram(rows, [*terms, outcome])[()]
-    n, k = m[0, 0], len(terms) + 1
-    if np.linalg.matrix_rank(m[:-1, :-1]) < k or n <= k:
-        raise ValueError("the terms are collinear or too many for the rows")
-    inverse, b = np.linalg.inv(m[:-1, :-1]), least_squares(m)
+    rows, k, keys = frame.dropna(subset=[outcome, *terms]), len(terms) + 1, list(by)
+    fits = {}
+    for key, m in gram(rows, [*terms, outcome], *by).items():
+        if m[0, 0] > k and np.linalg.matrix_rank(m[:-1, :-1]) == k:
+            fits[key] = m[0, 0], np.linalg.inv(m[:-1, :-1]), least_squares(m)
+        elif strict:
+            raise ValueError("the terms are collinear or too many for the rows")
+    kinds = [f"{c} {frame.schema[c].dataType.simpleString()}" for c in keys]
+    head = "".join(f"{x}, " for x in kinds)
+    schema = f"{head}term string, n long, estimate double, se double, stat double, p double, low double, high double"
+    if not fits:
+        return spark.createDataFrame([], schema)
+    small = spark.createDataFrame([(*key, b.tolist(), inverse.ravel().tolist()) for key, (_, inverse, b) in fits.items()], f"{head}_b array<double>, _inverse array<double>")
+    both = _same(rows, F.broadcast(small), keys)  # a row a group
     x = [F.lit(1.0), *[F.col(t).cast("double") for t in terms]]
-    fit = sum((x[i] * float(b[i]) for i in range(1, k)), F.lit(float(b[0])))
-    h = sum((x[i] * x[j] * float(inverse[i, j] * (1 if i == j else 2)) for i in range(k) for j in range(i, k)), F.lit(0.0))
-    own = rows.select(*[c.alias(f"x{i}") for i, c in enumerate(x)], F.pow((F.col(outcome) - fit) / (1 - h), F.lit(2)).alias("w"))
+    fit = sum((x[i] * F.get("_b", F.lit(i)) for i in range(1, k)), F.get("_b", F.lit(0)))
+    h = sum((x[i] * x[j] * F.get("_inverse", F.lit(i * k + j)) * (1 if i == j else 2) for i in range(k) for j in range(i, k)), F.lit(0.0))
+    own = both.select(*keys, *[c.alias(f"x{i}") for i, c in enumerate(x)], F.pow((F.col(outcome) - fit) / (1 - h), F.lit(2)).alias("w"))
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = own.agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("w")).alias(f"s{i}_{j}") for i, j in pairs]).first()
-    meat = np.zeros((k, k))
-    for i, j in pairs:
-        meat[i, j] = meat[j, i] = sums[f"s{i}_{j}"]
-    cov = inverse @ meat @ inverse
-    se = np.sqrt(np.diag(cov))
-    reach = 1.959963984540054 if reference == "normal" else t_quantile(0.05, n - k)
-    tail = normal_two_sided if reference == "normal" else lambda s: t_two_sided(s, n - k)
-    out = [(t, float(b[i]), float(se[i]), float(b[i] / se[i]), float(tail(b[i] / se[i])), float(b[i] - reach * se[i]), float(b[i] + reach * se[i])) for i, t in enumerate(["intercept", *terms])]
-    if joint:
-        at = [terms.index(t) + 1 for t in joint]
-        f = float(b[at] @ np.linalg.solve(cov[np.ix_(at, at)], b[at]) / len(at))
-        out.append(("joint", None, None, f, float(f_tail(f, len(at), float(n - k))), None, None))
-    return spark.createDataFrame(out, "term string, estimate double, se double, stat double, p double, low double, high double")
+    sums = own.groupBy(*keys).agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("w")).alias(f"s{i}_{j}") for i, j in pairs]).collect()
+    out = []
+    for r in sums:
+        key = tuple(r[c] for c in keys)
+        n, inverse, b = fits[key]
+        meat = np.zeros((k, k))
+        for i, j in pairs:
+            meat[i, j] = meat[j, i] = r[f"s{i}_{j}"]
+        cov = inverse @ meat @ inverse
+        se = np.sqrt(np.diag(cov))
+        reach = 1.959963984540054 if reference == "normal" else t_quantile(0.05, n - k)
+        tail = normal_two_sided if reference == "normal" else lambda s, d=n - k: t_two_sided(s, d)
+        out += [(*key, t, int(n), float(b[i]), float(se[i]), float(b[i] / se[i]), float(tail(b[i] / se[i])), float(b[i] - reach * se[i]), float(b[i] + reach * se[i])) for i, t in enumerate(["intercept", *terms])]
+        if joint:
+            at = [terms.index(t) + 1 for t in joint]
+            f = float(b[at] @ np.linalg.solve(cov[np.ix_(at, at)], b[at]) / len(at))
+            out.append((*key, "joint", int(n), None, None, f, float(f_tail(f, len(at), float(n - k))), None, None))
+    return spark.createDataFrame(out, schema)
+
+
+def support_effects(frame: DataFrame, outcome: str, terms: list[str], value: str, group: str, reference: str = "t") -> DataFrame:
+    """linear_effects() over the rows whose value lies in the range that all groups share."""
+    return linear_effects(common_support(frame.dropna(subset=[outcome, *terms]), value, group), outcome, terms, reference)

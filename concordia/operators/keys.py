@@ -45,14 +45,73 @@ def diff(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFr
     return one.unpivot([], one.columns, "change", "n")
 
 
+def unresolved(clinical: DataFrame, digital: DataFrame, key: str) -> DataFrame:
+    """(key) of each clinical key without a digital one, exact or completed, in order."""
+    left = complete_keys(clinical, digital, key).filter((F.col("matched") == "unresolved") & F.col(key).isNotNull())
+    return left.select(key).distinct().orderBy(key)
+
+
+def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row (left, right, common): distinct keys of each side and of both."""
+    marked = a.select(key).distinct().withColumn("_a", F.lit(1)).join(b.select(key).distinct().withColumn("_b", F.lit(1)), key, "full_outer").filter(F.col(key).isNotNull())
+    return marked.agg(F.count("_a").alias("left"), F.count("_b").alias("right"), F.count(F.col("_a") + F.col("_b")).alias("common"))
+
+
+def disjoint(a: DataFrame, b: DataFrame, key: str) -> None:
+    """An error if both sides share a key."""
+    if n := a.select(key).filter(F.col(key).isNotNull()).join(b.select(key), key, "left_semi").distinct().count():
+        raise ValueError(f"{n} values of {key} are on both sides")
+
+
+def exclusions(frame: DataFrame, key: str, steps: dict[str, DataFrame]) -> DataFrame:
+    """(key, reason): keys of frame that steps, each a table of the keys left after it, in order, left out, with the first to do so."""
+    left, out = frame.select(key).filter(F.col(key).isNotNull()).distinct(), []
+    for reason, after in steps.items():
+        out.append(left.join(after.select(key), key, "left_anti").withColumn("reason", F.lit(reason)))
+        left = left.join(after.select(key), key, "left_semi")
+    return reduce(DataFrame.unionByName, out)
+
+
+def retest(visits: DataFrame, key: str, at: str, value: str, low: float = 14, high: float = 28) -> DataFrame:
+    """(key, at, again, change): each visit with the first later one of its key that is `low` to `high` days on, and how much the value rose.
+
+    Visits meet only in stretches of `high` days, so a key with many visits isn't one group.
+    """
+    t = F.unix_micros(F.col(at).cast("timestamp"))
+    span = int(high * 86_400_000_000)
+    own = visits.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at, F.col(value).alias("_v"), t.alias("_t")).withColumn("_part", F.floor(F.col("_t") / span))
+    later = own.select(F.col(key), F.col(at).alias("again"), F.col("_v").alias("_w"), F.col("_t").alias("_u"), F.explode(F.array(F.col("_part") - 1, F.col("_part"))).alias("_part"))
+    gap = (F.col("_u") - F.col("_t")) / 8.64e10
+    near = own.join(later, [key, "_part"]).filter(gap.between(low, high))
+    return near.groupBy(key, at, "_v").agg(F.min(F.struct("_u", "again", "_w")).alias("_n")).select(key, at, F.col("_n.again").alias("again"), (F.col("_n._w") - F.col("_v")).alias("change"))
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, at: str, other: str, within: float) -> DataFrame:
-    """Each left row with the right row of its key nearest in time, `within` days at most; ties go to the earlier one."""
-    own = left.withColumn("_row", F.monotonically_increasing_id())
-    gap = days_between(F.col(other), F.col(at))
-    near = own.select("_row", key, at).join(right, key).withColumn("delta_days", gap).filter(F.abs("delta_days") <= within)
-    order = Window.partitionBy("_row").orderBy(F.abs("delta_days"), other)
-    first = near.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r", key, at)
-    return own.join(first, "_row", "left").drop("_row")
+    """Each left row with the right row of its key nearest in time, `within` days at most; ties go to the earlier one.
+
+    Time is cut into stretches of `within` days; right rows stand in their own and both next ones, and there each left
+    row sees the last right row up to its time and the first after it. So no pairs are made, and no key is one group.
+    Left rows without key or time, or without right row near enough, stay with nulls.
+    """
+    span = int(within * 86_400_000_000)
+    time = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rest = [c for c in right.columns if c != key]
+    own = left.select(F.col(key).alias("_k"), time(at).alias("_t"), F.struct(*left.columns).alias("_l"), F.lit(1).alias("_side"))
+    known = F.col("_k").isNotNull() & F.col("_t").isNotNull()
+    seen = right.select(F.col(key).alias("_k"), time(other).alias("_t"), F.struct(*rest).alias("_r"), F.lit(0).alias("_side")).filter(known)
+    part = F.floor(F.col("_t") / span) if span else F.col("_t")
+    both = own.filter(known).withColumn("_part", part).unionByName(seen.withColumn("_part", F.explode(F.array(part - 1, part, part + 1))), allowMissingColumns=True)
+    run = Window.partitionBy("_k", "_part").orderBy("_t", "_side", F.xxhash64("_r"))
+    mark = F.when(F.col("_r").isNotNull(), F.struct("_t", "_r"))
+    both = both.withColumn("_last", F.last(mark, True).over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.first(mark, True).over(run.rowsBetween(1, Window.unboundedFollowing)))
+    before, after = F.col("_t") - F.col("_last._t"), F.col("_next._t") - F.col("_t")
+    best = F.when((before <= span) & (before <= F.coalesce(after, before)), F.col("_last")).when(after <= span, F.col("_next")).when(before <= span, F.col("_last"))
+    met = both.filter("_side = 1").select("_l", best.alias("_b")).unionByName(own.filter(~known).select("_l"), allowMissingColumns=True)
+    return met.select("_l.*", *[F.col(f"_b._r.{c}").alias(c) for c in rest], ((F.col("_b._t") - time_of("_l", at)) / 8.64e10).alias("delta_days"))
+
+
+def time_of(row: str, column: str):
+    return F.unix_micros(F.col(f"{row}.{column}").cast("timestamp"))
 
 
 def sheets(frames: dict[str, DataFrame], source: str = "source_sheet") -> DataFrame:

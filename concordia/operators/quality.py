@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,12 +32,16 @@ def duplicate_keys(frame: DataFrame, key: str) -> DataFrame:
     return frame.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows")).filter("rows > 1")
 
 
+#: Parts of the names of columns of dates and of identifiers.
+DATES, IDENTIFIERS = ("fecha", "date", "nacim", "birth", "dob"), ("id", "codigo", "código", "code", "patient")
+
+
 def date_like(name: str) -> bool:
-    return any(h in name.lower() for h in ("fecha", "date", "nacim", "birth", "dob"))
+    return any(h in name.lower() for h in DATES)
 
 
 def id_like(name: str) -> bool:
-    return any(h in name.lower() for h in ("id", "codigo", "código", "code", "patient"))
+    return any(h in name.lower() for h in IDENTIFIERS)
 
 
 def day_first(c: Column) -> Column:
@@ -62,9 +66,20 @@ def promote(frame: DataFrame) -> DataFrame:
 
 
 def fingerprint(frame: DataFrame) -> DataFrame:
-    """(rows, total, mixed): a fingerprint of the rows that doesn't depend on their order."""
-    h = F.xxhash64(*frame.columns)
-    return frame.agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("total"), F.bit_xor(h).alias("mixed"))
+    """(rows, total, first, second): a fingerprint of the rows that doesn't depend on their order, of each row's SHA-256.
+
+    Columns are joined as text, nulls left out; total and first are of a hash's first 60 bits, second of the next 60.
+    """
+    sha = F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in frame.columns]), 256)
+    bits = lambda at: F.conv(F.substring("s", at, 15), 16, 10).cast("bigint")
+    rows = frame.select(sha.alias("s"))
+    return rows.agg(F.count("*").alias("rows"), F.sum(bits(1).cast("decimal(38,0)")).cast("string").alias("total"), F.bit_xor(bits(1)).alias("first"), F.bit_xor(bits(16)).alias("second"))
+
+
+def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of each file below a path; a source file is read whole, by one task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
 def headers(grid: DataFrame, mark: str, within: int) -> DataFrame:
@@ -73,6 +88,17 @@ def headers(grid: DataFrame, mark: str, within: int) -> DataFrame:
     return grid.select("sheet").distinct().join(hit, "sheet", "left").select("sheet", F.coalesce("h", F.lit(within)).alias("header"))
 
 
+def bodies(grid: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """(sheet, row_idx, one text column a name of `columns`) of the rows below each sheet's header, matched to names by header cell.
+
+    grid is (sheet, row_idx, col_idx, value), found what headers() gives; a sheet's header row is small and joined by a broadcast.
+    """
+    marked = grid.join(F.broadcast(found), "sheet")  # a row a sheet
+    names = marked.filter("row_idx = header").select("sheet", "col_idx", F.trim("value").alias("name"))
+    cells = marked.filter("row_idx > header").join(F.broadcast(names), ["sheet", "col_idx"])  # a row a column of a sheet
+    return cells.groupBy("sheet", "row_idx").agg(*[F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in columns])
+
+
 def column_names(cells: DataFrame) -> DataFrame:
     """(sheet, col_idx, name) of header cells (sheet, col_idx, value): merged headers spread, names made unique.
 
@@ -92,13 +118,3 @@ def column_names(cells: DataFrame) -> DataFrame:
     named = spread.withColumn("name", F.coalesce(name, F.concat(F.lit("column_"), F.col("col_idx").cast("string"))))
     nth = F.row_number().over(Window.partitionBy("sheet", "name").orderBy("col_idx"))
     return named.withColumn("_n", nth).select("sheet", "col_idx", F.when(F.col("_n") == 1, F.col("name")).otherwise(F.concat(F.col("name"), F.lit("__"), F.col("_n").cast("string"))).alias("name"))
-
-
-def roles(catalogue: DataFrame, hints: DataFrame) -> DataFrame:
-    """(role, column): of a catalogue (col, pos) and hints (role, hint, prio), a role's first column equal to a hint, else holding one."""
-    from ..functions.columns import lookup_text
-
-    both = catalogue.withColumn("_c", lookup_text(F.col("col"))).crossJoin(F.broadcast(hints.withColumn("_h", lookup_text(F.col("hint")))))  # names of columns by names of roles
-    hits = both.filter(F.contains("_c", F.col("_h"))).withColumn("_exact", F.col("_c") == F.col("_h"))
-    order = Window.partitionBy("role").orderBy(F.desc("_exact"), "prio", "pos")
-    return hits.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("role", F.col("col").alias("column"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranking import _same, counted, order_statistics
+
 
 def draw(*parts: Column) -> Column:
     """A whole number below 2**32 from the md5 of the parts."""
@@ -33,8 +35,19 @@ def split(frame: DataFrame, person: str, share: float = 0.2, seed: int = 42) ->
     return frame.join(marked, person)
 
 
+def fold_count(frame: DataFrame, person: str, k: int) -> int:
+    """k folds, or as many as there are people, but two at least; an error for k below 2."""
+    if k < 2:
+        raise ValueError("folds must be two at least")
+    return max(2, min(k, frame.select(person).filter(F.col(person).isNotNull()).distinct().limit(k).count()))
+
+
 def folds(frame: DataFrame, person: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """frame with `fold`: people, the largest first, are dealt to folds there and back, so folds differ by little."""
+    """frame with `fold`: people, the largest first, are dealt to folds there and back, so folds differ by little.
+
+    With fewer people than folds there are as many folds as people, two at least.
+    """
+    k = fold_count(frame, person, k)
     sizes = frame.filter(F.col(person).isNotNull()).groupBy(person).agg(F.count("*").alias("_rows"))
     many = sizes.groupBy("_rows").agg(F.count("*").alias("_people"))
     before = many.withColumn("_larger", F.sum("_people").over(Window.orderBy(F.desc("_rows"))) - F.col("_people")).drop("_people")
@@ -45,6 +58,48 @@ def folds(frame: DataFrame, person: str, k: int = 5, seed: int = 42) -> DataFram
     return frame.join(dealt, person)
 
 
+def shares(loads: list[int], size: int, people: int) -> list[int]:
+    """How many of so many people of one size each fold gets, if each in turn goes to the lightest fold, the first of equals."""
+    given = lambda level: [max(0, -(-(level - x) // size)) for x in loads]
+    low, high = min(loads), max(loads) + size * (people + 1)
+    while low < high:  # the highest level to which they fill all folds
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if sum(given(mid)) <= people else (low, mid - 1)
+    out = given(low)
+    for i in [i for i, x in enumerate(loads) if x + out[i] * size == low][: people - sum(out)]:
+        out[i] += 1
+    return out
+
+
+def balanced_folds(frame: DataFrame, person: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """frame with `fold`: people, the largest first and by hash among equals, each to the fold with the fewest rows so far.
+
+    Only the number of people of each size comes to the driver (sizes are few); which fold gets how many of a size
+    follows from that, and people of a size are dealt by their rank. Fewer people than folds make fewer folds, two at least.
+    """
+    k = fold_count(frame, person, k)
+    sizes = frame.filter(F.col(person).isNotNull()).groupBy(person).agg(F.count("*").alias("_rows"))
+    loads, dealt = [0] * k, []
+    for rows, people in sizes.groupBy("_rows").agg(F.count("*").alias("people")).orderBy(F.desc("_rows")).collect():
+        before = 0
+        for fold, n in enumerate(shares(loads, rows, people)):
+            if n:
+                dealt.append((rows, before, before + n, fold))
+                before += n
+                loads[fold] += n * rows
+    table = F.broadcast(frame.sparkSession.createDataFrame(dealt, "_rows long, _from long, _to long, fold int"))  # a row a size and fold
+    ranked = _ranked(sizes, [draw(F.lit(seed), F.col(person)), F.col(person)], "_rows")
+    each = ranked.join(table, "_rows").filter((F.col("_rank") > F.col("_from")) & (F.col("_rank") <= F.col("_to"))).select(person, "fold")
+    return frame.join(each, person)
+
+
+def repeated_splits(frame: DataFrame, person: str, share: float = 0.2, seeds: range = range(42, 72)) -> DataFrame:
+    """(person, seed, split) of every seed at once: whole people go to test, ceil(share * people) of them, the first by hash."""
+    people = frame.select(person).filter(F.col(person).isNotNull()).distinct().withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    ranked = _ranked(people, [draw(F.col("seed"), F.col(person)), F.col(person)], "seed")
+    return ranked.select(person, "seed", F.when(F.col("_rank") <= F.ceil(F.col("_all") * F.lit(share)), "test").otherwise("train").alias("split"))
+
+
 def class_folds(frame: DataFrame, person: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """frame with `fold`: within each class people are dealt in turn by hash; a person has the class of its largest label."""
     people = frame.filter(F.col(person).isNotNull()).groupBy(person).agg(F.max(label).alias("_class"))
@@ -57,14 +112,41 @@ def conformal(calibration: DataFrame, residual: str, alpha: float = 0.1, textboo
 
     The level is ceil((n + 1)(1 - alpha)) / n, 1 at most; with `textbook` the order statistic of that rank itself.
     """
-    rows = calibration.filter(F.col(residual).isNotNull()).select(*by, F.abs(residual).alias("_e"))
-    each = rows.groupBy(*by, "_e").agg(F.count("*").alias("_ties"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    cum = each.withColumn("_upto", F.sum("_ties").over(w.orderBy("_e"))).withColumn("n", F.sum("_ties").over(w))
-    rank = F.ceil((F.col("n") + 1) * (1 - F.lit(alpha)))
-    level = F.least(F.lit(1.0), rank / F.col("n"))
-    want = F.least(rank, F.col("n")) if textbook else F.ceil(level * (F.col("n") - 1)) + 1
-    return cum.filter(F.col("_upto") >= want).groupBy(*by).agg(F.first("n").alias("n"), F.min("_e").alias("q"))
+    n = F.col("n")
+    rank = F.ceil((n + 1) * (1 - F.lit(alpha)))
+    level = F.least(F.lit(1.0), rank / n)
+    want = F.least(rank, n) if textbook else F.ceil(level * (n - 1)) + 1
+    return order_statistics(counted(calibration, F.abs(residual), *by), {"q": want}, *by)
+
+
+def split_conformal(frame: DataFrame, person: str, fit, y: str, alpha: float = 0.1, share: float = 0.2, seed: int = 42, *by: str):
+    """(model, widths): a model fitted to people not held out, and conformal() of its errors on those held out, by group.
+
+    fit(rows) gives a function from rows to rows with `prediction`. Held out are ceil(share * people). Widths are None,
+    and the model is fitted to all rows, with under 4 people, 10 rows to fit, 5 to calibrate or 2 people to fit.
+    """
+    known = frame.filter(F.col(person).isNotNull() & F.col(y).isNotNull())
+    marked = split(known, person, share, seed)
+    n = {r[0]: (r[1], r[2]) for r in marked.groupBy("split").agg(F.count("*"), F.count_distinct(person)).collect()}
+    (fit_rows, fit_people), (held_rows, held_people) = n.get("train", (0, 0)), n.get("test", (0, 0))
+    if fit_people + held_people < 4 or fit_rows < 10 or held_rows < 5 or fit_people < 2:
+        return fit(known), None
+    model = fit(marked.filter("split = 'train'").drop("split"))
+    held = model(marked.filter("split = 'test'").drop("split"))
+    return model, conformal(held.withColumn("_error", F.col("prediction") - F.col(y)), "_error", alpha, False, *by)
+
+
+def with_interval(predicted: DataFrame, widths: DataFrame | None, *by: str) -> DataFrame:
+    """predicted with `low` and `high`, the prediction less and plus its group's width; null without widths."""
+    if widths is None:
+        return predicted.withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(None).cast("double"))
+    both = _same(predicted, widths.select(*by, F.col("q").alias("_q")), list(by), "left")
+    return both.withColumns({"low": F.col("prediction") - F.col("_q"), "high": F.col("prediction") + F.col("_q")}).drop("_q")
+
+
+def local_conformal(calibration: DataFrame, residual: str, scale: str, alpha: float = 0.1, *by: str) -> DataFrame:
+    """conformal() of residuals divided by a local scale: a row's half-width is q times its own scale; rows without scale go."""
+    return conformal(calibration.filter(F.col(scale) > 0).withColumn("_score", F.col(residual) / F.col(scale)), "_score", alpha, False, *by)
 
 
 def bootstrap(frame: DataFrame, person: str, y: str, p: str, replicates: int = 200, seed: int = 42) -> DataFrame:
@@ -77,9 +159,9 @@ def bootstrap(frame: DataFrame, person: str, y: str, p: str, replicates: int = 2
     e = b - a
     sums = rows.groupBy(person).agg(F.count("*").alias("n"), *[F.sum(x).alias(s) for s, x in (("y", a), ("p", b), ("yy", a * a), ("pp", b * b), ("yp", a * b), ("e", e), ("ae", F.abs(e)), ("ee", e * e))])
     ranked = _ranked(sums, [draw(F.lit(seed), F.col(person)), F.col(person)])
-    people = rows.select(person).distinct().agg(F.count("*").alias("g"))
-    draws = people.crossJoin(F.broadcast(frame.sparkSession.range(replicates).withColumnRenamed("id", "replicate")))  # a row by a number of replicates
-    draws = draws.select("replicate", "g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1)).alias("j"))
+    # as many draws as people: the draw of number j stands at the person of rank j + 1, and says whose turn it is
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))).alias("replicate")
+    draws = ranked.select((F.col("_rank") - 1).alias("j"), F.col("_all").alias("g"), each)
     drawn = draws.groupBy("replicate", (draw(F.lit(seed), F.col("replicate"), F.col("j")) % F.col("g") + 1).alias("_rank")).agg(F.count("*").alias("w"))
     w = F.col("w")
     t = drawn.join(ranked.drop("_all", person), "_rank").groupBy("replicate").agg(*[F.sum(F.col(s) * w).alias(s) for s in ("n", "y", "p", "yy", "pp", "yp", "e", "ae", "ee")])
@@ -90,11 +172,16 @@ def bootstrap(frame: DataFrame, person: str, y: str, p: str, replicates: int = 2
     return t.select("replicate", n, F.sqrt(F.col("ee") / n).alias("rmse"), (F.col("ae") / n).alias("mae"), (F.col("e") / n).alias("bias"), ccc.alias("ccc"))
 
 
-def replicate_summary(replicates: DataFrame, metrics: list[str]) -> DataFrame:
-    """(metric, valid, low, median, high): percentile intervals over replicates."""
-    long = replicates.unpivot([], metrics, "metric", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    q = lambda at: F.percentile("value", F.lit(at))
-    return long.groupBy("metric").agg(F.count("*").alias("valid"), q(0.025).alias("low"), q(0.5).alias("median"), q(0.975).alias("high"))
+def replicate_summary(replicates: DataFrame, metrics: list[str], requested: int | None = None) -> DataFrame:
+    """(metric, requested, valid, low, median, high): percentile intervals over replicates (a row each), by linear interpolation.
+
+    `requested` is how many replicates there were to be; without it, how many rows there are.
+    """
+    long = replicates.unpivot([], metrics, "metric", "value")
+    valid = F.when(F.col("value").isNotNull() & ~F.isnan("value"), F.col("value"))
+    q = lambda at: F.percentile(valid, F.lit(at))
+    asked = F.lit(requested).cast("long") if requested is not None else F.count("*")
+    return long.groupBy("metric").agg(asked.alias("requested"), F.count(valid).alias("valid"), q(0.025).alias("low"), q(0.5).alias("median"), q(0.975).alias("high"))
 
 
 def rejection_summary(replicates: DataFrame, reject: str, *by: str) -> DataFrame:

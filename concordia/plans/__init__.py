@@ -1 +1,6 @@
+"""The registered queries."""
 
+from . import catalogue, clinical
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "catalogue", "clinical"]

@@ -15,31 +15,10 @@ from ..operators import learning as L
 from ..operators import models as M
 from ..operators import quality as Q
 from ..operators import resample as R
+from ..operators.ranking import with_median
+from .registry import query, rounded, table
 
 METRICS = ["n", "rmse", "mae", "median_ae", "mse", "r2", "mape", "ccc", "icc", "ba_bias", "ba_sd", "ba_low", "ba_high", "slope", "intercept"]
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str = ""):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rounded(frame: DataFrame, digits: int = 4) -> DataFrame:
-    """Floating-point columns rounded: sums differ in their last digits with the order of rows."""
-    return frame.select(*[F.round(f.name, digits).alias(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f.name) for f in frame.schema.fields])
-
-
 PAIRED = """paired AS (SELECT o_custkey AS person, o_orderpriority AS priority, l_returnflag AS flag, l_quantity,
  CASE WHEN l_quantity > 0 AND l_quantity <= 10 THEN 'low' WHEN l_quantity > 10 AND l_quantity <= 30 THEN 'mid' WHEN l_quantity > 30 AND l_quantity <= 60 THEN 'high' END AS quantity_band,
  l_extendedprice AS y, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
@@ -77,9 +56,10 @@ def agreement_stratified(spark, d):
     return bundled(A.stratified(paired(spark, d), "y", "p", ["priority", "flag", "quantity_band"]))
 
 
-@query(f"WITH {PAIRED} SELECT flag, round(avg(CASE WHEN y BETWEEN p - 2000 AND p + 2000 THEN 1.0 ELSE 0.0 END), 4) AS pi_coverage, round(1 - avg(CASE WHEN y BETWEEN p - 2000 AND p + 2000 THEN 1.0 ELSE 0.0 END), 4) AS pi_miscoverage, 4000.0::DOUBLE AS pi_mean_width, 4000.0::DOUBLE AS pi_median_width FROM paired GROUP BY flag")
+@query(f"WITH {PAIRED} SELECT flag, 0.1::DOUBLE AS pi_alpha, round(avg(CASE WHEN y BETWEEN p - 2000 AND p + 2000 THEN 1.0 ELSE 0.0 END), 4) AS pi_coverage, round(1 - avg(CASE WHEN y BETWEEN p - 2000 AND p + 2000 THEN 1.0 ELSE 0.0 END), 4) AS pi_miscoverage, 4000.0::DOUBLE AS pi_mean_width, 4000.0::DOUBLE AS pi_median_width FROM paired GROUP BY flag")
 def interval_metrics(spark, d):
-    return rounded(paired(spark, d).groupBy("flag").agg(*A.intervals(F.col("y"), F.col("p") - 2000, F.col("p") + 2000)))
+    rows = paired(spark, d).withColumns({"low": F.col("p") - 2000, "high": F.col("p") + 2000})
+    return rounded(A.interval_metrics(rows, "y", "low", "high", 0.1, "flag"))
 
 
 _MODELS = f"WITH {PAIRED}, m AS (SELECT flag AS model, quantity_band AS target, sqrt(avg((p - y) * (p - y))) AS rmse, avg(abs(p - y)) AS mae, 2 * covar_samp(y, p) / (var_samp(y) + var_samp(p) + avg(p - y) * avg(p - y)) AS ccc FROM paired GROUP BY ALL)"
@@ -99,7 +79,8 @@ def latest_per_key(spark, d):
 @query("SELECT o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, round(median(o_totalprice), 4) AS median, count(DISTINCT o_custkey) AS people, round(min(o_totalprice), 4) AS lo, round(max(o_totalprice), 4) AS hi, sum(CASE WHEN nullif(o_orderpriority, '1-URGENT') IS NULL THEN 1 ELSE 0 END)::BIGINT AS missing FROM orders GROUP BY 1")
 def group_descriptives(spark, d):
     v = F.col("o_totalprice")
-    return rounded(table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.median(v).alias("median"), F.count_distinct("o_custkey").alias("people"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.sum(F.nullif(F.col("o_orderpriority"), F.lit("1-URGENT")).isNull().cast("int")).alias("missing")))
+    each = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.count_distinct("o_custkey").alias("people"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.sum(F.nullif(F.col("o_orderpriority"), F.lit("1-URGENT")).isNull().cast("int")).alias("missing"))
+    return rounded(with_median(each, table(spark, d, "orders"), v, "median", "o_orderstatus"))
 
 
 _SETS = """WITH l AS (SELECT o_orderstatus, o_orderpriority, measure, value FROM (SELECT o_orderstatus, nullif(o_orderpriority, '5-LOW') AS o_orderpriority, o_totalprice, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey) UNPIVOT (value FOR measure IN (o_totalprice, c_acctbal)))
@@ -266,15 +247,20 @@ def expectations(spark, d):
     return Q.expect(table(spark, d, "customer"), {"not_positive": F.col("c_acctbal") <= 0, "segment_domain": ~F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "no_key": F.col("c_custkey").isNull()})
 
 
-@query()
+@query("""WITH h AS (SELECT sha256(concat_ws(chr(31), o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_orderpriority)) AS s FROM orders)
+SELECT count(*) AS rows, sum(('0x' || substr(s, 1, 15))::BIGINT)::VARCHAR AS total, bit_xor(('0x' || substr(s, 1, 15))::BIGINT) AS first, bit_xor(('0x' || substr(s, 16, 15))::BIGINT) AS second FROM h""")
 def content_fingerprint(spark, d):
-    return Q.fingerprint(table(spark, d, "orders"))
+    return Q.fingerprint(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
 
 
-@query("WITH t AS (SELECT user_id, event_type = 'error' AS e, ntile(3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events), c AS (SELECT user_id, count(*) FILTER (t = 1 AND NOT e)::DOUBLE AS r1, count(*) FILTER (t = 3 AND NOT e)::DOUBLE AS r3, count(*) FILTER (t = 1 AND e)::DOUBLE AS w1, count(*) FILTER (t = 3 AND e)::DOUBLE AS w3 FROM t GROUP BY 1) SELECT user_id, r3 - r1 AS correct_last_minus_first, round(r3 / nullif(r1, 0), 4) AS correct_last_over_first, w3 - w1 AS errors_last_minus_first, round(r3 / nullif(r3 + w3, 0) - r1 / nullif(r1 + w1, 0), 4) AS accuracy_last_minus_first FROM c")
+@query("""WITH t AS (SELECT user_id, event_type = 'error' AS e, ntile(3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events),
+c AS (SELECT user_id, count(*) FILTER (t = 1 AND NOT e)::DOUBLE AS d1, count(*) FILTER (t = 2 AND NOT e)::DOUBLE AS d2, count(*) FILTER (t = 3 AND NOT e)::DOUBLE AS d3, count(*) FILTER (t = 1 AND e)::DOUBLE AS e1, count(*) FILTER (t = 2 AND e)::DOUBLE AS e2, count(*) FILTER (t = 3 AND e)::DOUBLE AS e3 FROM t GROUP BY 1)
+SELECT user_id, d1 + d2 + d3 AS sdmt_fatigue_correct_total_terciles, d3 - d1 AS sdmt_fatigue_correct_last_minus_first, round(d3 / nullif(d1, 0), 4) AS sdmt_fatigue_correct_last_over_first, (d3 - d1) / 2 AS sdmt_fatigue_correct_slope,
+d2 - d1 AS sdmt_fatigue_correct_mid_drop, d3 - d2 AS sdmt_fatigue_correct_end_drop, e1 + e2 + e3 AS sdmt_fatigue_error_total_terciles, e3 - e1 AS sdmt_fatigue_error_last_minus_first, round(e3 / nullif(e1, 0), 4) AS sdmt_fatigue_error_last_over_first,
+(e3 - e1) / 2 AS sdmt_fatigue_error_slope, round(d3 / nullif(d3 + e3, 0) - d1 / nullif(d1 + e1, 0), 4) AS sdmt_fatigue_accuracy_last_minus_first, round(d3 / nullif(d3 + e3, 0) / nullif(d1 / nullif(d1 + e1, 0), 0), 4) AS sdmt_fatigue_accuracy_last_over_first FROM c""")
 def session_fatigue(spark, d):
     out = X.fatigue(X.terciles(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error"))
-    return rounded(out.select("user_id", "correct_last_minus_first", "correct_last_over_first", "errors_last_minus_first", "accuracy_last_minus_first"))
+    return rounded(out.drop(*X.RIGHT, *X.WRONG))
 
 
 _SPLIT_SQL = "s AS (SELECT CASE WHEN l_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split, nullif(l_quantity, 1)::DOUBLE AS q, l_extendedprice::DOUBLE AS x, l_returnflag AS flag FROM lineitem)"
@@ -375,7 +361,7 @@ _RESULTS_SQL = """r AS (SELECT 'm' || o_custkey || CASE o_custkey % 3 WHEN 0 THE
 o_orderkey % 11 / 10.0::DOUBLE - 0.1 AS r2, o_custkey % 10 / 10.0::DOUBLE AS ccc, CASE WHEN o_orderkey % 5 <> 0 THEN 0.75::DOUBLE END AS icc FROM orders),
 l AS (SELECT *, CASE WHEN lower(model) LIKE '%sdmt%' THEN 'SDMT' WHEN lower(model) LIKE '%tmt%' THEN 'TMT' ELSE 'Unknown' END AS assessment,
 CASE WHEN model LIKE '%sdmt_paper_score' THEN 'sdmt_paper_score' WHEN model LIKE '%tmt_paper_score_b' THEN 'tmt_paper_score_b' ELSE model END AS target,
-CASE WHEN icc IS NULL THEN 'unknown' WHEN r2 < 0 OR ccc < 0.4 THEN 'needs major improvement' WHEN ccc < 0.7 OR icc < 0.7 THEN 'exploratory' ELSE 'promising' END AS clinical_status FROM r QUALIFY row_number() OVER (PARTITION BY model ORDER BY timestamp DESC) = 1)"""
+CASE WHEN r2 < 0 OR ccc < 0.4 THEN 'Needs major improvement' WHEN ccc < 0.7 OR icc < 0.7 THEN 'Exploratory / moderate' ELSE 'Promising for discussion' END AS clinical_status FROM r QUALIFY row_number() OVER (PARTITION BY model ORDER BY timestamp DESC) = 1)"""
 
 
 def run_results(spark, d):

@@ -107,7 +107,7 @@ def test_discussion_tables(spark):
     two = spark.createDataFrame([("m2_sdmt_paper_score", "2024-01-01", 2.0, 1.0, -0.1, 0.9, 0.9), ("other", None, 1.0, 1.0, 0.5, 0.5, None)], schema)
     named = D.global_metrics(D.combined({"a": one, "gone": None, "b": two}))
     got = {r.model: (r.rmse, r.assessment, r.target, r.clinical_status, r.source) for r in named.collect()}
-    assert got == {"m1_sdmt_paper_score": (3.0, "SDMT", "sdmt_paper_score", "promising", "a"), "m2_sdmt_paper_score": (2.0, "SDMT", "sdmt_paper_score", "needs major improvement", "b"), "other": (1.0, "Unknown", "other", "unknown", "b")}
+    assert got == {"m1_sdmt_paper_score": (3.0, "SDMT", "sdmt_paper_score", "Promising for discussion", "a"), "m2_sdmt_paper_score": (2.0, "SDMT", "sdmt_paper_score", "Needs major improvement", "b"), "other": (1.0, "Unknown", "other", "Exploratory / moderate", "b")}
     chosen = D.best_by_target(named)
     assert {r.model for r in chosen.collect()} == {"m2_sdmt_paper_score", "other"}
     strata = spark.createDataFrame([("other", "sex", "F", "2024-01-01", 1), ("other", "sex", "F", "2024-03-01", 2), ("m1_sdmt_paper_score", "sex", "F", "2024-03-01", 3)], "model string, stratifier string, subgroup string, timestamp string, n int")

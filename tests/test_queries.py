@@ -3,7 +3,7 @@
 import pytest
 from oracle import duck, same
 
-from concordia.plans import catalogue
+from concordia import plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,9 +13,9 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+@pytest.mark.parametrize("name", list(plans.QUERIES))
 def test_query(spark, con, name):
-    got = catalogue.QUERIES[name](spark, SF).toPandas()
+    got = plans.QUERIES[name](spark, SF).toPandas()
     assert len(got)
-    if name in catalogue.ORACLES:
-        assert same(got, con.sql(catalogue.ORACLES[name]).df()) == ""
+    if name in plans.ORACLES:
+        assert same(got, con.sql(plans.ORACLES[name]).df()) == ""
