@@ -194,16 +194,20 @@ def conformal_width(spark, d):
     return rounded(R.conformal(paired(spark, d).withColumn("e", F.col("p") - F.col("y")), "e", 0.1, False, "flag"))
 
 
-@query(f"""WITH {PAIRED}, s AS (SELECT person, count(*) AS n, sum(y) AS y, sum(p) AS p, sum(y * y) AS yy, sum(p * p) AS pp, sum(y * p) AS yp, sum(p - y) AS e, sum(abs(p - y)) AS ae, sum((p - y) * (p - y)) AS ee FROM paired GROUP BY 1),
+_DRAWN = f"""WITH {PAIRED}, s AS (SELECT person, count(*) AS n, sum(y) AS y, sum(p) AS p, sum(y * y) AS yy, sum(p * p) AS pp, sum(y * p) AS yp, sum(p - y) AS e, sum(abs(p - y)) AS ae, sum((p - y) * (p - y)) AS ee FROM paired GROUP BY 1),
 k AS (SELECT *, row_number() OVER (ORDER BY {_DRAW}, person) AS r, count(*) OVER () AS g FROM s),
-w AS (SELECT b AS replicate, ('0x' || substr(md5('42:' || b || ':' || j), 1, 8))::BIGINT % g + 1 AS r, count(*) AS w FROM (SELECT unnest(range(20)) AS b) , (SELECT g, unnest(range(g)) AS j FROM (SELECT max(g) AS g FROM k)) GROUP BY 1, 2),
+w AS (SELECT b AS replicate, ('0x' || substr(md5('42:' || b || ':' || j), 1, 8))::BIGINT %% g + 1 AS r, count(*) AS w FROM (SELECT unnest(range(%d)) AS b) , (SELECT g, unnest(range(g)) AS j FROM (SELECT max(g) AS g FROM k)) GROUP BY 1, 2),
 t AS (SELECT replicate, sum(n * w)::BIGINT AS n, sum(y * w) AS y, sum(p * w) AS p, sum(yy * w) AS yy, sum(pp * w) AS pp, sum(yp * w) AS yp, sum(e * w) AS e, sum(ae * w) AS ae, sum(ee * w) AS ee FROM k JOIN w USING (r) GROUP BY 1)
-SELECT replicate, n, round(sqrt(ee / n), 3) AS rmse, round(ae / n, 3) AS mae, round(e / n, 3) AS bias, round(2 * (yp - y * p / n) / (n - 1) / ((yy - y * y / n) / (n - 1) + (pp - p * p / n) / (n - 1) + pow(e / n, 2)), 3) AS ccc FROM t""")
+"""
+
+
+@query(_DRAWN % 20 + """SELECT replicate, n, round(sqrt(ee / n), 3) AS rmse, round(ae / n, 3) AS mae, round(e / n, 3) AS bias, round(2 * (yp - y * p / n) / (n - 1) / ((yy - y * y / n) / (n - 1) + (pp - p * p / n) / (n - 1) + pow(e / n, 2)), 3) AS ccc FROM t""")
 def cluster_bootstrap(spark, d):
     return rounded(R.bootstrap(paired(spark, d), "person", "y", "p", 20), 3)
 
 
-@query()
+@query(_DRAWN % 100 + """, m AS (SELECT sqrt(ee / n) AS rmse, ae / n AS mae, e / n AS bias, 2 * (yp - y * p / n) / (n - 1) / ((yy - y * y / n) / (n - 1) + (pp - p * p / n) / (n - 1) + pow(e / n, 2)) AS ccc FROM t)
+SELECT metric, count(*) AS requested, count(value) AS valid, round(quantile_cont(value, 0.025), 3) AS low, round(quantile_cont(value, 0.5), 3) AS median, round(quantile_cont(value, 0.975), 3) AS high FROM m UNPIVOT (value FOR metric IN (rmse, mae, bias, ccc)) GROUP BY 1""")
 def bootstrap_intervals(spark, d):
     return rounded(R.replicate_summary(R.bootstrap(paired(spark, d), "person", "y", "p", 100), ["rmse", "mae", "bias", "ccc"]), 3)
 
@@ -342,7 +346,20 @@ def normative_deviation(spark, d):
     return out.groupBy("fold", "g").agg(F.count("*").alias("n"), F.round(F.avg("deviation"), 2).alias("deviation"))
 
 
-@query()
+def _ridge_sql(name: str, sums: str, source: str) -> str:
+    """A table of ridge lines (w on x, v on g, c) from sums of products of the rows fitted, by the keys named."""
+    return f"""{name}_s AS ({source}), {name}_c AS (SELECT *, sxx - sx * sx / n + a AS xx, sgg - sg * sg / n + a AS gg, sxg - sx * sg / n AS xg, sxy - sx * sy / n AS xy, sgy - sg * sy / n AS gy FROM {name}_s, (SELECT unnest([0.1, 1, 10, 100]::DOUBLE[]) AS a)),
+{name} AS (SELECT {sums}, a, (xy * gg - gy * xg) / (xx * gg - xg * xg) AS w, (gy * xx - xy * xg) / (xx * gg - xg * xg) AS v, sy / n - (xy * gg - gy * xg) / (xx * gg - xg * xg) * sx / n - (gy * xx - xy * xg) / (xx * gg - xg * xg) * sg / n AS c FROM {name}_c)"""
+
+
+_SUMS = "count(*)::DOUBLE AS n, sum(x) AS sx, sum(g)::DOUBLE AS sg, sum(y) AS sy, sum(x * x) AS sxx, sum(x * g) AS sxg, sum(g * g)::DOUBLE AS sgg, sum(x * y) AS sxy, sum(g * y) AS sgy"
+
+
+@query(f"""WITH r AS (SELECT (o_custkey % 5)::INT AS fold, (o_custkey % 7 % 3)::INT AS i, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS g, c_acctbal / 1000 AS x, o_totalprice AS y FROM orders JOIN customer ON o_custkey = c_custkey),
+k AS (SELECT DISTINCT fold AS o FROM r), l AS (SELECT DISTINCT i AS j FROM r), {_ridge_sql("inner_", "o, j", f"SELECT o, j, {_SUMS} FROM k, l, r WHERE fold <> o AND i <> j GROUP BY o, j")},
+e AS (SELECT o, a, avg(abs(w * x + v * g + c - y)) AS mae FROM inner_ JOIN r ON i = j AND fold <> o GROUP BY 1, 2), b AS (SELECT o, a FROM e QUALIFY row_number() OVER (PARTITION BY o ORDER BY mae, a) = 1),
+{_ridge_sql("outer_", "o", f"SELECT o, {_SUMS} FROM k, r WHERE fold <> o GROUP BY o")}
+SELECT fold, a AS alpha, count(*) AS n, round(avg(abs(w * x + v * g + c - y)), 2) AS mae FROM r JOIN b ON b.o = fold JOIN outer_ f USING (o, a) GROUP BY 1, 2""")
 def nested_ridge(spark, d):
     out = M.nested_ridge(balances(spark, d), ["x", "g"], "y", "fold", "inner")
     return out.groupBy("fold", "alpha").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("prediction") - F.col("y"))), 2).alias("mae"))
