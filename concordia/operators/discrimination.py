@@ -101,8 +101,8 @@ def discrimination(frame: DataFrame, person: str, group: str, y: str, base: list
                 pull = np.append(0.0, now[1:]) / strength
                 step = np.linalg.solve(t @ _square(r[f"h_{name}"], n) @ t.T + np.diag([0.0] + [1.0 / strength] * (n - 1)), t @ np.array(r[f"g_{name}"]) - pull)
                 beta[r.replicate, r.held][k_] = t.T @ (now + step)
+    rows.unpersist()  # the result, read later, is worked out from the inputs
     if not fits:
-        rows.unpersist()
         return spark.createDataFrame([], "replicate int, auc_base double, auc_more double, auc_deviation double, increment double")
     scored = rows.join(table(), "replicate").filter("fold = held")
     scores = F.inline(F.array(*[F.struct(F.lit(m).alias("m"), s.alias("s")) for m, s in (("base", dot("base", size - 1)), ("more", dot("more", size)), ("deviation", dot("ridge", size - 1) - x[size - 1]))]))

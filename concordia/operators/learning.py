@@ -106,10 +106,11 @@ def stack(frame: DataFrame, features: list[str], label: str, fold: str, alpha: f
     are those of `frame`; fewer than two are an error. Rows with a null among features, label and fold go. `options`
     are those of each base by name (ridge, rf, boosted).
     """
-    rows = frame.dropna(subset=[*features, label, fold])
+    rows = frame.dropna(subset=[*features, label, fold]).persist()
     options = {"ridge": {"alpha": alpha}, "rf": {}, "boosted": {}} | (options or {})
     kinds = [r[0] for r in rows.select(fold).distinct().sort(fold).collect()]
     if len(kinds) < 2:
+        rows.unpersist()
         raise ValueError("stacking needs two folds or more")
 
     def fit(name: str, train: DataFrame):
@@ -123,8 +124,9 @@ def stack(frame: DataFrame, features: list[str], label: str, fold: str, alpha: f
         for name in options:
             held = _predict(fit(name, rows.filter(F.col(fold) != k)), held, f"base_{name}")
         unseen = held if unseen is None else unseen.unionByName(held)
-    meta = ridge(unseen, {n: F.col(f"base_{n}") for n in options}, label, 1.0)
-    return Stacked({n: fit(n, rows) for n in options}, meta)
+    out = Stacked({n: fit(n, rows) for n in options}, ridge(unseen, {n: F.col(f"base_{n}") for n in options}, label, 1.0))
+    rows.unpersist()
+    return out
 
 
 def search(frame: DataFrame, name: str, features: list[str], label: str, fold: str, grid: dict[str, list], tries: int | None = None, seed: int = 42, parallelism: int = 2) -> tuple[dict, float, PipelineModel, DataFrame]:
@@ -144,7 +146,8 @@ def search(frame: DataFrame, name: str, features: list[str], label: str, fold: s
     maps = builder.build()
     if tries is not None and tries < len(maps):
         maps = random.Random(seed).sample(maps, tries)
-    fitted = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"), numFolds=folds, foldCol=fold, seed=seed, parallelism=parallelism).fit(rows)
+    fitted = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"), numFolds=folds, foldCol=fold, seed=seed, parallelism=parallelism).fit(rows.persist())
+    rows.unpersist()
     settings = [{p.name: v for p, v in m.items()} for m in maps]
     at = min(range(len(maps)), key=lambda i: fitted.avgMetrics[i])
     tried = frame.sparkSession.createDataFrame([({k: str(v) for k, v in s.items()}, float(e)) for s, e in zip(settings, fitted.avgMetrics, strict=True)], "settings map<string,string>, rmse double")
@@ -169,11 +172,13 @@ def eliminate(frame: DataFrame, features: list[str], label: str, most: int = 24,
     if len(features) <= 3 or rows.limit(10).count() < 10:
         return list(features)
     left = list(features)
+    rows = rows.persist()
     while len(left) > most and len(left) > least:
         model = estimator("rf", left, label, numTrees=trees, maxDepth=depth).fit(rows)
         weights = dict(zip(left, model.stages[-1].featureImportances.toArray().tolist(), strict=True))
         gone = set(sorted(left, key=lambda f: (weights[f], f))[: min(max(1, int(len(left) * step)), len(left) - least)])
         left = [f for f in left if f not in gone]
+    rows.unpersist()
     return left
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import agreement as A
+from ..operators import calibrator as T
 from ..operators import comparison as G
+from ..operators import discrimination as D
 from ..operators import features as X
 from ..operators import inference as I
 from ..operators import keys as K
@@ -410,3 +412,39 @@ SELECT k, t, again, round(change, 2) AS change FROM p QUALIFY row_number() OVER
 def retest_change(spark, d):
     v = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("t")).agg(F.max("o_totalprice").alias("v"))
     return K.retest(v, "k", "t", "v").select("k", "t", "again", F.round("change", 2).alias("change"))
+
+
+_FIT = "t AS (SELECT l_returnflag AS flag, l_quantity AS x, l_tax AS g, l_extendedprice AS y, l_orderkey % 5 <> 0 AS train FROM lineitem), m AS (SELECT avg(x) AS mx, stddev_pop(x) AS dx, avg(g) AS mg, stddev_pop(g) AS dg, avg(y) AS my, count(*)::DOUBLE AS n, min(x) AS lx, max(x) AS hx FROM t WHERE train)"
+
+
+@query(f"""WITH {_FIT}, s AS (SELECT max(n) AS n, sum((x - mx) / dx * (g - mg) / dg) AS c, sum((x - mx) / dx * (y - my)) AS a, sum((g - mg) / dg * (y - my)) AS b FROM t, m WHERE train)
+SELECT flag, train, count(*) AS n, round(avg(p), 2) AS prediction, round(avg(abs(p - y)), 2) AS mae FROM (SELECT flag, train, y, my + (a * (n1 + 1) - b * c) / ((n1 + 1) * (n1 + 1) - c * c) * (x - mx) / dx + (b * (n1 + 1) - a * c) / ((n1 + 1) * (n1 + 1) - c * c) * (g - mg) / dg AS p FROM t, m, (SELECT n AS n1, a, b, c FROM s)) GROUP BY 1, 2""")
+def calibrated_predictions(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("x"), F.col("l_tax").alias("g"), F.col("l_extendedprice").alias("y"), (F.col("l_orderkey") % 5 != 0).alias("train"))
+    out = T.train(rows.filter("train"), "ridge", ["x", "g"], "y").predict(rows)
+    return out.groupBy("flag", "train").agg(F.count("*").alias("n"), F.round(F.avg("prediction"), 2).alias("prediction"), F.round(F.avg(F.abs(F.col("prediction") - F.col("y"))), 2).alias("mae"))
+
+
+@query("WITH r AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem WHERE l_quantity BETWEEN 3 AND 47) SELECT 'x' AS feature, max(lo) AS lo, max(hi) AS hi, min(l_quantity) AS seen_lo, max(l_quantity) AS seen_hi, count(*) FILTER (l_quantity < lo OR l_quantity > hi) AS violations FROM lineitem, r")
+def range_violations(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_tax").alias("g"), F.col("l_extendedprice").alias("y"))
+    return T.train(rows.filter("x BETWEEN 3 AND 47"), "linear", ["x", "g"], "y").outside(rows)
+
+
+def buyers(spark, d):
+    """A row a person: whether most of their orders are finished, mean price and balance."""
+    each = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("person")).agg(F.avg("o_totalprice").alias("price"), F.max(F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)).alias("g"))
+    return each.join(table(spark, d, "customer").select(F.col("c_custkey").alias("person"), F.col("c_acctbal").alias("y")), "person")
+
+
+@query()
+def refitted_bootstrap(spark, d):
+    people = buyers(spark, d)
+    each = D.discrimination(people, "person", "g", "y", ["price"], D.class_bootstrap(people, "person", "g", 10))
+    return rounded(R.replicate_summary(each, ["auc_base", "auc_more", "auc_deviation", "increment"], 10), 3)
+
+
+@query()
+def split_stability(spark, d):
+    people = buyers(spark, d)
+    return rounded(D.discrimination(people, "person", "g", "y", ["price"], D.all_seeds(people, "person", "g", [42, 43, 44])), 3)
