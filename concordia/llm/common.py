@@ -252,6 +252,12 @@ def drop(*frames: DataFrame | None) -> None:
             where.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def stored_bytes(frame: DataFrame) -> int:
+    """Bytes of the files that keep() wrote for frame."""
+    where = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.__dict__["_kept_at"])
+    return where.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def fresh(frame: DataFrame, name: str) -> str:
     """name, with underscores before it until frame has no such column (columns differ by more than case)."""
     taken = {c.lower() for c in frame.columns}
@@ -260,11 +266,5 @@ def fresh(frame: DataFrame, name: str) -> str:
     return name
 
 
-def checked_broadcast(frame: DataFrame, rows: int) -> tuple[DataFrame, bool]:
-    """frame with a broadcast hint if it has up to that many rows, and whether it has."""
-    small = frame.limit(rows + 1).count() <= rows
-    return (F.broadcast(frame) if small else frame), small
-
-
 def crc32_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, anchors, arrow_map, chunks, keep, quick_windows, span_hashes, utf8
+from .common import BASES, anchors, arrow_map, chunks, keep, quick_windows, span_hashes, stored_bytes, utf8
 
-#: Rows that a broadcast may have; beyond, the join is a shuffled one.
-SENT_ROWS = 400_000
+#: Stored bytes of a side that is broadcast, and rows of one that holds keys alone; beyond, the join is a shuffled one.
+SENT_BYTES, SENT_ROWS = 16_000_000, 400_000
 
 
 @dataclass(frozen=True)
@@ -72,8 +72,9 @@ def repeated_anchors(docs: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def sized_join(docs: DataFrame, side: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """docs joined with a stored side: broadcast if its rows are few, else shuffled."""
-    return docs.join(F.broadcast(side) if side.limit(SENT_ROWS + 1).count() <= SENT_ROWS else side, keys, how)
+    """docs joined with a side, broadcast if it has few stored bytes, or, if it holds keys alone, few rows; else shuffled."""
+    small = stored_bytes(side) <= SENT_BYTES if set(side.columns) - set(keys) else side.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    return docs.join(F.broadcast(side) if small else side, keys, how)
 
 
 def pieces(docs: DataFrame, scheme: Scheme) -> DataFrame:

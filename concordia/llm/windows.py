@@ -29,14 +29,15 @@ def levels(first: int, width: int) -> list[int]:
 
 
 def blocks(frame: DataFrame, key: str, text: str) -> DataFrame:
-    """(blk, ids, texts): the rows of frame, put together up to BLOCK_BYTES, written to the shared folder."""
+    """(blk, ids, sizes, bytes, data): the rows of frame, put together up to BLOCK_BYTES, their texts compressed, written to the shared folder."""
     rows = frame.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
 
     def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(held).combine_chunks()
-        ends = pa.array([0, len(whole)], pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, whole.column(c).combine_chunks()) for c in range(2)]
-        return pa.RecordBatch.from_arrays(lists, names=["ids", "texts"])
+        data, offsets = utf8(whole.column(1).combine_chunks())
+        ids = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole.column(0).combine_chunks())
+        small = pa.compress(data.tobytes(), codec="zstd", asbytes=True)
+        return pa.RecordBatch.from_arrays([ids, pa.array([np.diff(offsets).tobytes()]), pa.array([len(data)]), pa.array([small])], names=["ids", "sizes", "bytes", "data"])
 
     def run(batches):
         held, size = [], 0
@@ -50,7 +51,7 @@ def blocks(frame: DataFrame, key: str, text: str) -> DataFrame:
         if held:
             yield pack(held)
 
-    packed = rows.mapInArrow(run, f"ids array<{rows.schema['_id'].dataType.simpleString()}>, texts array<string>")
+    packed = rows.mapInArrow(run, f"ids array<{rows.schema['_id'].dataType.simpleString()}>, sizes binary, bytes bigint, data binary")
     return keep(packed.withColumn("blk", F.monotonically_increasing_id()))
 
 
@@ -71,8 +72,12 @@ class Plan:
 class Block:
     """The words of a block's texts, as hashes; texts without a key have windows that meet nobody."""
 
-    def __init__(self, plan: Plan, ids: pa.Array, texts: pa.Array):
-        data, offsets = utf8(texts)
+    def __init__(self, plan: Plan, batch: pa.RecordBatch, row: int):
+        get = lambda name: batch.column(name)[row]
+        total = get("bytes").as_py()
+        data = np.frombuffer(pa.decompress(get("data").as_buffer(), decompressed_size=total, codec="zstd"), np.uint8) if total else np.zeros(0, np.uint8)
+        self.ids, offsets = get("ids").values, np.append(0, np.cumsum(np.frombuffer(get("sizes").as_buffer(), np.int64)))
+        self.data, self.offsets = data, offsets
         found, at = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
         for a, b in chunks(np.diff(offsets)):
             own = data[offsets[a] : offsets[b]]
@@ -82,7 +87,7 @@ class Block:
         self.plan, self.at = plan, np.concatenate(at)
         units = np.concatenate(found)
         self.spans, self.size = Spans(units), len(units)
-        keyed = ~np.asarray(ids.is_null())
+        keyed = ~np.asarray(self.ids.is_null())
         self.end = np.repeat(np.where(keyed, self.at[1:], -1), np.diff(self.at))  # of each word's text
 
     def keys(self, k: int, again: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +156,7 @@ def repeated(texts: DataFrame, replies: list[DataFrame], plan: Plan) -> DataFram
 
     def send(batch):
         for row in range(batch.num_rows):
-            block = Block(plan, batch.column("ids")[row].values, batch.column("texts")[row].values)
+            block = Block(plan, batch, row)
             _, key = block.keys(k, block.repeated([batch.column(f"r{j}")[row].as_py() for j in range(k)]))
             own, count = np.unique(key, return_counts=True)
             starts = plan.starts(k)
@@ -214,15 +219,14 @@ def dedup(frame: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
     def run(batch):
         for row in range(batch.num_rows):
-            ids, own = batch.column("ids")[row].values, batch.column("texts")[row].values
-            block = Block(plan, ids, own)
+            block = Block(plan, batch, row)
             again = np.flatnonzero(block.repeated([batch.column(f"r{j}")[row].as_py() for j in range(count)]))
             edge = np.bincount(again, minlength=block.size + 1) - np.bincount(again + width, minlength=block.size + 1)
             covered = np.cumsum(edge[: block.size]) > 0
             gone = np.append(0, np.cumsum(covered))[block.at]
             kept, sizes, starts, ends = [], np.diff(block.at), [], []
-            for i, t in enumerate(own.to_pylist()):
-                a, some = block.at[i], (t or "").encode().split()
+            for i, a in enumerate(block.at[:-1]):
+                some = block.data[block.offsets[i] : block.offsets[i + 1]].tobytes().split()
                 if gone[i + 1] == gone[i]:
                     first = last = []
                 else:
@@ -232,7 +236,7 @@ def dedup(frame: DataFrame, key: str = "doc_id", text: str = "text", width: int
                 kept.append(b" ".join(some).decode())
                 starts.append(first)
                 ends.append(last)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(kept, pa.string()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=[key, "n_words", "kept", "starts", "ends"])
+            yield pa.RecordBatch.from_arrays([block.ids, pa.array(sizes, pa.int64()), pa.array(kept, pa.string()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=[key, "n_words", "kept", "starts", "ends"])
 
     return arrow_map(_with(texts, replies), run, f"`{key}` {frame.schema[key].dataType.simpleString()}, n_words bigint, kept string, starts array<int>, ends array<int>")
 
