@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranking import _same, counted, cumulative, medians, with_median
+from .ranking import cumulative, few_groups, with_median
 
 Z = 1.96
 
@@ -51,13 +51,12 @@ def intervals(y: Column, low: Column, high: Column) -> list[Column]:
 def interval_metrics(frame: DataFrame, y: str, low: str, high: str, alpha: float, *by: str) -> DataFrame:
     """(by, pi_alpha, pi_coverage, pi_miscoverage, pi_mean_width, pi_median_width); null, but for alpha, where no row has an interval."""
     a, b = F.col(low), F.col(high)
-    out = frame.groupBy(*by).agg(F.lit(alpha).alias("pi_alpha"), *intervals(F.col(y), a, b))
-    return with_median(out, frame, b - a, "pi_median_width", *by)
+    return with_median(frame, b - a, "pi_median_width", *by, extra=(F.lit(alpha).alias("pi_alpha"), *intervals(F.col(y), a, b)))
 
 
 def agreement(frame: DataFrame, y: str, p: str, *by: str) -> DataFrame:
     """bundle() and median_ae, the median absolute error, by group."""
-    out = with_median(frame.groupBy(*by).agg(*bundle(F.col(y), F.col(p))), frame, F.abs(F.col(p) - F.col(y)), "median_ae", *by)
+    out = with_median(frame, F.abs(F.col(p) - F.col(y)), "median_ae", *by, extra=tuple(bundle(F.col(y), F.col(p))))
     return out.select(*by, "n", "rmse", "mae", "median_ae", *[c for c in out.columns if c not in {*by, "n", "rmse", "mae", "median_ae"}])
 
 
@@ -69,29 +68,31 @@ def stratified(frame: DataFrame, y: str, p: str, strata: list[str], least: int =
 
 
 def latest(frame: DataFrame, keys: list[str], when: str, tie: str) -> DataFrame:
-    """The last row of each key by time; rows without time lose; ties go to the larger tie column."""
-    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(when), F.desc(tie))
-    return frame.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    """The last row of each key by time, an aggregate over its rows; rows without time lose; ties go to the larger tie column."""
+    known = F.col(when).isNotNull()
+    top = frame.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in frame.columns if c not in keys]), F.struct(known, when, F.col(tie).isNotNull(), tie)).alias("_row"))
+    return top.select(*keys, "_row.*").select(*frame.columns)
 
 
 def best(frame: DataFrame, keys: list[str]) -> DataFrame:
-    """The row of least error of each key: by rmse, then mae, then the highest concordance; nulls lose."""
+    """The row of least error of each key: by rmse, then mae, then the highest concordance; nulls and NaN lose."""
     clean = frame.withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in ("rmse", "mae", "ccc")})
-    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("rmse"), F.asc_nulls_last("mae"), F.desc_nulls_last("ccc"))
-    return clean.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    order = F.struct(*[x for c, sign in (("rmse", 1), ("mae", 1), ("ccc", -1)) for x in (F.col(c).isNull(), sign * F.col(c))])
+    top = clean.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in clean.columns if c not in keys]), order).alias("_row"))
+    return top.select(*keys, "_row.*").select(*frame.columns)
 
 
 def ranks(frame: DataFrame, value: str, *by: str) -> DataFrame:
     """(by, value, ties, rank) of each distinct value, rank the average rank of its rows: ranks without sorting a group in one task."""
     each = frame.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties"))
-    return cumulative(each, value, ["ties"], *by).withColumn("rank", F.col("before_ties") + (F.col("ties") + 1) / 2).select(*by, value, "ties", "rank")
+    return cumulative(each, value, ["ties"], *by, few=few_groups(frame, *by)).withColumn("rank", F.col("before_ties") + (F.col("ties") + 1) / 2).select(*by, value, "ties", "rank")
 
 
 def auc(frame: DataFrame, score: str, label: str, *by: str) -> DataFrame:
     """(by, n, auc): area under the curve, tied scores counting half."""
     rows = frame.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
     each = rows.groupBy(*by, score).agg(F.count("*").alias("ties"), F.sum(F.col(label).cast("long")).alias("pos"))
-    each = cumulative(each, score, ["ties"], *by).withColumn("rank", F.col("before_ties") + (F.col("ties") + 1) / 2)
+    each = cumulative(each, score, ["ties"], *by, few=few_groups(frame, *by)).withColumn("rank", F.col("before_ties") + (F.col("ties") + 1) / 2)
     n1, n0 = F.sum("pos").cast("double"), (F.sum("ties") - F.sum("pos")).cast("double")
     area = (F.sum(F.col("rank") * F.col("pos")) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0.0))
     return each.groupBy(*by).agg(F.sum("ties").alias("n"), area.alias("auc"))
@@ -123,26 +124,18 @@ def thresholds(frame: DataFrame, score: str, label: str, at: float = 0.5) -> Dat
 
 
 def grouping_summary(frame: DataFrame, measures: list[str], specs: list[tuple[str, ...]]) -> DataFrame:
-    """N, mean, median and sample deviation of each measure by each set of keys, in one grouping-sets aggregate.
+    """N, mean, median and sample deviation of each measure by each set of keys, all sets in one pass over the rows.
 
     Rows with a null in a set's own key are left out of it; the keys' values are joined into a label.
     """
     keys = sorted({k for s in specs for k in s})
     long = frame.unpivot(keys, measures, "measure", "value").filter("value IS NOT NULL")
-    names = F.concat_ws(" x ", *[F.when(F.grouping(k) == 0, F.lit(k)) for k in keys])
-    label = F.concat_ws(" | ", *[F.when(F.grouping(k) == 0, F.col(k).cast("string")) for k in keys])
-    whole = F.lit(True)
-    for k in keys:
-        whole = whole & ((F.grouping(k) == 1) | F.col(k).isNotNull())
-    grouped = long.groupingSets([["measure", *s] for s in specs], "measure", *keys)
-    out = grouped.agg(names.alias("stratum"), label.alias("label"), whole.alias("_whole"), F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).filter("_whole")
-    # medians: values are counted by the finest keys once, and the counts summed for each set
-    finest = counted(long, F.col("value"), "measure", *keys)
     own = lambda s: [k for k in keys if k in s]
-    sets = F.array(*[F.when(~F.lit(False) if not s else ~F.array_contains(F.array(*[F.col(k).isNull() for k in s]), True), F.struct(F.lit(" x ".join(own(s))).alias("stratum"), F.concat_ws(" | ", *[F.col(k).cast("string") for k in own(s)]).alias("label"))) for s in specs])
-    each = finest.select("measure", "value", "ties", F.explode(F.array_compact(sets)).alias("s")).groupBy("measure", "s.stratum", "s.label", "value").agg(F.sum("ties").alias("ties"))
-    both = _same(out, medians(each, "measure", "stratum", "label"), ["measure", "stratum", "label"])
-    return both.select("measure", "stratum", "label", "n", "mean", "median", "sd")
+    whole = lambda s: F.array_compact(F.array(*[F.col(k).cast("string") for k in s]))
+    sets = [F.when(F.size(whole(s)) == len(s), F.struct(F.lit(" x ".join(own(s))).alias("stratum"), F.concat_ws(" | ", *[F.col(k).cast("string") for k in own(s)]).alias("label"))) if s else F.struct(F.lit("").alias("stratum"), F.lit("").alias("label")) for s in specs]
+    each = long.select("measure", "value", F.explode(F.array_compact(F.array(*sets))).alias("s")).select("measure", "s.stratum", "s.label", "value")
+    out = with_median(each, F.col("value"), "median", "measure", "stratum", "label", extra=(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")))
+    return out.select("measure", "stratum", "label", "n", "mean", "median", "sd")
 
 
 def boundaries(frame: DataFrame, ranges: DataFrame, features: list[str]) -> DataFrame:

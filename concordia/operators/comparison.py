@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .inference import benjamini_hochberg, linear_effects, mann_whitney, mann_whitney_exact, normal_two_sided, t_two_sided, welch
-from .ranking import counted, medians
+from .ranking import with_median
 
 #: Rows that an adjusted comparison needs, and the size of a sample up to which ranks without ties are tested exactly.
 LEAST, EXACT = 10, 8
@@ -21,10 +21,9 @@ def long_form(frame: DataFrame, group: str, measures: dict[str, str], covariates
 def descriptives(long: DataFrame) -> DataFrame:
     """(measure, n1, n0, mean1, mean0, median1, median0)."""
     pick = lambda g, c: F.when(F.col("group") == g, c)
-    one = long.groupBy("measure").agg(*[F.count(pick(g, F.col("value"))).alias(f"n{g}") for g in (1, 0)], *[F.avg(pick(g, F.col("value"))).alias(f"mean{g}") for g in (1, 0)])
-    each = medians(counted(long, F.col("value"), "measure", "group"), "measure", "group")
-    both = each.groupBy("measure").agg(*[F.max(pick(g, F.col("median"))).alias(f"median{g}") for g in (1, 0)])
-    return one.join(both, "measure")
+    each = with_median(long, F.col("value"), "median", "measure", "group", extra=(F.count("value").alias("n"), F.avg("value").alias("mean")))
+    one = lambda name, g: F.max(pick(g, F.col(name))).alias(f"{name}{g}")
+    return each.groupBy("measure").agg(*[F.coalesce(one("n", g), F.lit(0)).alias(f"n{g}") for g in (1, 0)], *[one(name, g) for name in ("mean", "median") for g in (1, 0)])
 
 
 def tests(long: DataFrame) -> DataFrame:

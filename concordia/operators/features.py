@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import ratio
-from .ranking import counted, medians
+from .ranking import with_median
 
 #: Derived movement features, each of two families of measured ones.
 KINEMATIC = (
@@ -53,7 +53,7 @@ def impute_median(frame: DataFrame, features: list[str], split: str = "split") -
         return frame
     each = F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in features]))
     long = frame.filter(F.col(split) == "train").select(each)
-    found = medians(counted(long, F.col("v"), "c"), "c")
+    found = with_median(long, F.col("v"), "median", "c")
     m = found.agg(*[F.max(F.when(F.col("c") == c, F.col("median"))).alias(f"_m_{c}") for c in features])
     return frame.crossJoin(F.broadcast(m)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in features}).drop(*[f"_m_{c}" for c in features])
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranking import _same, counted, order_statistics
+from .ranking import _same, selected
 
 
 def draw(*parts: Column) -> Column:
@@ -116,7 +116,7 @@ def conformal(calibration: DataFrame, residual: str, alpha: float = 0.1, textboo
     rank = F.ceil((n + 1) * (1 - F.lit(alpha)))
     level = F.least(F.lit(1.0), rank / n)
     want = F.least(rank, n) if textbook else F.ceil(level * (n - 1)) + 1
-    return order_statistics(counted(calibration, F.abs(residual), *by), {"q": want}, *by)
+    return selected(calibration, F.abs(residual), {"q": (1 - alpha, want)}, *by).withColumnRenamed("_n", "n").filter("n > 0")
 
 
 def split_conformal(frame: DataFrame, person: str, fit, y: str, alpha: float = 0.1, share: float = 0.2, seed: int = 42, *by: str):

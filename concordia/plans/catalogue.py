@@ -79,8 +79,8 @@ def latest_per_key(spark, d):
 @query("SELECT o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, round(median(o_totalprice), 4) AS median, count(DISTINCT o_custkey) AS people, round(min(o_totalprice), 4) AS lo, round(max(o_totalprice), 4) AS hi, sum(CASE WHEN nullif(o_orderpriority, '1-URGENT') IS NULL THEN 1 ELSE 0 END)::BIGINT AS missing FROM orders GROUP BY 1")
 def group_descriptives(spark, d):
     v = F.col("o_totalprice")
-    each = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.count_distinct("o_custkey").alias("people"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.sum(F.nullif(F.col("o_orderpriority"), F.lit("1-URGENT")).isNull().cast("int")).alias("missing"))
-    return rounded(with_median(each, table(spark, d, "orders"), v, "median", "o_orderstatus"))
+    each = (F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.count_distinct("o_custkey").alias("people"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.sum(F.nullif(F.col("o_orderpriority"), F.lit("1-URGENT")).isNull().cast("int")).alias("missing"))
+    return rounded(with_median(table(spark, d, "orders"), v, "median", "o_orderstatus", extra=each))
 
 
 _SETS = """WITH l AS (SELECT o_orderstatus, o_orderpriority, measure, value FROM (SELECT o_orderstatus, nullif(o_orderpriority, '5-LOW') AS o_orderpriority, o_totalprice, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey) UNPIVOT (value FOR measure IN (o_totalprice, c_acctbal)))
