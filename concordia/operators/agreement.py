@@ -92,7 +92,7 @@ def auc(frame: DataFrame, score: str, label: str, *by: str) -> DataFrame:
     """(by, n, auc): area under the curve, tied scores counting half."""
     rows = frame.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
     each = rows.groupBy(*by, score).agg(F.count("*").alias("ties"), F.sum(F.col(label).cast("long")).alias("pos"))
-    each = cumulative(each, score, ["ties"], *by, few=few_groups(frame, *by)).withColumn("rank", F.col("before_ties") + (F.col("ties") + 1) / 2)
+    each = cumulative(each, score, ["ties", "pos"], *by, few=few_groups(frame, *by)).withColumn("rank", F.col("before_ties") + (F.col("ties") + 1) / 2)
     n1, n0 = F.sum("pos").cast("double"), (F.sum("ties") - F.sum("pos")).cast("double")
     area = (F.sum(F.col("rank") * F.col("pos")) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0.0))
     return each.groupBy(*by).agg(F.sum("ties").alias("n"), area.alias("auc"))

@@ -107,7 +107,7 @@ def discrimination(frame: DataFrame, person: str, group: str, y: str, base: list
     scored = rows.join(table(), "replicate").filter("fold = held")
     scores = F.inline(F.array(*[F.struct(F.lit(m).alias("m"), s.alias("s")) for m, s in (("base", dot("base", size - 1)), ("more", dot("more", size)), ("deviation", dot("ridge", size - 1) - x[size - 1]))]))
     each = scored.select("replicate", "w", "_t", scores).groupBy("replicate", "m", "s").agg(F.sum("w").alias("ties"), F.sum(F.col("w") * F.col("_t")).alias("pos"))
-    ranked = cumulative(each, "s", ["ties"], "replicate", "m").withColumn("rank", F.col("before_ties") + (F.col("ties") + 1) / 2)
+    ranked = cumulative(each, "s", ["ties", "pos"], "replicate", "m", few=True).withColumn("rank", F.col("before_ties") + (F.col("ties") + 1) / 2)
     n1, n0 = F.sum("pos"), F.sum(F.col("ties") - F.col("pos"))
     area = ranked.groupBy("replicate", "m").agg(((F.sum(F.col("rank") * F.col("pos")) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0.0))).alias("auc"))
     pick = lambda m: F.max(F.when(F.col("m") == m, F.col("auc")))

@@ -28,7 +28,7 @@ def mann_whitney(frame: DataFrame, outcome: str, group: str, *by: str) -> DataFr
     """(by, u, z) of group 1 against 0 from average ranks; z with tie and continuity correction."""
     rows = frame.filter(F.col(outcome).isNotNull() & F.col(group).isin(0, 1))
     each = rows.groupBy(*by, outcome).agg(F.count("*").alias("ties"), F.sum(group).alias("ones"))
-    both = cumulative(each, outcome, ["ties"], *by, few=few_groups(rows, *by)).withColumn("rank", F.col("before_ties") + (F.col("ties") + 1) / 2)
+    both = cumulative(each, outcome, ["ties", "ones"], *by, few=few_groups(rows, *by)).withColumn("rank", F.col("before_ties") + (F.col("ties") + 1) / 2)
     n, n1 = F.sum("ties").cast("double"), F.sum("ones").cast("double")
     a = both.groupBy(*by).agg(n.alias("n"), n1.alias("n1"), F.sum(F.col("rank") * F.col("ones")).alias("r1"), F.sum(F.pow(F.col("ties").cast("double"), F.lit(3)) - F.col("ties")).alias("tied"))
     n, n1 = F.col("n"), F.col("n1")

@@ -35,8 +35,13 @@ def few_groups(frame: DataFrame, *by: str) -> bool:
 
 
 def splitters(each: DataFrame, value: str, counts: list[str], *by: str) -> DataFrame:
-    """(by, _cuts, all_<count>): values that part each group's different values into RANGES of about as many, however they are spread."""
-    cut = F.percentile_approx(F.col(value).cast("double"), [k / RANGES for k in range(1, RANGES)], PARTING)
+    """(by, _cuts, all_<count>): values that part each group's different values into RANGES of about as many, however they are spread.
+
+    Values are looked at beside their counts, so that this step needs the columns that cumulative()'s others do: then
+    Spark reads one shuffle for all of them.
+    """
+    v = F.when(sum(map(F.col, counts[1:]), F.col(counts[0])) >= 0, F.col(value).cast("double"))
+    cut = F.percentile_approx(v, [k / RANGES for k in range(1, RANGES)], PARTING)
     return each.groupBy(*by).agg(F.array_distinct(cut).alias("_cuts"), *[F.sum(c).alias(f"all_{c}") for c in counts])
 
 
@@ -53,8 +58,8 @@ def cumulative(each: DataFrame, value: str, counts: list[str], *by: str, few: bo
     """each (by, value, counts), one row a value, with `before_<count>`, the sum over smaller values of the group, and `all_<count>`.
 
     Splitters part a group's values, a heavy value being one row; sums by range give each range's offset, and only a range
-    is sorted in a task. All three steps read the same shuffle of each. few says that there are MANY groups at most; by
-    default that is looked up.
+    is sorted in a task. All three steps read the same shuffle of each, if its columns but for by and value are all among
+    the counts. few says that there are MANY groups at most; by default that is looked up.
     """
     keys = list(by)
     few = few_groups(each, *by) if few is None else few
