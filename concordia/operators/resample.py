@@ -107,16 +107,19 @@ def class_folds(frame: DataFrame, person: str, label: str, k: int = 5, seed: int
     return frame.join(ranked.select(person, ((F.col("_rank") - 1) % k).cast("int").alias("fold")), person)
 
 
+def conformal_rank(alpha: float, textbook: bool = False) -> Column:
+    """The rank among `n` scores that covers 1 - alpha: the "higher" quantile at ceil((n + 1)(1 - alpha)) / n, 1 at most, or that rank itself."""
+    n = F.col("n")
+    rank = F.ceil((n + 1) * (1 - F.lit(alpha)))
+    return F.least(rank, n) if textbook else F.ceil(F.least(F.lit(1.0), rank / n) * (n - 1)) + 1
+
+
 def conformal(calibration: DataFrame, residual: str, alpha: float = 0.1, textbook: bool = False, *by: str) -> DataFrame:
     """(by, n, q): the half-width of split-conformal intervals, the "higher" quantile of absolute residuals.
 
     The level is ceil((n + 1)(1 - alpha)) / n, 1 at most; with `textbook` the order statistic of that rank itself.
     """
-    n = F.col("n")
-    rank = F.ceil((n + 1) * (1 - F.lit(alpha)))
-    level = F.least(F.lit(1.0), rank / n)
-    want = F.least(rank, n) if textbook else F.ceil(level * (n - 1)) + 1
-    return selected(calibration, F.abs(residual), {"q": (1 - alpha, want)}, *by).withColumnRenamed("_n", "n").filter("n > 0")
+    return selected(calibration, F.abs(residual), {"q": (1 - alpha, conformal_rank(alpha, textbook))}, *by).withColumnRenamed("_n", "n").filter("n > 0")
 
 
 def split_conformal(frame: DataFrame, person: str, fit, y: str, alpha: float = 0.1, share: float = 0.2, seed: int = 42, *by: str):

@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from . import catalogue, clinical
+from . import catalogue, clinical, models  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "catalogue", "clinical"]
