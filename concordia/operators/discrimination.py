@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .draws import resampled
 from .ranking import cumulative
 from .resample import _ranked, draw
 
@@ -15,11 +17,12 @@ STEPS = 8
 
 def class_bootstrap(people: DataFrame, person: str, group: str, replicates: int, seed: int = 42) -> DataFrame:
     """(replicate, person, group, w): how often each person is drawn, as many draws from each group as it has people."""
-    ranked = _ranked(people.select(person, group), [draw(F.lit(seed), F.col(person)), F.col(person)], group)
-    each = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
-    draws = ranked.select(group, (F.col("_rank") - 1).alias("_j"), F.col("_all").alias("_g"), each)
-    drawn = draws.groupBy("replicate", group, (draw(F.lit(seed), F.col("replicate"), F.col(group), F.col("_j")) % F.col("_g") + 1).alias("_rank")).agg(F.count("*").alias("w"))
-    return drawn.join(ranked.select(person, group, "_rank"), [group, "_rank"]).select("replicate", person, group, "w")
+    def drawn(part: pd.DataFrame, weight: np.ndarray) -> pd.DataFrame:
+        b, i = np.nonzero(weight)
+        return pd.DataFrame({"replicate": b.astype(np.int32), person: part[person].to_numpy()[i], group: part[group].to_numpy()[i], "w": weight[b, i].astype(np.int64)})
+
+    kind = {c: people.schema[c].dataType.simpleString() for c in (person, group)}
+    return resampled(people.select(person, group), person, replicates, seed, drawn, f"replicate int, `{person}` {kind[person]}, `{group}` {kind[group]}, w long", group)
 
 
 def all_seeds(people: DataFrame, person: str, group: str, seeds: list[int]) -> DataFrame:
@@ -27,6 +30,12 @@ def all_seeds(people: DataFrame, person: str, group: str, seeds: list[int]) -> D
     return people.select(F.explode(F.array(*[F.lit(s) for s in seeds])).alias("replicate"), person, group, F.lit(1).cast("long").alias("w"))
 
 
+def replicate_folds(draws: DataFrame, person: str, group: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """draws with `fold`: within each replicate and group people are dealt in turn by hash, all copies of one together."""
+    ranked = _ranked(draws, [draw(F.lit(seed) + F.col("replicate"), F.col(person)), F.col(person)], "replicate", group)
+    return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_all")
+
+
 def _moments(x: list, w):
     n = range(len(x))
     return [F.sum(w * x[i] * x[j]) for i in n for j in n if i <= j]
@@ -50,9 +59,9 @@ def discrimination(frame: DataFrame, person: str, group: str, y: str, base: list
     and fold, whatever the number of rows; each Newton step is one aggregate for all replicates, folds and models.
     """
     spark, size = frame.sparkSession, len(base) + 2
-    marked = _ranked(draws, [draw(F.lit(seed) + F.col("replicate"), F.col(person)), F.col(person)], "replicate", group)
+    marked = replicate_folds(draws, person, group, k, seed)
     enough = draws.groupBy("replicate", group).agg(F.count_distinct(person).alias("n")).groupBy("replicate").agg(F.min("n").alias("n"), F.count("*").alias("g")).filter((F.col("n") >= k) & (F.col("g") == 2)).select("replicate")
-    folds = marked.join(enough, "replicate", "left_semi").select("replicate", person, "w", ((F.col("_rank") - 1) % k).cast("int").alias("fold"))
+    folds = marked.join(enough, "replicate", "left_semi").select("replicate", person, "w", "fold")
     own = frame.select(person, F.col(group).cast("double").alias("_t"), F.array(F.lit(1.0), *[F.col(c).cast("double") for c in base], F.col(y).cast("double")).alias("_x")).filter(~F.exists("_x", lambda v: v.isNull()))
     rows = folds.join(own, person).persist()
     x = [F.get("_x", F.lit(i)) for i in range(size)]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .draws import resampled
 from .ranking import _same, selected
 
 
@@ -155,19 +158,19 @@ def local_conformal(calibration: DataFrame, residual: str, scale: str, alpha: fl
 def bootstrap(frame: DataFrame, person: str, y: str, p: str, replicates: int = 200, seed: int = 42) -> DataFrame:
     """(replicate, n, rmse, mae, bias, ccc): metrics of people drawn again with replacement.
 
-    Rows are summed by person once; a replicate is a join of those sums with how often each person was drawn.
+    Rows are summed by person once; people's sums are weighed where they lie, and a row a replicate and leaf is shuffled.
     """
     a, b = F.col(y), F.col(p)
     rows = frame.filter(a.isNotNull() & b.isNotNull() & F.col(person).isNotNull())
     e = b - a
     sums = rows.groupBy(person).agg(F.count("*").alias("n"), *[F.sum(x).alias(s) for s, x in (("y", a), ("p", b), ("yy", a * a), ("pp", b * b), ("yp", a * b), ("e", e), ("ae", F.abs(e)), ("ee", e * e))])
-    ranked = _ranked(sums, [draw(F.lit(seed), F.col(person)), F.col(person)])
-    # as many draws as people: the draw of number j stands at the person of rank j + 1, and says whose turn it is
-    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))).alias("replicate")
-    draws = ranked.select((F.col("_rank") - 1).alias("j"), F.col("_all").alias("g"), each)
-    drawn = draws.groupBy("replicate", (draw(F.lit(seed), F.col("replicate"), F.col("j")) % F.col("g") + 1).alias("_rank")).agg(F.count("*").alias("w"))
-    w = F.col("w")
-    t = drawn.join(ranked.drop("_all", person), "_rank").groupBy("replicate").agg(*[F.sum(F.col(s) * w).alias(s) for s in ("n", "y", "p", "yy", "pp", "yp", "e", "ae", "ee")])
+    names = ["n", "y", "p", "yy", "pp", "yp", "e", "ae", "ee"]
+
+    def weighed(part: pd.DataFrame, weight: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame(weight @ part[names].to_numpy(np.float64), columns=names).assign(replicate=np.arange(len(weight)))
+
+    each = resampled(sums, person, replicates, seed, weighed, ", ".join(f"{s} double" for s in names) + ", replicate long")
+    t = each.groupBy("replicate").agg(*[F.sum(s).alias(s) for s in names]).withColumn("n", F.col("n").cast("bigint"))
     n = F.col("n")
     var = lambda s, q: (F.col(q) - F.col(s) * F.col(s) / n) / (n - 1)
     cov = (F.col("yp") - F.col("y") * F.col("p") / n) / (n - 1)

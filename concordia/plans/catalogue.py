@@ -194,9 +194,20 @@ def conformal_width(spark, d):
     return rounded(R.conformal(paired(spark, d).withColumn("e", F.col("p") - F.col("y")), "e", 0.1, False, "flag"))
 
 
+def mix_sql(name: str, source: str, column: str, keep: str) -> str:
+    """Tables that put splitmix64's output function of a column of UBIGINT in its place."""
+    times = lambda c: f"(({{}})::UHUGEINT * {c}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return f"""{name}_a AS (SELECT {keep}, {times(0xBF58476D1CE4E5B9).format(f"xor({column}, {column} >> 30)")} AS {column} FROM {source}),
+{name}_b AS (SELECT {keep}, {times(0x94D049BB133111EB).format(f"xor({column}, {column} >> 27)")} AS {column} FROM {name}_a), {name} AS (SELECT {keep}, xor({column}, {column} >> 31) AS {column} FROM {name}_b)"""
+
+
+#: As draws fall while all people are in one leaf.
 _DRAWN = f"""WITH {PAIRED}, s AS (SELECT person, count(*) AS n, sum(y) AS y, sum(p) AS p, sum(y * y) AS yy, sum(p * p) AS pp, sum(y * p) AS yp, sum(p - y) AS e, sum(abs(p - y)) AS ae, sum((p - y) * (p - y)) AS ee FROM paired GROUP BY 1),
 k AS (SELECT *, row_number() OVER (ORDER BY {_DRAW}, person) AS r, count(*) OVER () AS g FROM s),
-w AS (SELECT b AS replicate, ('0x' || substr(md5('42:' || b || ':' || j), 1, 8))::BIGINT %% g + 1 AS r, count(*) AS w FROM (SELECT unnest(range(%d)) AS b) , (SELECT g, unnest(range(g)) AS j FROM (SELECT max(g) AS g FROM k)) GROUP BY 1, 2),
+z AS (SELECT b, (42 * 4294967296 + b)::UBIGINT AS h FROM range(%d) AS t(b)), {(mix_sql("z1", "z", "h", "b") + ", " + mix_sql("z2", "z1", "h", "b")).replace("%", "%%")},
+v AS (SELECT b, g, ((h::UHUGEINT + 11400714819323198485::UHUGEINT * j::UHUGEINT) %% 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM z2, (SELECT g, unnest(range(1, g + 1)) AS j FROM (SELECT max(g) AS g FROM k))),
+{mix_sql("v1", "v", "h", "b, g").replace("%", "%%")},
+w AS (SELECT b AS replicate, (h %% g::UBIGINT)::BIGINT + 1 AS r, count(*) AS w FROM v1 GROUP BY 1, 2),
 t AS (SELECT replicate, sum(n * w)::BIGINT AS n, sum(y * w) AS y, sum(p * w) AS p, sum(yy * w) AS yy, sum(pp * w) AS pp, sum(yp * w) AS yp, sum(e * w) AS e, sum(ae * w) AS ae, sum(ee * w) AS ee FROM k JOIN w USING (r) GROUP BY 1)
 """
 

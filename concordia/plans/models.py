@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import agreement as A
 from ..operators import crossfit as V
+from ..operators import discrimination as D
 from ..operators import quantiles as U
 from ..operators import resample as R
 from ..operators import strata as S
-from .catalogue import _DRAW, _SUMS, balances
+from .catalogue import _DRAW, _SUMS, balances, mix_sql
+from .clinical import buyers
 from .registry import query, table
 
 
@@ -126,3 +128,14 @@ def deviation_classifier(spark, d):
     area = A.auc(held, "score", "g")
     more = held.agg(F.round(F.avg("score"), 6).alias("score"), F.round(F.avg(F.pow(F.col("score") - F.col("g"), F.lit(2))), 6).alias("brier"))
     return area.select("n", F.round("auc", 6).alias("auc")).crossJoin(F.broadcast(more))  # one row each
+
+
+@query(f"""WITH q AS (SELECT o_custkey AS person, max(CASE o_orderstatus WHEN 'P' THEN 1 ELSE 0 END) AS g FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {_DRAW}, person) AS r, count(*) OVER (PARTITION BY g) AS n FROM q),
+z AS (SELECT b, (42 * 4294967296 + b)::UBIGINT AS h FROM range(10) AS t(b)), {mix_sql("z1", "z", "h", "b")}, y AS (SELECT b, g, n, ((h::UHUGEINT + g::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM z1, (SELECT DISTINCT g, n FROM k)), {mix_sql("y1", "y", "h", "b, g, n")},
+v AS (SELECT b, g, n, ((h::UHUGEINT + 11400714819323198485::UHUGEINT * j::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM y1)), {mix_sql("v1", "v", "h", "b, g, n")},
+w AS (SELECT b, g, (h % n::UBIGINT)::BIGINT + 1 AS r, count(*) AS w FROM v1 GROUP BY 1, 2, 3), f AS (SELECT b, g, person, w, (row_number() OVER (PARTITION BY b, g ORDER BY ('0x' || substr(md5((42 + b) || ':' || person), 1, 8))::BIGINT, person) - 1) % 5 AS fold FROM w JOIN k USING (g, r))
+SELECT b::INT AS replicate, g, fold::INT AS fold, count(*) AS people, sum(w)::BIGINT AS drawn, sum(w * person)::BIGINT AS mixed FROM f GROUP BY 1, 2, 3""")
+def class_bootstrap_draws(spark, d):
+    people = buyers(spark, d)
+    out = D.replicate_folds(D.class_bootstrap(people, "person", "g", 10), "person", "g")
+    return out.groupBy("replicate", "g", "fold").agg(F.count("*").alias("people"), F.sum("w").alias("drawn"), F.sum(F.col("w") * F.col("person")).alias("mixed"))
