@@ -55,6 +55,12 @@ def lookup_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"\p{M}+", ""), r"[_\s]+", " "))
 
 
+def lookup_name(name: str) -> str:
+    """lookup_text() of a column's name: what names are compared by."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", name.lower()) if not unicodedata.combining(c))
+    return " ".join(plain.replace("_", " ").split())
+
+
 def person(c: Column) -> Column:
     return F.upper(F.trim(c.cast("string")))
 

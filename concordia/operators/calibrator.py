@@ -67,7 +67,7 @@ def train(frame: DataFrame, name: str, features: list[str], label: str, fold: st
     empty = Calibrator(name, list(features), label, seen[0], ranges, scale, None)
     rows, named = empty.scaled(frame), [f"_z{k}" for k in range(len(features))]
     if name == "ridge":
-        model = ridge(rows, {z: F.col(z) for z in named}, label, **options)
+        model = ridge(rows, {z: z for z in named}, label, **options)
     elif name == "gam":
         model = spline_gam(rows, named, label, **options)
     elif name == "ensemble":

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import ratio
+from ..functions.columns import lookup_name, ratio
+from .quality import date_like, id_like
 from .ranking import with_median
 
+#: Parts of the names of columns of sexes.
+SEXES = ("sexo", "sex", "gender", "genero")
 #: Derived movement features, each of two families of measured ones.
 KINEMATIC = (
     ("circle_to_flight_ratio", "inside_circle_time", "/", "flight_time"),
@@ -70,8 +73,8 @@ LOGGED = (r"(time|tiempo|latency|latencia|duration|duracion|delay|dwell|flight|h
 
 
 def log_candidates(columns: list[str]) -> list[str]:
-    """Columns whose lower-cased names speak of times, errors or counts (any name with an n does, as the last pattern says)."""
-    return [c for c in columns if any(re.search(p, c.lower()) for p in LOGGED)]
+    """Columns whose names, in lookup form, speak of times, errors or counts (any name with an n does, as the last pattern says)."""
+    return [c for c in columns if any(re.search(p, lookup_name(c)) for p in LOGGED)]
 
 
 def log_transform(frame: DataFrame, features: list[str], split: str = "split") -> DataFrame:
@@ -81,15 +84,26 @@ def log_transform(frame: DataFrame, features: list[str], split: str = "split") -
     return frame.withColumns({c: raised(c) for c in features if lows[c] is not None and lows[c] >= 0})
 
 
-def one_hot(frame: DataFrame, columns: list[str], most: int = 6) -> DataFrame:
-    """A column of 1.0 and 0.0 for each level of columns with 2 to `most` levels; null rows are 0.0 in all."""
-    few = frame.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in columns]).first()
-    for c in columns:
-        if 2 <= few[c] <= 2 * most:
-            levels = [r[0] for r in frame.select(F.col(c).cast("string")).distinct().dropna().limit(most + 1).collect()]
-            if 2 <= len(levels) <= most:
-                frame = frame.withColumns({f"{c}_{v}": F.when(F.col(c).cast("string") == v, 1.0).otherwise(0.0) for v in sorted(levels)})
-    return frame
+def one_hot(frame: DataFrame, columns: list[str] | None = None, most: int = 6, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """A column of 1.0 and 0.0 for each level of text columns with 2 to `most` levels; null rows are 0.0 in all.
+
+    With a list only its columns count. Columns to exclude and those named like dates, identifiers or sexes are left as
+    they are; truth values become 1.0, 0.0 and null. One aggregate estimates how many levels each column has, and one
+    more collects those of the columns that have few.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in frame.schema.fields}
+    left_out = lambda c: c in exclude or date_like(c) or id_like(c) or any(h in c.lower() for h in SEXES)
+    taken = [c for c in kinds if (columns is None or c in columns) and not left_out(c)]
+    frame = frame.withColumns({c: F.col(f"`{c}`").cast("double") for c in taken if kinds[c] == "boolean"})
+    text = [c for c in taken if kinds[c] == "string"]
+    if not text:
+        return frame
+    about = frame.agg(*[F.approx_count_distinct(f"`{c}`", 0.01).alias(f"n{k}") for k, c in enumerate(text)]).first()
+    near = [c for k, c in enumerate(text) if 2 <= about[k] <= 2 * most]
+    if not near:
+        return frame
+    levels = frame.agg(*[F.array_sort(F.collect_set(f"`{c}`")).alias(f"l{k}") for k, c in enumerate(near)]).first()
+    return frame.withColumns({f"{c}_{v}": F.when(F.col(f"`{c}`") == v, 1.0).otherwise(0.0) for c, own in zip(near, levels, strict=True) if 2 <= len(own) <= most for v in own})
 
 
 def target_proxy(frame: DataFrame, targets: list[str]) -> DataFrame:

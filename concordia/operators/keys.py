@@ -30,8 +30,10 @@ def ambiguous(digital: DataFrame, key: str) -> DataFrame:
 
 
 def paired(digital: DataFrame, clinical: DataFrame, key: str, suffix: str = "_clinical") -> DataFrame:
-    """Inner join on the key; other clinical columns that clash get the suffix."""
+    """Inner join on the key; other clinical columns that clash get the suffix. No row that meets another is an error."""
     clash = {c: c + suffix for c in clinical.columns if c != key and c in digital.columns}
+    if digital.select(key).join(clinical.select(key), key, "left_semi").isEmpty():
+        raise ValueError(f"no {key} of one source is in the other")
     return digital.join(clinical.withColumnsRenamed(clash), key)
 
 
@@ -75,15 +77,20 @@ def exclusions(frame: DataFrame, key: str, steps: dict[str, DataFrame]) -> DataF
 def retest(visits: DataFrame, key: str, at: str, value: str, low: float = 14, high: float = 28) -> DataFrame:
     """(key, at, again, change): each visit with the first later one of its key that is `low` to `high` days on, and how much the value rose.
 
-    Visits meet only in stretches of `high` days, so a key with many visits isn't one group.
+    Each visit asks at the time `low` days on for the next visit. Questions and visits are sorted by stretches of
+    `high` days, visits also standing in the stretch before theirs, and the answer is carried along: no pairs are made,
+    and no key is one group. Of several visits at one time that of the smallest value answers.
     """
-    t = F.unix_micros(F.col(at).cast("timestamp"))
-    span = int(high * 86_400_000_000)
-    own = visits.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at, F.col(value).alias("_v"), t.alias("_t")).withColumn("_part", F.floor(F.col("_t") / span))
-    later = own.select(F.col(key), F.col(at).alias("again"), F.col("_v").alias("_w"), F.col("_t").alias("_u"), F.explode(F.array(F.col("_part") - 1, F.col("_part"))).alias("_part"))
-    gap = (F.col("_u") - F.col("_t")) / 8.64e10
-    near = own.join(later, [key, "_part"]).filter(gap.between(low, high))
-    return near.groupBy(key, at, "_v").agg(F.min(F.struct("_u", "again", "_w")).alias("_n")).select(key, at, F.col("_n.again").alias("again"), (F.col("_n._w") - F.col("_v")).alias("change"))
+    time, span = F.unix_micros(F.col(at).cast("timestamp")), int(high * 86_400_000_000)
+    own = visits.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at, F.col(value).alias("_v"), time.alias("_t"))
+    asked = own.select(key, at, "_v", (F.col("_t") + int(low * 86_400_000_000)).alias("_q"), F.lit(0).alias("_side"))
+    asked = asked.withColumn("_part", F.floor(F.col("_q") / span))
+    part = F.floor(F.col("_t") / span)
+    seen = own.select(key, F.struct(F.col("_t"), F.col(at).alias("again"), F.col("_v").alias("_w")).alias("_n"), F.col("_t").alias("_q"), F.lit(1).alias("_side"), F.explode(F.array(part - 1, part)).alias("_part"))
+    both = asked.unionByName(seen, allowMissingColumns=True)
+    run = Window.partitionBy(key, "_part").orderBy(F.desc("_q"), F.desc("_side"), F.desc("_n._w")).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_n", F.last("_n", True).over(run)).filter("_side = 0").filter(F.col("_n._t") - F.col("_q") <= int((high - low) * 86_400_000_000))
+    return met.select(key, at, F.col("_n.again").alias("again"), (F.col("_n._w") - F.col("_v")).alias("change"))
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, at: str, other: str, within: float) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .features import balanced_weight, error_class
 from .inference import gram, least_squares
 from .models import estimator, line
+from .ranking import with_median
 
 #: What stands for a class of counts that training doesn't hold.
 STAND_IN = {0: 0.0, 1: 1.0, 2: 2.0, 3: 4.0}
@@ -22,20 +23,24 @@ STAND_IN = {0: 0.0, 1: 1.0, 2: 2.0, 3: 4.0}
 
 @dataclass(frozen=True)
 class Linear:
-    """A linear prediction from named terms, each an expression over the columns of a frame."""
+    """A linear prediction from named terms, each an expression over the columns of a frame, best as SQL text, which can be saved."""
 
-    terms: dict[str, Column]
+    terms: dict[str, str | Column]
     coefficients: list[float]
 
     def transform(self, frame: DataFrame, output: str = "prediction") -> DataFrame:
         """frame with the prediction, null where a term is; the terms' columns go again."""
-        named = {f"_t{k}": c for k, c in enumerate(self.terms.values())}
+        named = {f"_t{k}": _column(c) for k, c in enumerate(self.terms.values())}
         return frame.withColumns(named).withColumn(output, line(self.coefficients, list(named))).drop(*named)
 
 
-def ridge(frame: DataFrame, terms: dict[str, Column], label: str, alpha: float = 1.0) -> Linear:
+def _column(term: str | Column) -> Column:
+    return F.expr(term) if isinstance(term, str) else term
+
+
+def ridge(frame: DataFrame, terms: dict[str, str | Column], label: str, alpha: float = 1.0) -> Linear:
     """The ridge of label on the terms, its intercept free, from one aggregate over rows without nulls among them."""
-    named = [c.cast("double").alias(f"_t{k}") for k, c in enumerate(terms.values())]
+    named = [_column(c).cast("double").alias(f"_t{k}") for k, c in enumerate(terms.values())]
     own = frame.select(*named, F.col(label).cast("double").alias("_y"))
     m = gram(own, own.columns)[()]
     if not m[0, 0]:
@@ -51,8 +56,12 @@ def several_values(frame: DataFrame, columns: list[str], least: int) -> set[str]
     return {c for c in columns if exact.get(c, about[c]) >= least}
 
 
-def spline_terms(train: DataFrame, features: list[str], knots: int = 5, degree: int = 3, least_values: int = 6) -> dict[str, Column]:
-    """Terms of a uniform B-spline between the training minimum and maximum of each feature, but for the last of each.
+def _real(x: float) -> str:
+    return f"({float(x)!r}D)"
+
+
+def spline_terms(train: DataFrame, features: list[str], knots: int = 5, degree: int = 3, least_values: int = 6) -> dict[str, str]:
+    """Terms, as SQL text, of a uniform B-spline between the training minimum and maximum of each feature, but for the last of each.
 
     Values outside count as the nearest bound. Features of fewer different values, or of one value, are terms themselves.
     A null gives null terms. A basis function is the sum of truncated powers over its knots, so no recursion is needed.
@@ -61,15 +70,15 @@ def spline_terms(train: DataFrame, features: list[str], knots: int = 5, degree:
     bounds = train.agg(*[f(F.col(c).cast("double")).alias(f"{n}{k}") for k, c in enumerate(features) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     terms = {}
     for k, c in enumerate(features):
-        x, lo, hi = F.col(c).cast("double"), bounds[f"lo{k}"], bounds[f"hi{k}"]
+        x, lo, hi = f"CAST(`{c}` AS DOUBLE)", bounds[f"lo{k}"], bounds[f"hi{k}"]
         if c not in smooth or not lo < hi:
             terms[c] = x
             continue
-        inside = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
+        inside = f"(least(greatest({x}, {_real(lo)}), {_real(hi)}) - {_real(lo)}) / {_real((hi - lo) / (knots - 1))}"
         for j in range(knots + degree - 2):
-            u = (inside - lo) / ((hi - lo) / (knots - 1)) + float(degree - j)
-            powers = [F.pow(F.greatest(u - float(i), F.lit(0.0)), F.lit(float(degree))) * float((-1) ** i * math.comb(degree + 1, i) / math.factorial(degree)) for i in range(degree + 1)]
-            terms[f"{c}_s{j}"] = F.when(u.isNull(), None).when((u > 0) & (u < degree + 1), sum(powers[1:], powers[0])).otherwise(0.0)
+            u = f"({inside} + {_real(degree - j)})"
+            powers = [f"power(greatest({u} - {_real(i)}, 0D), {_real(degree)}) * {_real((-1) ** i * math.comb(degree + 1, i) / math.factorial(degree))}" for i in range(degree + 1)]
+            terms[f"{c}_s{j}"] = f"CASE WHEN {x} IS NULL THEN NULL WHEN {u} > 0 AND {u} < {degree + 1} THEN {' + '.join(powers)} ELSE 0D END"
     return terms
 
 
@@ -115,7 +124,7 @@ def stack(frame: DataFrame, features: list[str], label: str, fold: str, alpha: f
 
     def fit(name: str, train: DataFrame):
         if name == "ridge":
-            return ridge(train, {f: F.col(f) for f in features}, label, **options[name])
+            return ridge(train, {f: f"`{f}`" for f in features}, label, **options[name])
         return estimator(name, features, label, **options[name]).fit(train)
 
     unseen = None
@@ -124,7 +133,7 @@ def stack(frame: DataFrame, features: list[str], label: str, fold: str, alpha: f
         for name in options:
             held = _predict(fit(name, rows.filter(F.col(fold) != k)), held, f"base_{name}")
         unseen = held if unseen is None else unseen.unionByName(held)
-    out = Stacked({n: fit(n, rows) for n in options}, ridge(unseen, {n: F.col(f"base_{n}") for n in options}, label, 1.0))
+    out = Stacked({n: fit(n, rows) for n in options}, ridge(unseen, {n: f"`base_{n}`" for n in options}, label, 1.0))
     rows.unpersist()
     return out
 
@@ -205,7 +214,7 @@ def count_classifier(train: DataFrame, features: list[str], label: str, binary:
     Counts are rounded half to even. Rows with a null among features and label go; none left is an error.
     """
     rows = train.dropna(subset=[*features, label]).withColumn("_class", error_class(F.col(label).cast("double"), binary))
-    medians = rows.groupBy("_class").agg(F.rint(F.median(F.rint(label))).alias("m")).collect()
+    medians = with_median(rows, F.rint(label), "m", "_class").withColumn("m", F.rint("m")).collect()
     if not medians:
         raise ValueError("no row has all features and a count")
     known = {k: v for k, v in STAND_IN.items() if not binary or k < 2}

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import base_person, lookup_text, number, person
+from ..functions.columns import base_person, lookup_name, lookup_text, number, person
 from .features import KINEMATIC, kinematic
 
 #: What patient columns are called, and what derived and categorical features are allowed.
@@ -108,7 +108,8 @@ def without_demography(columns: list[str], derived=DERIVED, categorical=CATEGORI
 
 
 def matching(columns: list[str], patterns: tuple[str, ...]) -> list[str]:
-    return [c for c in columns if any(re.search(p, c.lower()) for p in patterns)]
+    """Columns whose names, in lookup form, hold one of the patterns."""
+    return [c for c in columns if any(re.search(p, lookup_name(c)) for p in patterns)]
 
 
 def families(columns: list[str]) -> dict[str, list[str]]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .draws import resampled
-from .ranking import _same, selected
+from .ranking import MANY, _same, selected
 
 
 def draw(*parts: Column) -> Column:
@@ -110,6 +110,46 @@ def class_folds(frame: DataFrame, person: str, label: str, k: int = 5, seed: int
     return frame.join(ranked.select(person, ((F.col("_rank") - 1) % k).cast("int").alias("fold")), person)
 
 
+def mixed_class_folds(frame: DataFrame, person: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """frame with `fold`: whole people, whose rows may be of several classes, so that each class is spread over the folds alike.
+
+    People with the same number of rows of each class are alike. Kinds of people, those with the most uneven rows first,
+    are dealt in turn: every fold gets an equal share of a kind, and what is left over goes, one at a time, to the folds
+    in which it leaves the shares of the classes least uneven, then to those with fewest rows. Which people of a kind
+    go where follows from their hash. Only kinds and how many people are of each come to the driver; where there are
+    over MANY, counts of rows that agree in their power of two make one kind. Rows without person go, classes may be null.
+    """
+    k = fold_count(frame, person, k)
+    rows = frame.filter(F.col(person).isNotNull())
+    classes = [r[0] for r in rows.select(F.col(label).cast("string")).distinct().sort(label).collect()]  # few
+    count = [F.count_if(F.col(label).cast("string").eqNullSafe(F.lit(c))).alias(f"_c{j}") for j, c in enumerate(classes)]
+    people = rows.groupBy(person).agg(*count)
+    names = [f"_c{j}" for j in range(len(classes))]
+    kind = F.array(*names)
+    sizes = people.groupBy(kind.alias("_kind")).count().limit(MANY + 1).collect()
+    if len(sizes) > MANY:
+        kind = F.array(*[F.floor(F.log2(F.col(c) + 1)) for c in names])
+        sizes = people.groupBy(kind.alias("_kind")).count().collect()
+    means = {tuple(r[0]): list(r[1:]) for r in people.groupBy(kind.alias("_kind")).agg(*[F.avg(c) for c in names]).collect()}
+    whole = np.maximum(sum(np.array(means[tuple(r[0])]) * r[1] for r in sizes), 1e-12) if sizes else np.ones(len(classes))
+    held, dealt = np.zeros((k, len(classes))), []
+    for own, n in sorted(((tuple(r[0]), r[1]) for r in sizes), key=lambda x: (-np.std(means[x[0]]), x[0])):
+        mean = np.array(means[own])
+        extra = [0] * k
+        for _ in range(n % k):
+            tried = [(round(float(np.std((held + mean * np.eye(k)[:, [f]]) / whole, axis=0).mean()), 12), held[f].sum(), f) for f in range(k) if not extra[f]]
+            best = min(tried)[2]
+            extra[best] = 1
+            held[best] += mean
+        held += mean * (n // k)
+        ends = np.append(0, np.cumsum([n // k + x for x in extra]))
+        dealt += [(list(own), int(a), int(b), f) for f, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+    table = F.broadcast(frame.sparkSession.createDataFrame(dealt, "_kind array<long>, _from long, _to long, fold int"))  # k rows a kind
+    ranked = _ranked(people.select(person, kind.cast("array<long>").alias("_kind")), [draw(F.lit(seed), F.col(person)), F.col(person)], "_kind")
+    each = ranked.join(table, "_kind").filter((F.col("_rank") > F.col("_from")) & (F.col("_rank") <= F.col("_to"))).select(person, "fold")
+    return frame.join(each, person)
+
+
 def conformal_rank(alpha: float, textbook: bool = False) -> Column:
     """The rank among `n` scores that covers 1 - alpha: the "higher" quantile at ceil((n + 1)(1 - alpha)) / n, 1 at most, or that rank itself."""
     n = F.col("n")

@@ -448,7 +448,16 @@ def feature_elimination(spark, d):
     return spark.createDataFrame([(k, f) for k, f in enumerate(left)], "place int, feature string")
 
 
-@query()
+def _plane(y: str) -> str:
+    """A least squares plane of y on x and g, averaged by further lines, from the rows r."""
+    c = lambda u, v: f"covar_pop({u}, {v})"
+    det = f"({c('x', 'x')} * {c('g', 'g')} - {c('x', 'g')} * {c('x', 'g')})"
+    return f"SELECT avg({y}) AS m, avg(x) AS mx, avg(g) AS mg, ({c('x', y)} * {c('g', 'g')} - {c('g', y)} * {c('x', 'g')}) / {det} AS w, ({c('g', y)} * {c('x', 'x')} - {c('x', y)} * {c('x', 'g')}) / {det} AS v FROM r"
+
+
+@query(f"""WITH r AS (SELECT further, further::DOUBLE AS x, discount AS g, o_totalprice::DOUBLE AS price, o_custkey::DOUBLE AS custkey FROM orders JOIN (SELECT l_orderkey, count(*) - 1 AS further, avg(l_discount) AS discount FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey),
+p AS ({_plane("price")}), k AS ({_plane("custkey")})
+SELECT further, count(*) AS n, round(avg(p.m + p.w * (x - p.mx) + p.v * (g - p.mg)), 1) AS price, round(avg(k.m + k.w * (x - k.mx) + k.v * (g - k.mg)), 2) AS custkey FROM r, p, k GROUP BY 1""")
 def several_outputs(spark, d):
     rows = order_lines(spark, d)
     out = L.predict_several(rows, L.several_outputs(rows, "linear", ["further", "discount"], ["price", "o_custkey"]))

@@ -117,28 +117,28 @@ def sample_gates(spark, d):
     return P.sample_gates(targeted(spark, d), ["a", "b"], 10, 2200)
 
 
-_MOVES = {"l_quantity": "Average time inside circles", "l_tax": "average time between circles", "l_discount": "average total pressure", "l_extendedprice": "total time", "l_linenumber": "number errors"}
+_MOVES = {"l_quantity": "average_time_inside_circles", "l_tax": "average time between circles", "l_discount": "Presión mean", "l_extendedprice": "total time", "l_linenumber": "number errors"}
 
 
 def movements(spark, d):
     rows = table(spark, d, "lineitem")
     split = F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train")
     level = F.when(F.col("l_returnflag") == "A", 1.0).otherwise(0.0)
-    return rows.select(*[F.col(c).cast("double").alias(n) for c, n in _MOVES.items()], level.alias("clinical_group_A"), (F.col("l_partkey") % 70).cast("double").alias("age_at_test"), F.lit(3.0).alias("constant time"), F.when(F.col("l_orderkey") % 2 == 0, 1.0).alias("inside circle"), F.lit(None).cast("double").alias("hover time"), F.col("l_suppkey").alias("other"), "l_linestatus", split.alias("split"), F.col("l_partkey").cast("double").alias("score"))
+    return rows.select(*[F.col(c).cast("double").alias(n) for c, n in _MOVES.items()], level.alias("clinical_group_A"), (F.col("l_partkey") % 70).cast("double").alias("age_at_test"), F.lit(3.0).alias("constant time"), F.when(F.col("l_orderkey") % 2 == 0, 1.0).alias("inside_circle"), F.lit(None).cast("double").alias("hover time"), F.col("l_suppkey").alias("other"), "l_linestatus", split.alias("split"), F.col("l_partkey").cast("double").alias("score"))
 
 
-_MEASURED = [*_MOVES.values(), "constant time", "inside circle", "hover time", "score"]
+_MEASURED = [*_MOVES.values(), "constant time", "inside_circle", "hover time", "score"]
 
 
 _SELECTED = {
-    "Average time inside circles": "l_quantity", "average time between circles": "l_tax", "average total pressure": "l_discount", "tmt_kinematic_circle_minus_flight": "l_quantity - l_tax",
+    "average_time_inside_circles": "l_quantity", "average time between circles": "l_tax", "Presión mean": "l_discount", "tmt_kinematic_circle_minus_flight": "l_quantity - l_tax",
     "tmt_kinematic_circle_to_flight_ratio": "l_quantity / nullif(l_tax, 0)", "tmt_kinematic_errors_per_between_time": "l_linenumber / nullif(l_tax, 0)",
 }
 _TRAIN = "FROM lineitem WHERE l_orderkey % 5 <> 0"
 
 
 @query(f"""SELECT 'configured' AS reason, 'number errors' AS feature, NULL::BIGINT AS n, NULL::DOUBLE AS mean UNION ALL SELECT 'global_time', 'total time', NULL, NULL
-UNION ALL SELECT CASE WHEN count(*) FILTER (l_orderkey % 2 = 0) = 0 THEN 'all_nan_in_train' WHEN count(*) FILTER (l_orderkey % 2 <> 0) / count(*) > 0.35 THEN 'high_missing_rate_in_train' ELSE 'low_unique_values_in_train' END, 'inside circle', NULL, NULL {_TRAIN}
+UNION ALL SELECT CASE WHEN count(*) FILTER (l_orderkey % 2 = 0) = 0 THEN 'all_nan_in_train' WHEN count(*) FILTER (l_orderkey % 2 <> 0) / count(*) > 0.35 THEN 'high_missing_rate_in_train' ELSE 'low_unique_values_in_train' END, 'inside_circle', NULL, NULL {_TRAIN}
 UNION ALL SELECT 'all_nan_in_train', 'hover time', NULL, NULL UNION ALL {' UNION ALL '.join(f"SELECT 'selected', '{n}', count({c}), round(avg({c}), 4) FROM lineitem" for n, c in _SELECTED.items())}""")
 def feature_selection_tmt(spark, d):
     """Which features of a movement test are fitted, with their values, and why the others aren't."""

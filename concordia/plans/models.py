@@ -12,7 +12,7 @@ from ..operators import resample as R
 from ..operators import strata as S
 from .catalogue import _DRAW, _SUMS, balances, mix_sql
 from .clinical import buyers
-from .registry import query, table
+from .registry import query, rounded, table
 
 
 def ridge_lines(name: str, keys: str, source: str, alpha: str = "1.0") -> str:
@@ -139,3 +139,16 @@ def class_bootstrap_draws(spark, d):
     people = buyers(spark, d)
     out = D.replicate_folds(D.class_bootstrap(people, "person", "g", 10), "person", "g")
     return out.groupBy("replicate", "g", "fold").agg(F.count("*").alias("people"), F.sum("w").alias("drawn"), F.sum(F.col("w") * F.col("person")).alias("mixed"))
+
+
+@query("""WITH r AS (SELECT o_custkey AS person, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS c FROM orders)
+SELECT coalesce(c::VARCHAR, 'none') AS class, 5::BIGINT AS folds, count(*) AS n, count(DISTINCT person) AS people, 0::BIGINT AS straddling, true AS even FROM r GROUP BY 1""")
+def mixed_class_folds(spark, d):
+    """People whose orders are of several states: none in two folds, and each state's rows within 3 % of a fifth in every fold."""
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("person"), F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0).alias("c"))
+    out = R.mixed_class_folds(rows, "person", "c")
+    name = F.coalesce(F.col("c").cast("string"), F.lit("none")).alias("class")
+    twice = out.groupBy("person").agg((F.count_distinct("fold") > 1).cast("long").alias("twice")).agg(F.sum("twice").alias("straddling"))
+    people = out.groupBy(name).agg(F.count("*").alias("n"), F.count_distinct("person").alias("people"), F.count_distinct("fold").alias("folds"))
+    share = out.groupBy(name, "fold").agg(F.count("*").alias("m")).groupBy("class").agg((F.max("m") / F.sum("m") < 0.23).alias("high"), (F.min("m") / F.sum("m") > 0.17).alias("low"))
+    return people.join(share, "class").crossJoin(F.broadcast(twice)).select("class", "folds", "n", "people", "straddling", (F.col("high") & F.col("low")).alias("even"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import csv as lines_of
+import io
+import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.quality import expect
+from ..operators.quality import bodies, expect, headers
 
 
 def database(spark: SparkSession, url: str, table: str, column: str | None = None, partitions: int = 8, **properties: str) -> DataFrame:
@@ -65,6 +69,55 @@ def skipped_csv(spark: SparkSession, path: str, skip: int, separator: str = ",")
     return lines.filter((F.col("_at") > skip) & (F.trim("value") != "")).select(F.from_csv("value", schema, options).alias("c")).select("c.*")
 
 
+def grid(spark: SparkSession, path: str, separator: str = ",", encoding: str = "utf-8") -> DataFrame:
+    """(sheet, row_idx, col_idx, value) of every cell of the CSV files that path names, a file being a sheet, its name without suffix.
+
+    A file is a task's work and held whole by it, so records may span lines and quoted cells hold separators; files of
+    any store that Spark reads can be taken. Blank cells are null, row numbers are those of records, empty ones counted.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def cells(batches):
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                sheet = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                rows = lines_of.reader(io.StringIO(content.decode(encoding).removeprefix("\ufeff"), newline=""), delimiter=separator)
+                found = [(sheet, r, c, v if v.strip() else None) for r, row in enumerate(rows) for c, v in enumerate(row)]
+                yield pd.DataFrame(found, columns=["sheet", "row_idx", "col_idx", "value"])
+
+    return files.mapInPandas(cells, "sheet string, row_idx int, col_idx int, value string")
+
+
+def sheet_records(spark: SparkSession, path: str, columns: list[str], mark: str, within: int = 0, separator: str = ",") -> DataFrame:
+    """(sheet, row_idx, columns as text) of the records below each sheet's header, which is the first row near its top with the mark."""
+    cells = grid(spark, path, separator)
+    return bodies(cells, headers(cells, mark, within), columns)
+
+
+def checked(frame: DataFrame, path: str, rules: dict[str, Column]) -> dict[str, int]:
+    """Writes frame to path, in place of an earlier table, unless a row breaks a rule; then nothing changes there and it is an error.
+
+    The rows are counted while they are written, to a place beside path, and the written table is moved when no rule is
+    broken, so the expectations cost no scan of their own. Returns how many rows break each rule (none).
+    """
+    spark, seen, place = frame.sparkSession, Observation(), f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    counts = [F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).alias(f"r{k}") for k, c in enumerate(rules.values())]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        frame.observe(seen, F.count("*").alias("rows"), *counts).write.parquet(place)
+        got = seen.get
+        found = {name: int(got[f"r{k}"]) for k, name in enumerate(rules)}
+        if broken := [f"{name} ({n})" for name, n in found.items() if n]:
+            raise ValueError(f"rows break {', '.join(sorted(broken))}")
+        files.delete(hadoop(path), True)
+        if not files.rename(hadoop(place), hadoop(path)):
+            raise OSError(f"{place} can't be moved to {path}")
+    finally:
+        files.delete(hadoop(place), True)
+    return found
+
+
 def fixed_csv(spark: SparkSession, path: str, schema: StructType, labels: list[str], rules: dict[str, Column] | None = None) -> DataFrame:
     """A CSV file of known columns by place: its header must read `labels`, its values must parse, and no rule be broken."""
     head = spark.read.csv(path, header=False).first()

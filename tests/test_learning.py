@@ -24,11 +24,11 @@ def curve(spark):
 def test_spline_terms_are_a_partition_of_unity(spark, curve):
     terms = L.spline_terms(curve, ["x", "fold"], knots=5, degree=3)
     assert len(terms) == 7 and "fold" in terms
-    got = curve.select("x", *[c.alias(n) for n, c in terms.items() if n != "fold"]).toPandas().sort_values("x")
+    got = curve.select("x", *[F.expr(c).alias(n) for n, c in terms.items() if n != "fold"]).toPandas().sort_values("x")
     total = got.drop(columns="x").sum(axis=1).to_numpy()
     assert (got.to_numpy()[:, 1:] >= -1e-12).all()
     assert total[:90] == pytest.approx(1.0) and total[-1] < 1  # the last basis function is left out
-    out = spark.createDataFrame([(-9.0,), (-1.0,), (None,)], "x double").select(*[c.alias(n) for n, c in terms.items() if n != "fold"]).collect()
+    out = spark.createDataFrame([(-9.0,), (-1.0,), (None,)], "x double").select(*[F.expr(c).alias(n) for n, c in terms.items() if n != "fold"]).collect()
     assert list(out[0]) == pytest.approx(list(out[1])) and not any(v is not None for v in out[2])
 
 
