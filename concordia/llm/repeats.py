@@ -140,7 +140,7 @@ def fetched(docs: DataFrame, wanted: DataFrame, scheme: Scheme, payload: Callabl
 
 def whole_copies(docs: DataFrame) -> DataFrame:
     """(_id, _hash, lead, bytes) of each text that more than one row holds, lead the smallest key among them."""
-    each = docs.dropna().select("_id", "_hash", F.unhex(F.md5("_text")).alias("content"), F.octet_length("_text").alias("bytes"))
+    each = docs.dropna().select("_id", "_hash", F.unhex(F.sha2("_text", 256)).alias("content"), F.octet_length("_text").alias("bytes"))
     many = each.groupBy("content").agg(F.min("_id").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("content", "lead")
     return keep(each.join(many, "content").select("_id", "_hash", "lead", "bytes"))
 

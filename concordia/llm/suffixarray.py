@@ -237,7 +237,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spans = spans.unionByName(sorted_.mapInArrow(shards, kind))
     many = firsts.filter(F.col("n") > HOT)
     each_window = many.select("_id", "_hash", "start", "payload", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("k"))
-    each_window = each_window.select("_id", "_hash", (F.col("start") + F.col("k")).alias("start"), F.md5(F.expr(f"substring(payload, k + 1, {WIDTH})")).alias("content"))
+    each_window = each_window.select("_id", "_hash", (F.col("start") + F.col("k")).alias("start"), F.unhex(F.sha2(F.expr(f"substring(payload, k + 1, {WIDTH})"), 256)).alias("content"))
     where = F.struct("_id", "start")
     lead = each_window.groupBy("content").agg(F.min(where).alias("lead"), F.count("*").alias("n")).filter("n > 1")
     late = each_window.join(lead, "content").filter(where != F.col("lead"))
