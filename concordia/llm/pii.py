@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ from .secrets import digest, reaching
 
 KINDS = ("email", "ip", "card", "phone", "contact", "identity")
 LABELS = ("O", "B-contact", "I-contact", "B-identity", "I-identity")
-#: Words of context on each side of a token that the field reads around, and the characters they are looked for in.
-CONTEXT, REACH = 2, 48
+#: Words of context on each side of a token that the field reads around.
+CONTEXT = 2
 #: The labelled table the field is trained on: tokens, with /c for a contact number or address and /i for an identity number.
 LABELLED = """
 call me on (212)/c 555-0147/c after six
@@ -139,7 +140,7 @@ def luhn(digits: str) -> bool:
 
 def shape(word: str) -> str:
     """Digits as 9, letters as a or A, runs over four as four; other marks stay."""
-    out = re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", word[:40])))
+    out = re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", word)))
     return re.sub(r"(.)\1{4,}", r"\1\1\1\1", out)
 
 
@@ -149,7 +150,7 @@ def features(tokens: list[str]) -> list[list[str]]:
     coarse = [re.sub(r"(.)\1+", r"\1", s) for s in fine]
     pad = ["^", "^", *coarse, "$", "$"]
     low = ["^", *[t.lower().strip(".,:;()") if t.isalpha() or len(t) < 12 and not _DIGIT.search(t) else "" for t in tokens], "$"]
-    return [[f"f={fine[i]}", f"c={coarse[i]}", f"p={pad[i + 1]}", f"n={pad[i + 3]}", f"w={low[i + 1]}", f"pw={low[i]}", f"nw={low[i + 2]}", f"pc={pad[i + 1]}|{coarse[i]}", f"d={sum(c.isdigit() for c in tokens[i][:40])}", "bias"] for i in range(len(tokens))]
+    return [[f"f={fine[i]}", f"c={coarse[i]}", f"p={pad[i + 1]}", f"n={pad[i + 3]}", f"w={low[i + 1]}", f"pw={low[i]}", f"nw={low[i + 2]}", f"pc={pad[i + 1]}|{coarse[i]}", f"d={sum(c.isdigit() for c in tokens[i])}", "bias"] for i in range(len(tokens))]
 
 
 class Field:
@@ -233,6 +234,24 @@ def field() -> Field:
     return Field()
 
 
+_WORD = re.compile(r"\S+")
+
+
+def _before(text: str, at: int) -> list[tuple[int, int]]:
+    """The last CONTEXT words that end before a place, whole."""
+    out: list[tuple[int, int]] = []
+    while len(out) < CONTEXT:
+        while at and text[at - 1].isspace():
+            at -= 1
+        if not at:
+            break
+        end = at
+        while at and not text[at - 1].isspace():
+            at -= 1
+        out.append((at, end))
+    return out[::-1]
+
+
 def sequences(text: str) -> list[list[tuple[int, int]]]:
     """Token sequences the field reads: each run of tokens with a digit, an at sign or the word at or dot, and the words
     of context around it. Other words are not read.
@@ -252,8 +271,8 @@ def sequences(text: str) -> list[list[tuple[int, int]]]:
     out: list[list[tuple[int, int]]] = []
     for i, (a, b) in enumerate(marked):
         after = marked[i + 1][0] if i + 1 < len(marked) else len(text)
-        before = [(m.start() + max(0, a - REACH), m.end() + max(0, a - REACH)) for m in re.finditer(r"\S+", text[max(0, a - REACH) : a])][-CONTEXT:]
-        behind = [(m.start() + b, m.end() + b) for m in re.finditer(r"\S+", text[b : min(after, b + REACH)])][:CONTEXT]
+        before = _before(text, a)
+        behind = [m.span() for m in islice(_WORD.finditer(text, b, after), CONTEXT)]
         if out and before and before[0][0] < out[-1][-1][1]:
             out[-1] += [x for x in before if x[0] >= out[-1][-1][1]]
         elif out and out[-1][-1][1] == a or out and not before and len(out[-1]) and out[-1][-1][1] > a - 2:
@@ -334,4 +353,5 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the fixed patterns, and all spans."""
     return digest(scan(table(spark, sf_dir, "documents")), KINDS, KINDS[:4])

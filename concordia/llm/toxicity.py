@@ -50,7 +50,8 @@ class Model:
     def __init__(self, texts: list[str], labels: list[int], rounds: int = 120, decay: float = 1e-4):
         y = np.array(labels, np.float64)
         self.weights, self.bias = np.zeros(BUCKETS, np.float32), 0.0
-        if not len(y) or y.min() == y.max():
+        self.tells = bool(len(y)) and y.min() != y.max()
+        if not self.tells:
             self.bias = float(y.mean() * 20 - 10) if len(y) else -10.0
             return
         data, offsets = utf8(pa.array(texts, pa.string()))
@@ -129,8 +130,14 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the rows whose score reaches the threshold; one pass, no join: the texts are scored where they are."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text=text))
+    """docs without the rows whose score reaches the threshold; one pass, no join: the texts are scored where they are.
+
+    Where labelled rows are of one kind only, or there are none, nothing tells what to remove, and nothing is.
+    """
+    model = fit(docs, labels, text=text)
+    if not model.tells:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batch):
