@@ -44,6 +44,7 @@ the year 1984 and 2001-09-11 were long
 sum of 3.14159 and 2.71828 is known
 room 101 at 10:30 on 12/05/2020 again
 about 4040549990366437 in all
+IT READ 4929718223101178! AND THEN
 from 10.0.0.1 to 129.45.227.94 it went
 version 1.2.3.4 build 20200101
 a.user12@mail.example.org wrote this
@@ -144,9 +145,30 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1{4,}", r"\1\1\1\1", out)
 
 
+def core(text: str, a: int, b: int) -> tuple[int, int]:
+    """Where text[a:b] stands without quotes before it, marks of sentences behind it, and brackets that don't belong to it.
+
+    Brackets around the whole belong to it if it is short, as around an area code; one without its partner never does.
+    """
+    while b > a + 1:
+        if text[b - 1] in ".,;:!?\"'":
+            b -= 1
+        elif text[a] in "\"'":
+            a += 1
+        elif text[b - 1] in ")]}>" and not any(x in text[a : b - 1] for x in "([{<"):
+            b -= 1
+        elif text[a] in "([{<" and not any(x in text[a + 1 : b] for x in ")]}>"):
+            a += 1
+        elif text[a] in "([{<" and text[b - 1] in ")]}>" and b - a > 8:
+            a, b = a + 1, b - 1
+        else:
+            break
+    return a, b
+
+
 def features(tokens: list[str]) -> list[list[str]]:
-    """For each token its shapes, fine and coarse, and its neighbours'."""
-    fine = [shape(t) for t in tokens]
+    """For each token its shapes, fine and coarse, without the marks around it, and its neighbours'."""
+    fine = [shape(t[slice(*core(t, 0, len(t)))]) for t in tokens]
     coarse = [re.sub(r"(.)\1+", r"\1", s) for s in fine]
     pad = ["^", "^", *coarse, "$", "$"]
     low = ["^", *[t.lower().strip(".,:;()") if t.isalpha() or len(t) < 12 and not _DIGIT.search(t) else "" for t in tokens], "$"]
@@ -301,8 +323,7 @@ def find_all(texts: list[str | None], model: Field) -> list[list[tuple[int, int,
                 while k < len(s) and LABELS[labels[k]] == f"I-{label[2:]}":
                     k += 1
                 a, b = s[j][0], s[k - 1][1]
-                while b > a and texts[i][b - 1] in ".,;:!?\"'":
-                    b -= 1
+                a, b = core(texts[i], a, b)
                 starts, reach = fixed[i]
                 n = bisect_left(starts, b)  # of those that start before b, does one reach over a?
                 if not (n and reach[n - 1] > a):

@@ -129,6 +129,23 @@ def test_the_field_reads_whole_tokens_and_whole_words():
         assert spans == sorted(set(spans)) and all(re.fullmatch(r"\S+", t[a:b]) for a, b in spans)
 
 
+FOUND = ["his SSN is {}.", "the claimant ({}) paid", "the man (ssn {}) came", "her social security number, {}, was"]
+
+
+def test_numbers_before_full_stops_and_in_brackets_are_found():
+    rng, model = random.Random(7), pii.field()
+    number = lambda: f"{rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"
+    for form in FOUND:
+        for _ in range(25):
+            n = number()
+            text = form.format(n)
+            (spans,) = pii.find_all([text], model)
+            assert [text[a:b] for a, b, _ in spans] == [n], text
+    plain = ["in 1984 there were 15 of 300.", "(a sum of 3.14159) is", "they won 3-2 (21-14) again", "on 2001-09-11."]
+    assert pii.find_all(plain, model) == [[]] * len(plain)
+    assert [text[slice(*pii.core(text, 0, len(text)))] for text in ("(212)", "(078-05-1120)", "x).", "(a", '"b",', "f(x)", ".")] == ["(212)", "078-05-1120", "x", "a", "b", "f(x)", "."]
+
+
 def test_labels_of_one_kind_remove_nothing(spark):
     docs = spark.createDataFrame([(i, f"some words {i}", "x") for i in range(20)] + [(20, None, "x")], "doc_id bigint, text string, source string")
     for toxic in (0, 1):
