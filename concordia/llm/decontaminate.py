@@ -35,36 +35,61 @@ def tile(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int,
 
     Of runs of one length, the first in the item, then in the text, is taken. Whether runs of a length are common is
     found by Karp-Rabin hashes of all unmarked windows, and the greatest length by bisection, as a common run holds
-    shorter ones; no pairs of places are made, however often a token repeats. What hashes find is compared token by token.
+    shorter ones; then one sweep marks all tiles of that length, so there are as many searches as lengths, not as tiles.
+    No pairs of places are made, however often a token repeats. What hashes find is compared token by token.
     """
     mine, other = Spans(item), Spans(text)
     open_i, open_j = np.ones(len(item), bool), np.ones(len(text), bool)
 
-    def common(size: int) -> tuple[int, int] | None:
-        places = []
+    def unmarked(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, hash) of the item's unmarked windows that the text may hold, and of the text's, in the order of their hash."""
+        found = []
         for spans, open_ in ((mine, open_i), (other, open_j)):
             used = np.append(0, np.cumsum(~open_))
             start = np.flatnonzero(used[size:] == used[:-size]) if len(open_) >= size else np.zeros(0, np.int64)
-            places.append((start, spans.of(start, start + size)))
-        (i, x), (j, y) = places
-        for at in np.flatnonzero(np.isin(x, y)):
-            for to in j[y == x[at]]:
-                if (item[i[at] : i[at] + size] == text[to : to + size]).all():
-                    return int(i[at]), int(to)
-        return None
+            found.append((start, spans.of(start, start + size)))
+        (i, x), (j, y) = found
+        order = np.argsort(y, kind="stable")
+        j, y = j[order], y[order]
+        at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
+        both = y[at] == x if len(y) else np.zeros(len(x), bool)
+        return i[both], x[both], j, y
+
+    def equal(i: int, j: int, size: int) -> bool:
+        return bool((item[i : i + size] == text[j : j + size]).all())
+
+    def common(size: int) -> bool:
+        i, x, j, y = unmarked(size)
+        ends = zip(i.tolist(), np.searchsorted(y, x).tolist(), np.searchsorted(y, x, "right").tolist(), strict=True)
+        return any(equal(a, to, size) for a, low, high in ends for to in j[low:high].tolist())
+
+    def sweep(size: int) -> list[tuple[int, int, int]]:
+        """All tiles of a length, marked one after the other; a window that overlaps one is out."""
+        i, x, j, y = unmarked(size)
+        next_, high = np.searchsorted(y, x), np.searchsorted(y, x, "right").tolist()
+        first = {h: int(n) for h, n in zip(x.tolist(), next_, strict=True)}  # of the windows of a hash, those before are out
+        out_i, out_j, tiles = np.zeros(len(item), bool), np.zeros(len(text), bool), []
+        for a, h, end in zip(i.tolist(), x.tolist(), high, strict=True):
+            if out_i[a]:
+                continue
+            while first[h] < end and out_j[j[first[h]]]:
+                first[h] += 1
+            to = next((t for t in j[first[h] : end] if not out_j[t] and equal(a, t, size)), None)
+            if to is not None:
+                tiles.append((a, int(to), size))
+                for out, open_, at in ((out_i, open_i, a), (out_j, open_j, to)):
+                    out[max(0, at - size + 1) : at + size] = True
+                    open_[at : at + size] = False
+        return tiles
 
     out, most = [], min(len(item), len(text))
-    while most >= least and (best := common(least)):
+    while most >= least and common(least):
         low, high = least, most  # common at low; over high it isn't
         while low < high:
             mid = (low + high + 1) // 2
-            if found := common(mid):
-                low, best = mid, found
-            else:
-                high = mid - 1
-        out.append((*best, low))
-        open_i[best[0] : best[0] + low] = open_j[best[1] : best[1] + low] = False
-        most = low
+            low, high = (mid, high) if common(mid) else (low, mid - 1)
+        out += sweep(low)
+        most = low - 1
     return out
 
 

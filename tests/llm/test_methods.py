@@ -4,11 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
-from concordia.llm import neardup, pii, suffixarray, toxicity, windows
+from concordia.llm import decontaminate, neardup, pii, suffixarray, toxicity, windows
 
 
 @pytest.fixture(scope="module")
@@ -152,3 +153,38 @@ def test_labels_of_one_kind_remove_nothing(spark):
         labels = spark.createDataFrame([(i, toxic) for i in range(10)], "doc_id bigint, toxic int")
         assert toxicity.remove_toxic(docs, labels).count() == 21
     assert toxicity.remove_toxic(docs, labels.limit(0)).count() == 21
+
+
+def plain_tiling(item, text, least):
+    """The longest common run of tokens not yet marked, the first in the item, then in the text, again and again."""
+    free_i, free_j, out = [True] * len(item), [True] * len(text), []
+    while True:
+        best = (0, 0, 0)
+        for i, j in itertools.product(range(len(item)), range(len(text))):
+            k = 0
+            while i + k < len(item) and j + k < len(text) and free_i[i + k] and free_j[j + k] and item[i + k] == text[j + k]:
+                k += 1
+            best = max(best, (k, -i, -j))
+        size, i, j = best[0], -best[1], -best[2]
+        if size < least:
+            return out
+        out.append((i, j, size))
+        free_i[i : i + size] = free_j[j : j + size] = [False] * size
+
+
+def test_tiling_against_plain_and_its_growth():
+    rng = random.Random(2)
+    for _ in range(120):
+        letters, least = rng.choice([1, 2, 3, 6, 30]), rng.choice([1, 2, 3, 5])
+        item, text = ([rng.randrange(letters) for _ in range(rng.randint(0, n))] for n in (18, 28))
+        assert decontaminate.tile(np.array(item, np.uint64), np.array(text, np.uint64), least) == plain_tiling(item, text, least)
+    took = {}
+    for n in (5000, 20_000):
+        item = np.random.default_rng(1).integers(0, 1 << 40, n).astype(np.uint64)
+        blocks = [item[a : a + 10] for a in range(0, n, 10)]
+        rng.shuffle(blocks)
+        began = time.process_time()
+        tiles = decontaminate.tile(item, np.concatenate(blocks), 5)
+        took[n] = time.process_time() - began
+        assert sum(t[2] for t in tiles) == n
+    assert took[20_000] < 2 or took[20_000] < 10 * took[5000]
