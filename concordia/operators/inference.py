@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .features import common_support
-from .ranking import _same, cumulative, few_groups
+from .ranking import MANY, _same, cumulative, few_groups
 
 
 def welch(frame: DataFrame, outcome: str, group: str, *by: str) -> DataFrame:
@@ -112,11 +112,13 @@ def mann_whitney_exact(u: float, n1: int, n0: int) -> float:
 
 
 def gram(frame: DataFrame, columns: list[str], *by: str) -> dict[tuple, np.ndarray]:
-    """X'X of the columns (few) and a leading one, by key (few): one aggregate, p x p sums to the driver."""
+    """X'X of the columns (few) and a leading one, by key: one aggregate, p x p sums to the driver; over MANY keys are an error."""
     names = ["_1", *columns]
     own = frame.withColumn("_1", F.lit(1.0)).dropna(subset=columns)
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    rows = own.groupBy(*by).agg(*[F.sum(F.col(names[i]).cast("double") * F.col(names[j])).alias(f"s{k}") for k, (i, j) in enumerate(pairs)]).collect()
+    rows = own.groupBy(*by).agg(*[F.sum(F.col(names[i]).cast("double") * F.col(names[j])).alias(f"s{k}") for k, (i, j) in enumerate(pairs)]).limit(MANY + 1).collect()
+    if len(rows) > MANY:
+        raise ValueError(f"there are over {MANY} groups, whose sums are too many for the driver")
     out = {}
     for r in rows:
         m = np.zeros((len(names), len(names)))

@@ -44,8 +44,18 @@ def id_like(name: str) -> bool:
     return any(h in name.lower() for h in IDENTIFIERS)
 
 
+#: How days and times of day are written, what is likelier first: the month leads only where the day can't.
+DAYS = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-M-d", "yyyy/M/d", "d MMM yyyy", "d/M/yy", "M/d/yyyy", "M-d-yyyy")
+TIMES = (" H:mm", " H:mm:ss", " H:mm:ss.SSS", "'T'H:mm:ss", "'T'H:mm:ss.SSS")
+
+
 def day_first(c: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) for p in ("dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")])
+    """A time, from a day with or without a time of day: one try a notation of the day, by how many marks the text has."""
+    text = F.trim(c)
+    timed = F.contains(text, F.lit(":"))
+    days = [F.try_to_timestamp(text, F.lit(p)) for p in DAYS]
+    times = [F.try_to_timestamp(text, F.lit(p + t)) for p in DAYS for t in TIMES]
+    return F.when(timed, F.coalesce(*times)).otherwise(F.coalesce(*days))
 
 
 def promote(frame: DataFrame) -> DataFrame:

@@ -121,3 +121,23 @@ def test_folds_of_people_of_mixed_classes(spark, monkeypatch, most):
     few = R.mixed_class_folds(spark.createDataFrame([(1, "u"), (2, "v"), (2, "u")], "p int, c string"), "p", "c").collect()
     assert len({r.fold for r in few}) == 2
     assert all(a == b for a, b in itertools.pairwise(sorted({(r.p, r.fold) for r in few})) if a[0] == b[0])
+
+
+def test_days_are_read_day_first(spark):
+    from concordia.operators.quality import day_first
+
+    texts = {"3/4/2021": "2021-04-03", "03-04-2021": "2021-04-03", " 3.4.2021": "2021-04-03", "2021-4-3": "2021-04-03", "2021/04/03": "2021-04-03", "3 Apr 2021": "2021-04-03", "3/25/2020": "2020-03-25", "3/4/21": "2021-04-03"}
+    times = {"3/4/2021 9:05": "2021-04-03 09:05:00", "2021-04-03T10:20:30": "2021-04-03 10:20:30", "2021-04-03 10:20:30": "2021-04-03 10:20:30", "3/25/2020 1:00:00": "2020-03-25 01:00:00"}
+    rows = [(t, f"{w} 00:00:00"[:19] if ":" not in w else w) for t, w in {**texts, **times}.items()] + [("40/1/2021", None), ("x", None), (None, None), ("2021", None)]
+    out = spark.createDataFrame(rows, "t string, want string").withColumn("got", F.date_format(day_first(F.col("t")), "yyyy-MM-dd HH:mm:ss"))
+    assert [(r.t, r.got) for r in out.collect() if r.got != r.want] == []
+
+
+def test_sums_of_too_many_groups_are_refused(spark, monkeypatch):
+    from concordia.operators import inference as I
+
+    monkeypatch.setattr(I, "MANY", 3)
+    frame = spark.range(20).select(F.col("id").cast("double").alias("x"), (F.col("id") % 5).alias("g"))
+    with pytest.raises(ValueError, match="over 3 groups"):
+        I.gram(frame, ["x"], "g")
+    assert len(I.gram(frame.filter("g < 3"), ["x"], "g")) == 3
