@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import LETTER, classes
-from .common import arrow_map, chunks, crc32_mod, table
+from .common import arrow_map, chunks, crc32_mod, mix, table
 
 #: Training text of a language: so many characters at most, in pieces of an eighth of that at most from anywhere in a
 #: text, from so many different texts at most (chosen by hash), of such lengths first.
 CHARACTERS, ROWS, LENGTHS = 24_000, 60, (20, 20_000)
 #: Symbols of the blocks in which texts are parsed side by side; phrases go on from block to block.
 BLOCK = 256
+#: Laps after which parses that still don't meet are remembered by block, and how many are.
+LAPS, REMEMBERED = 4, 100_000
 UNKNOWN = "und"
 
 
@@ -108,7 +110,9 @@ def parsed(lanes: np.ndarray, step: np.ndarray, first_step: np.ndarray, goes_on:
 
     All blocks are parsed at once, each as if a phrase began with it. Then each that goes on is parsed again from where
     the block before it ended, until a phrase ends where one of the first parse does, from where both are the same; if a
-    block thus ends elsewhere, the next is parsed again, until none is.
+    block thus ends elsewhere, the next is parsed again, until none is. Text whose parses never meet, such as one letter
+    over and over, repeats itself: what a block gave from a state is remembered, and a block of the same symbols isn't
+    parsed again from that state.
     """
     count = lanes.shape[1]
     lost, state = np.zeros(lanes.shape, bool), np.zeros(count, np.int64)
@@ -123,7 +127,9 @@ def parsed(lanes: np.ndarray, step: np.ndarray, first_step: np.ndarray, goes_on:
     alone = np.cumsum(lost, 0, dtype=np.int32)
     first_end, last, ends = state, state.copy(), alone[-1].copy()
     todo = np.flatnonzero(goes_on) + 1
-    while len(todo):
+    for _ in range(LAPS):
+        if not len(todo):
+            return ends
         live, state, many = todo, last[todo - 1], np.zeros(len(todo), np.int32)
         was = last[todo]
         for t in range(len(lanes)):
@@ -141,6 +147,31 @@ def parsed(lanes: np.ndarray, step: np.ndarray, first_step: np.ndarray, goes_on:
         moved = todo[last[todo] != was]
         moved = moved[moved < count - 1]
         todo = moved[goes_on[moved]] + 1
+    if not len(todo):
+        return ends
+    # what is left is gone through block by block; equal symbols have equal marks, and that equal marks are of equal symbols is looked up
+    mark = mix(lanes.astype(np.uint64) + np.uint64(1) + (np.arange(len(lanes), dtype=np.uint64) << np.uint64(32))[:, None]).sum(0)
+    seen: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for block in todo.tolist():
+        while True:
+            key, before = (int(mark[block]), int(last[block - 1])), int(last[block])
+            like = seen.get(key)
+            if like is None or not (lanes[:, like[0]] == lanes[:, block]).all():
+                state, many = key[1], 0
+                for t, c in enumerate(lanes[:, block].tolist()):
+                    cell = int(step[state + c])
+                    stop = cell >> 32 != state
+                    state, many = int(first_step[c]) if stop else cell & 0xFFFFFFFF, many + stop
+                    if stop and lost[t, block]:
+                        state, many = int(first_end[block]), many + int(alone[-1, block] - alone[t, block])
+                        break
+                like = block, many, state
+                if len(seen) < REMEMBERED:
+                    seen[key] = like
+            ends[block], last[block] = like[1:]
+            if last[block] == before or block == count - 1 or not goes_on[block]:
+                break
+            block += 1
     return ends
 
 

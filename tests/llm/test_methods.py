@@ -9,7 +9,7 @@ import time
 import numpy as np
 import pytest
 
-from concordia.llm import decontaminate, neardup, pii, suffixarray, toxicity, windows
+from concordia.llm import decontaminate, langid, neardup, pii, suffixarray, toxicity, windows
 
 
 @pytest.fixture(scope="module")
@@ -188,3 +188,23 @@ def test_tiling_against_plain_and_its_growth():
         took[n] = time.process_time() - began
         assert sum(t[2] for t in tiles) == n
     assert took[20_000] < 2 or took[20_000] < 10 * took[5000]
+
+
+def test_phrases_of_periodic_texts_and_their_growth():
+    rng = random.Random(3)
+    spell = {x: [("".join(rng.choice(a) for _ in range(rng.randint(2, 8)))) for _ in range(200)] for x, a in (("x", "abcdefgh"), ("y", "efghijkl"))}
+    model = langid.Model({x: " ".join(rng.choice(w) for _ in range(1500)) for x, w in spell.items()})
+    texts = ["a" * 5000, "ab" * 3000, "abc d" * 1500, " ".join(rng.choice(spell["x"]) for _ in range(1200)), "a" * 2600 + "b" * 2600 + "ef gh " * 700, "z" * 700, "a"]
+    got, _ = model.phrases(texts)
+    for text, row in zip(texts, got, strict=True):
+        symbols = model.read([text])[0].tolist()
+        for (step, first), share in zip(model.tables, row, strict=True):
+            state = many = 0
+            for c in symbols:
+                cell = int(step[state + c])
+                many += cell >> 32 != state
+                state = int(first[c]) if cell >> 32 != state else cell & 0xFFFFFFFF
+            assert share == pytest.approx((many + 1) / len(symbols))
+    began = time.process_time()
+    model.phrases(["a" * 1_000_000])
+    assert time.process_time() - began < 10  # once a minute
