@@ -120,10 +120,11 @@ def stratum_models(train: DataFrame, features: list[str], labels: list[str], str
     x, y = [f"_x{k}" for k in range(len(features))], [f"_y{k}" for k in range(len(labels))]
     values = [F.col(f"`{c}`").cast("double").alias(n) for c, n in zip([*features, *labels], [*x, *y], strict=True)]
     rows = train.select(F.col(stratum).cast("string").alias("_k"), F.col(person).alias("_p"), *values).dropna(subset=["_p", *x, *y])
+    kept = []  # while the parts are fitted
     if miscoverage is None:
         rows = rows.withColumns({"_own": F.lit(False), "_all": F.lit(False), "_people": F.lit(None).cast("bigint")})
     else:
-        rows = _flagged(rows, share, seed)
+        kept = [rows.persist(), (rows := _flagged(rows, share, seed)).persist()]
     terms = products([F.col(c) for c in x], [F.col(c) for c in y])
     sums = [f"_s{k}" for k in range(len(terms))]
     counts = [F.count("*").alias("_n"), F.count_distinct("_p").alias("_g"), F.max("_people").alias("_people")]
@@ -142,6 +143,8 @@ def stratum_models(train: DataFrame, features: list[str], labels: list[str], str
     table = table.withColumn("_ready", ready).withColumn("_b", solved(F.when(F.col("_ready"), F.col("_part")).otherwise(F.col("_whole")), len(x), len(y), alpha))
     parts, few = settled(table.select("_global", "_k", "n", "people", "_ready", "_b"))
     if not parts.filter("_global").count():
+        for frame in kept:
+            frame.unpersist()
         raise ValueError("no row has a person, every feature and every label")
     if miscoverage is None:
         return StratumModels(parts.withColumn("_q", F.lit(None).cast("array<double>")), few, list(features), list(labels), stratum)
@@ -151,6 +154,8 @@ def stratum_models(train: DataFrame, features: list[str], labels: list[str], str
     widths = conformal(both.select("_global", "_k", errors), "_error", miscoverage, False, "_global", "_k", "_label")
     widths = widths.groupBy("_global", "_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("_label", "q"))), lambda s: s["q"]).alias("_q"))
     parts, few = settled(_same(parts, widths, ["_global", "_k"], "left", few=few))
+    for frame in kept:
+        frame.unpersist()
     return StratumModels(parts, few, list(features), list(labels), stratum)
 
 
