@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -411,7 +413,31 @@ def fold_errors(frame, *by):
     return frame.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("prediction") - F.col("y"))), 1).alias("mae"))
 
 
-@query()
+def eliminated_sql(n: int, source: str, keep: str) -> str:
+    """Tables e0, e1, ... that solve n linear equations by elimination, from columns a<row>_<column> of source, a<row>_<n> the right side."""
+    out, before = [], source
+    for k in range(n):
+        entry = lambda i, j, k=k: f"a{k}_{j} / a{k}_{k}" if i == k else f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k}"
+        out.append(f"e{k} AS (SELECT {keep}, {', '.join(f'{entry(i, j)} AS a{i}_{j}' for i in range(n) for j in range(n + 1))} FROM {before})")
+        before = f"e{k}"
+    return ", ".join(out)
+
+
+def spline_sql(j: int, knots: int = 5, degree: int = 3) -> str:
+    """Basis function j of a uniform spline of x between lo and hi."""
+    u = f"((least(greatest(x, lo), hi) - lo) / ((hi - lo) / {knots - 1}) + {degree - j})"
+    powers = " + ".join(f"{(-1) ** i * math.comb(degree + 1, i)} * pow(greatest({u} - {i}, 0), {degree})" for i in range(degree + 1))
+    return f"CASE WHEN {u} > 0 AND {u} < {degree + 1} THEN ({powers}) / {math.factorial(degree)} ELSE 0 END"
+
+
+_TERMS = range(6)
+
+
+@query(f"""WITH r AS (SELECT (o_custkey % 5)::INT AS fold, c_acctbal / 1000 AS x, o_totalprice AS y FROM orders JOIN customer ON o_custkey = c_custkey), b AS (SELECT min(x) AS lo, max(x) AS hi FROM r WHERE fold <> 0),
+t AS (SELECT fold, y, {', '.join(f"{spline_sql(j)} AS t{j}" for j in _TERMS)} FROM r, b),
+m AS (SELECT avg(y) AS my, {', '.join(f"avg(t{i}) AS m{i}" for i in _TERMS)}, {', '.join(f"covar_pop(t{i}, {'y' if j == 6 else f't{j}'}) * count(*) + {int(i == j)} AS a{i}_{j}" for i in _TERMS for j in range(7))} FROM t WHERE fold <> 0),
+{eliminated_sql(6, "m", "my, " + ", ".join(f"m{i}" for i in _TERMS))}
+SELECT fold, count(*) AS n, round(avg(abs(my + {' + '.join(f"a{i}_6 * (t{i} - m{i})" for i in _TERMS)} - y)), 1) AS mae FROM t, e5 GROUP BY 1""")
 def spline_additive_model(spark, d):
     rows = balances(spark, d)
     return fold_errors(L.spline_gam(rows.filter("fold <> 0"), ["x"], "y").transform(rows), "fold")
