@@ -203,7 +203,7 @@ def mix_sql(name: str, source: str, column: str, keep: str) -> str:
 {name}_b AS (SELECT {keep}, {times(0x94D049BB133111EB).format(f"xor({column}, {column} >> 27)")} AS {column} FROM {name}_a), {name} AS (SELECT {keep}, xor({column}, {column} >> 31) AS {column} FROM {name}_b)"""
 
 
-#: As draws fall while all people are in one leaf.
+#: As draws fall: on the people in the order of their hash.
 _DRAWN = f"""WITH {PAIRED}, s AS (SELECT person, count(*) AS n, sum(y) AS y, sum(p) AS p, sum(y * y) AS yy, sum(p * p) AS pp, sum(y * p) AS yp, sum(p - y) AS e, sum(abs(p - y)) AS ae, sum((p - y) * (p - y)) AS ee FROM paired GROUP BY 1),
 k AS (SELECT *, row_number() OVER (ORDER BY {_DRAW}, person) AS r, count(*) OVER () AS g FROM s),
 z AS (SELECT b, (42 * 4294967296 + b)::UBIGINT AS h FROM range(%d) AS t(b)), {(mix_sql("z1", "z", "h", "b") + ", " + mix_sql("z2", "z1", "h", "b")).replace("%", "%%")},

@@ -70,3 +70,16 @@ def test_bootstrap_weighs_sums_of_people(spark, monkeypatch, leaf):
         e = np.concatenate([[p - y] * w[i] for i, y, p in known])
         assert got[b].n == len(e) and got[b].rmse == pytest.approx(np.sqrt((e**2).mean())) and got[b].bias == pytest.approx(e.mean())
     assert R.bootstrap(frame.limit(0), "person", "y", "p", 5).count() == 0
+
+
+def test_leaves_change_nothing_about_who_is_drawn(spark, monkeypatch):
+    people = spark.createDataFrame([(i, [0, 1, None][i % 7 % 3], float(i % 11), float(i % 5)) for i in range(300)], "person int, g int, y double, p double").repartition(4)
+    draws = lambda: sorted(map(tuple, D.class_bootstrap(people, "person", "g", 12).collect()), key=str)
+    sums = lambda: [(r.replicate, r.n, pytest.approx(r.rmse), pytest.approx(r.bias)) for r in R.bootstrap(people, "person", "y", "p", 12).sort("replicate").collect()]
+    one, whole = draws(), sums()
+    assert sum(r[3] for r in one) == 12 * people.dropna().count() < 12 * 300
+    for leaf, deal in ((20, 64), (1, 1 << 20)):
+        monkeypatch.setattr(W, "LEAF", leaf)
+        monkeypatch.setattr(W, "DEALT", deal)
+        assert draws() == one
+        assert sums() == whole
