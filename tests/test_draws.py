@@ -5,8 +5,10 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pytest
+from oracle import duck, same
 from pyspark.sql import functions as F
 
+from concordia import plans
 from concordia.operators import discrimination as D
 from concordia.operators import draws as W
 from concordia.operators import resample as R
@@ -83,3 +85,10 @@ def test_leaves_change_nothing_about_who_is_drawn(spark, monkeypatch):
         monkeypatch.setattr(W, "DEALT", deal)
         assert draws() == one
         assert sums() == whole
+
+
+@pytest.mark.parametrize("name", ["bootstrap_intervals", "class_bootstrap_draws", "cluster_bootstrap"])
+def test_queries_of_many_leaves_are_as_their_sql(spark, monkeypatch, name):
+    monkeypatch.setattr(W, "LEAF", 20)
+    sf = "/root/testdata/sf0.001"
+    assert same(plans.QUERIES[name](spark, sf).toPandas(), duck(sf).sql(plans.ORACLES[name]).df()) == ""
