@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .inference import gram, least_squares
-from .ranking import _same, selected
+from .ranking import _same, selected, settled
 from .resample import conformal_rank, split
 from .strata import line, products
 
@@ -38,10 +38,11 @@ def quantile_lines(frame: DataFrame, features: list[str], label: str, shares: li
     their deviation. Rows with a null among features and label go; none left is an error.
     """
     value = [F.col(f"`{c}`").cast("double").alias(f"_v{k}") for k, c in enumerate([*features, label])]
-    rows = frame.select(*value).dropna()
+    rows = frame.select(*value).dropna().persist()
     m = gram(rows, rows.columns)[()]
     n = m[0, 0]
     if not n:
+        rows.unpersist()
         raise ValueError("no row has every feature and the label")
     mean, sd = m[0] / n, np.sqrt(np.maximum(np.diag(m) / n - (m[0] / n) ** 2, 0))
     sd = np.where(sd > 1e-12, sd, 1.0)
@@ -52,7 +53,6 @@ def quantile_lines(frame: DataFrame, features: list[str], label: str, shares: li
     first = np.linalg.lstsq(z, to @ m[:size, size], rcond=None)[0]
     spread = float(np.sqrt(max(m[size, size] - first @ (to @ m[:size, size]), 0.0) / n)) or 1.0
     beta = {t: first for t in shares}
-    rows = rows.persist()
     x, y = [F.lit(1.0), *[F.col(f"_v{k}") for k in range(size - 1)]], F.col(f"_v{size - 1}")
     for k in range(HALVINGS * STEPS):
         h = spread / 2 ** (k // STEPS + 1)
@@ -94,12 +94,15 @@ def conformal_quantiles(frame: DataFrame, person: str, features: list[str], labe
 
     A row's miss is max(low - y, y - high), negative inside; the order statistic of rank ceil((n + 1)(1 - miscoverage)),
     as conformal() takes it, is subtracted and added. Held out are ceil(share * people); rows without person or with a
-    null among features and label go.
+    null among features and label go. The columns named are kept while lines are fitted and misses ranked, so frame is
+    worked out once.
     """
-    known = frame.dropna(subset=[person, label, *features])
+    named = dict.fromkeys([person, *by, *features, label])
+    known = frame.select(*[F.col(f"`{c}`") for c in named]).dropna(subset=[person, label, *features]).persist()
     marked = split(known, person, share, seed)
     lines = quantile_lines(marked.filter("split = 'train'"), features, label, [miscoverage / 2, 1 - miscoverage / 2])
     y = F.col(f"`{label}`").cast("double")
     miss = F.greatest(lines.of(miscoverage / 2) - y, y - lines.of(1 - miscoverage / 2))
-    widths = selected(marked.filter("split = 'test'"), miss, {"miss": (1 - miscoverage, conformal_rank(miscoverage))}, *by)
+    widths = settled(selected(marked.filter("split = 'test'"), miss, {"miss": (1 - miscoverage, conformal_rank(miscoverage))}, *by))
+    known.unpersist()
     return QuantileIntervals(lines, miscoverage, widths.withColumnRenamed("_n", "n"), list(by))

@@ -34,6 +34,12 @@ def few_groups(frame: DataFrame, *by: str) -> bool:
     return not by or frame.select(*by).distinct().limit(MANY + 1).count() <= MANY
 
 
+def settled(table: DataFrame) -> DataFrame:
+    """table worked out now and broadcast where it is joined, if it has MANY rows at most; a larger one as it is."""
+    rows = table.limit(MANY + 1).collect()
+    return table if len(rows) > MANY else F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
+
+
 def splitters(each: DataFrame, value: str, counts: list[str], *by: str) -> DataFrame:
     """(by, _cuts, all_<count>): values that part each group's different values into RANGES of about as many, however they are spread.
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .draws import resampled
-from .ranking import MANY, _same, selected
+from .ranking import MANY, _same, selected, settled
 
 
 def draw(*parts: Column) -> Column:
@@ -30,12 +32,39 @@ def _ranked(people: DataFrame, order: list[Column], *by: str) -> DataFrame:
     return parted.join(offsets, [*by, "_range"]).withColumn("_rank", within + F.col("_before")).drop("_range", "_before")
 
 
+def _last_held(people: DataFrame, person: str, share: float, seed: int) -> Row | None:
+    """(_h, person) of the last of the ceil(share * people) people that are first by hash, None where there is none.
+
+    people holds each person once. Counts by range of the hash, 4,096 rows at most, tell the range in which that person
+    lies; the people of that range alone are ranked.
+    """
+    hashed = people.select(draw(F.lit(seed), F.col(person)).alias("_h"), person).persist()
+    at = F.shiftright("_h", 20)
+    sizes = sorted(hashed.groupBy(at.alias("_range")).agg(F.count("*").alias("_n")).collect())
+    first, last = math.ceil(sum(r._n for r in sizes) * share), None
+    for r in sizes:
+        if first <= r._n or r is sizes[-1]:
+            rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_h", person))
+            last = hashed.filter(at == r._range).withColumn("_rank", rank).filter(F.col("_rank") == min(first, r._n)).select("_h", person).first()
+            break
+        first -= r._n
+    hashed.unpersist()
+    return last
+
+
 def split(frame: DataFrame, person: str, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """frame with `split`: whole people go to test, ceil(share * people) of them, the first by hash."""
-    people = frame.select(person).filter(F.col(person).isNotNull()).distinct()
-    ranked = _ranked(people, [draw(F.lit(seed), F.col(person)), F.col(person)])
-    marked = ranked.select(person, F.when(F.col("_rank") <= F.ceil(F.col("_all") * F.lit(share)), "test").otherwise("train").alias("split"))
-    return frame.join(marked, person)
+    """frame with `split`: whole people go to test, ceil(share * people) of them, the first by hash.
+
+    The people are looked at at once, to find the last one in test; a row's split then follows from its own person, so
+    rows are neither moved nor joined.
+    """
+    known, kind = frame.filter(F.col(person).isNotNull()), frame.schema[person].dataType
+    one = F.col(person) + F.lit(0).cast(kind) if kind.typeName() in ("float", "double") else F.col(person)  # -0.0 is 0.0
+    last = _last_held(known.select(one.alias(person)).distinct(), person, share, seed)
+    test = F.lit(False)
+    if last is not None:
+        test = F.struct(draw(F.lit(seed), one), one) <= F.struct(F.lit(last[0]).cast("bigint"), F.lit(last[1]).cast(kind))
+    return known.select(person, *[c for c in known.columns if c != person], F.when(test, "test").otherwise("train").alias("split"))
 
 
 def fold_count(frame: DataFrame, person: str, k: int) -> int:
@@ -169,17 +198,22 @@ def split_conformal(frame: DataFrame, person: str, fit, y: str, alpha: float = 0
     """(model, widths): a model fitted to people not held out, and conformal() of its errors on those held out, by group.
 
     fit(rows) gives a function from rows to rows with `prediction`. Held out are ceil(share * people). Widths are None,
-    and the model is fitted to all rows, with under 4 people, 10 rows to fit, 5 to calibrate or 2 people to fit.
+    and the model is fitted to all rows, with under 4 people, 10 rows to fit, 5 to calibrate or 2 people to fit. The rows
+    are kept while the model is fitted and errors are ranked, so frame should have no columns that fit doesn't need.
     """
-    known = frame.filter(F.col(person).isNotNull() & F.col(y).isNotNull())
+    known = frame.filter(F.col(person).isNotNull() & F.col(y).isNotNull()).persist()
     marked = split(known, person, share, seed)
     n = {r[0]: (r[1], r[2]) for r in marked.groupBy("split").agg(F.count("*"), F.count_distinct(person)).collect()}
     (fit_rows, fit_people), (held_rows, held_people) = n.get("train", (0, 0)), n.get("test", (0, 0))
     if fit_people + held_people < 4 or fit_rows < 10 or held_rows < 5 or fit_people < 2:
-        return fit(known), None
+        model = fit(known)
+        known.unpersist()
+        return model, None
     model = fit(marked.filter("split = 'train'").drop("split"))
     held = model(marked.filter("split = 'test'").drop("split"))
-    return model, conformal(held.withColumn("_error", F.col("prediction") - F.col(y)), "_error", alpha, False, *by)
+    widths = settled(conformal(held.withColumn("_error", F.col("prediction") - F.col(y)), "_error", alpha, False, *by))
+    known.unpersist()
+    return model, widths
 
 
 def with_interval(predicted: DataFrame, widths: DataFrame | None, *by: str) -> DataFrame:
