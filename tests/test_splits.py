@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from concordia.operators import comparison as G
 from concordia.operators import quantiles as U
 from concordia.operators import resample as R
 
@@ -47,3 +48,12 @@ def test_intervals_join_widths_where_rows_lie(spark):
     lines = U.conformal_quantiles(rows, "p", ["x"], "y", by=("k",))
     assert {r.k for r in lines.widths.collect()} == {"a", "b"} and "SortMergeJoin" not in plan(lines.predict(rows))
     assert "Window" not in plan(lines.widths) and not spark._jsparkSession.sharedState().cacheManager().numCachedEntries()
+
+
+def test_adjusted_measures_are_not_gathered_by_measure(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(G, "linear_effects", lambda rows, *rest, **more: seen.append(plan(rows)) or spark.createDataFrame([], "measure string, term string, n long, estimate double, se double, p double"))
+    rows = spark.createDataFrame([(i % 2, float(i), float(i % 5), float(i) if i < 4 else None) for i in range(40)], "g int, a double, x double, few double")
+    long = G.long_form(rows, "g", {"one": "a", "few": "few"}, ["x"])
+    G.adjusted(long, ["x"])
+    assert "Join" not in seen[0] and "Exchange" not in seen[0]
