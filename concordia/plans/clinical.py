@@ -344,9 +344,10 @@ def split_conformal(spark, d):
 
     def fit(rows):
         means = rows.groupBy("flag").agg(F.avg("y").alias("prediction"))
+        means = spark.createDataFrame(means.collect(), means.schema)
         return lambda other: other.join(F.broadcast(means), "flag")  # a row a flag
 
-    rows = paired(spark, d)
+    rows = paired(spark, d).select("person", "flag", "y")
     model, widths = R.split_conformal(rows, "person", fit, "y", 0.1, 0.2, 42, "flag")
     out = R.with_interval(model(rows), widths, "flag")
     inside = F.avg(F.when(F.col("y").between(F.col("low"), F.col("high")), 1.0).otherwise(0.0))
