@@ -177,7 +177,7 @@ def eliminate(frame: DataFrame, features: list[str], label: str, most: int = 24,
 
     Never fewer than `least` are left; ties in importance go by name. With three features or fewer than ten rows, all are.
     """
-    rows = frame.dropna(subset=[*features, label])
+    rows = frame.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*features, label])]).dropna(subset=[*features, label])  # what is kept
     if len(features) <= 3 or rows.limit(10).count() < 10:
         return list(features)
     left = list(features)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concordia.operators import comparison as G
+from concordia.operators import learning as L
 from concordia.operators import quantiles as U
 from concordia.operators import resample as R
 
@@ -57,3 +58,20 @@ def test_adjusted_measures_are_not_gathered_by_measure(spark, monkeypatch):
     long = G.long_form(rows, "g", {"one": "a", "few": "few"}, ["x"])
     G.adjusted(long, ["x"])
     assert "Join" not in seen[0] and "Exchange" not in seen[0]
+
+
+def test_elimination_keeps_only_columns_it_reads(spark, monkeypatch):
+    seen, plain = [], L.estimator
+
+    class Seen:
+        def __init__(self, *names, **options):
+            self.own = plain(*names, **options)
+
+        def fit(self, rows):
+            seen.append(rows.columns)
+            return self.own.fit(rows)
+
+    monkeypatch.setattr(L, "estimator", Seen)
+    rows = spark.createDataFrame([(float(i), float(i % 3), float(i % 5), float(i % 7), "wide") for i in range(60)], "a double, b double, c double, d double, other string")
+    left = L.eliminate(rows.withColumn("y", F.col("a")), ["a", "b", "c", "d"], "y", most=2, least=2, step=0.5, trees=3, depth=3)
+    assert "a" in left and len(left) == 2 and seen[0] == ["a", "b", "c", "d", "y"]
